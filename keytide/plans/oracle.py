@@ -86,3 +86,129 @@ step AS (
 
 def _with(recursive: bool, ctes: str, query: str) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()}\n{query.strip()}"
+
+
+GIVEN_MAP = (
+    SEQ
+    + f""",
+gm AS (
+  SELECT topic, key, count(*) AS count, any_value(p) AS partition
+  FROM ms WHERE seq <= {wl.GIVEN_PREFIX} GROUP BY topic, key
+),
+parts AS (
+  SELECT topic, CAST(unnest(range(0, {wl.N_PARTITIONS})) AS INTEGER) AS partition
+  FROM (SELECT DISTINCT topic FROM gm)
+),
+sz AS (
+  SELECT topic, partition,
+         CAST(coalesce((SELECT sum(count) FROM gm
+                        WHERE gm.topic = parts.topic AND gm.partition = parts.partition), 0)
+              AS BIGINT) AS size
+  FROM parts
+),
+av AS (SELECT topic, CAST(sum(size) AS DOUBLE) / {wl.N_PARTITIONS} AS avg_size FROM sz GROUP BY topic),
+cand AS (
+  SELECT gm.topic, gm.key, gm.count, gm.partition, sz.size, av.avg_size
+  FROM gm JOIN sz USING (topic, partition) JOIN av USING (topic)
+  WHERE sz.size > av.avg_size AND gm.count <= sz.size - av.avg_size
+)"""
+)
+
+
+def target_match(refused: str) -> str:
+    return f"""
+SELECT topic, key, count, src, dst FROM (
+  SELECT c.topic, c.key, c.count, c.partition AS src, d.partition AS dst,
+         row_number() OVER (PARTITION BY c.topic, c.key
+                            ORDER BY abs(d.size + c.count - c.avg_size), d.partition) AS rk
+  FROM cand c JOIN sz d ON d.topic = c.topic AND d.size < c.avg_size
+  WHERE NOT ({refused})
+) WHERE rk = 1"""
+
+
+GIVEN_LOG = (
+    SEQ
+    + f""",
+lg AS (
+  SELECT topic, key, num,
+         CAST(num * 10 + v + 1 AS BIGINT) AS count,
+         CAST((num * 3 + CASE WHEN num % 4 = 0 THEN 0 ELSE v END) % {wl.N_PARTITIONS} AS INTEGER)
+           AS partition,
+         CAST(v * {wl.GIVEN_INTERVAL} + 1 AS BIGINT) AS valid_from,
+         CASE WHEN v < 2 THEN CAST((v + 1) * {wl.GIVEN_INTERVAL} + 1 AS BIGINT) END AS valid_to
+  FROM (SELECT DISTINCT topic, key, num FROM ms WHERE num <= 9),
+       (SELECT unnest([0, 1, 2]) AS v)
+),
+routed AS (
+  SELECT ms.*, coalesce(lg.partition, ms.p) AS route
+  FROM ms LEFT JOIN lg ON lg.topic = ms.topic AND lg.key = ms.key
+    AND ms.seq >= lg.valid_from AND (lg.valid_to IS NULL OR ms.seq < lg.valid_to)
+),
+lagged AS (
+  SELECT *, lag(route) OVER (PARTITION BY topic, key ORDER BY seq) AS prev FROM routed
+),
+numbered AS (
+  SELECT *, prev IS NOT NULL AND prev <> route AS is_boundary,
+         CAST(sum(CASE WHEN prev IS NOT NULL AND prev <> route THEN 1 ELSE 0 END)
+              OVER (PARTITION BY topic, key ORDER BY seq) AS INTEGER) AS dest_idx
+  FROM lagged
+),
+tagged AS (
+  SELECT *, route AS dest_partition,
+         CAST(CASE WHEN dest_idx > 0 THEN dest_idx - 1 ELSE -1 END AS INTEGER) AS src_idx,
+         coalesce(max(CASE WHEN is_boundary THEN prev END)
+                  OVER (PARTITION BY topic, key, dest_idx), -1) AS src_partition
+  FROM numbered
+),
+sent AS (
+  SELECT *, CASE WHEN is_boundary THEN src_partition ELSE dest_partition END AS sent_partition
+  FROM tagged
+),
+delivered AS (
+  SELECT *, row_number() OVER (PARTITION BY topic, sent_partition ORDER BY seq) - 1 AS "offset"
+  FROM sent
+)"""
+)
+
+TRACES = (
+    SEQ
+    + """,
+tr AS (
+  SELECT CAST(msg_id AS VARCHAR) AS trace_id, msg_id, ts_us AS produce_us, key AS tag_key,
+         CASE WHEN msg_id % 13 = 0 THEN NULL ELSE CAST(p AS VARCHAR) END AS tag_partition,
+         CASE WHEN msg_id % 11 = 0 THEN NULL ELSE ts_us + msg_id % 500 END AS receive_us,
+         msg_id % 1000 + 2 AS receive_dur,
+         ts_us + msg_id % 900 AS process_us, msg_id % 1000 + 3 AS process_dur
+  FROM ms
+),
+lat AS (
+  SELECT trace_id AS "traceID", receive_dur AS "Rcv_Duration", process_dur AS "Print_Duration",
+         tag_partition AS "Partition", tag_key AS "Key", receive_us - produce_us AS "StartTimeDiff"
+  FROM tr WHERE receive_us IS NOT NULL
+)"""
+)
+
+
+def latency_by(by: str) -> str:
+    return f"""
+SELECT {by}, count(*) AS traces, CAST(sum("Print_Duration") AS BIGINT) AS total_us,
+       min("Print_Duration") AS min_us, max("Print_Duration") AS max_us,
+       avg("Print_Duration") AS avg_us,
+       quantile_disc("Print_Duration", 0.5) AS p50_us,
+       quantile_disc("Print_Duration", 0.99) AS p99_us
+FROM lat GROUP BY {by}"""
+
+
+FEED = """
+feed AS (
+  SELECT s_suppkey AS feed_seq, n_name AS service, 'upsert' AS op,
+         ['10.0.' || s_nationkey || '.' || s_suppkey % 250] AS ips
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL
+  SELECT 1000000000000 + n_nationkey, n_name, 'delete', NULL FROM nation WHERE n_nationkey % 5 = 0
+),
+reg AS (
+  SELECT service, ips, (SELECT count(*) + 1 FROM feed) AS version
+  FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY feed_seq DESC) AS rk FROM feed)
+  WHERE rk = 1 AND op = 'upsert'
+)"""

@@ -9,10 +9,24 @@ from pyspark.sql import functions as F
 
 from keytide.functions.chunked import with_sequence
 from keytide.functions.hashing import fnv1a, fnv_partition
-from keytide.functions.headers import header
-from keytide.operators import frequency, sketch
+from keytide.functions.headers import decode_tag, encode_tag, header, producer_headers
+from keytide.operators import (
+    control,
+    delivery,
+    endpoints,
+    frequency,
+    ingest,
+    latency,
+    load,
+    message_sets,
+    placement,
+    routing,
+    sketch,
+)
 from keytide.plans import oracle as o
 from keytide.plans import workload as wl
+from keytide.session import materialize, scratch_path
+from keytide.sources import read_traces, write_latency_csv, write_messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -229,3 +243,603 @@ def evictions(spark, sf):
 def sketch_stats(spark, sf):
     turns = sketch.turnovers(_bucketed(spark, sf), wl.EPSILON)
     return sketch.sketch_stats(_lives(spark, sf), turns)
+
+
+# --- load ---------------------------------------------------------------------
+
+
+def _given_sizes(spark, sf):
+    return load.partition_sizes(wl.hot_map_given(spark, sf), wl.N_PARTITIONS)
+
+
+@query("partition_sizes", "SELECT * FROM sz", o.GIVEN_MAP)
+def partition_sizes(spark, sf):
+    return _given_sizes(spark, sf)
+
+
+@query("system_avg", "SELECT * FROM av", o.GIVEN_MAP)
+def system_avg(spark, sf):
+    return load.system_avg(_given_sizes(spark, sf))
+
+
+@query(
+    "ack_counts",
+    """SELECT topic, count(*) FILTER (msg_id % 97 <> 0) AS successes,
+              count(*) FILTER (msg_id % 97 = 0) AS errors FROM km GROUP BY topic""",
+)
+def ack_counts(spark, sf):
+    return load.ack_counts(wl.acks(spark, sf))
+
+
+@query(
+    "partition_rate",
+    """SELECT topic, p AS partition, ts_us // 1000000 * 1000000 AS window_us, count(*) AS messages
+       FROM ms WHERE msg_id % 97 <> 0 GROUP BY ALL""",
+    o.SEQ,
+)
+def partition_rate(spark, sf):
+    return load.partition_rate(wl.acks(spark, sf))
+
+
+SNAPSHOT_SECONDS = 3600
+
+
+@query(
+    "weight_snapshots",
+    f"""SELECT t.topic, t.tick, p.partition,
+               CAST(coalesce((SELECT sum(count) FROM lg
+                 WHERE lg.topic = t.topic AND lg.partition = p.partition
+                   AND lg.valid_from <= t.at_seq + 1
+                   AND (lg.valid_to IS NULL OR lg.valid_to > t.at_seq + 1)), 0) AS BIGINT) AS size
+        FROM (SELECT topic, ts_us // {SNAPSHOT_SECONDS * 1000000} + 1 AS tick, max(seq) AS at_seq
+              FROM ms GROUP BY ALL) t,
+             (SELECT CAST(unnest(range(0, {wl.N_PARTITIONS})) AS INTEGER) AS partition) p""",
+    o.GIVEN_LOG,
+)
+def weight_snapshots(spark, sf):
+    ticks = load.time_ticks(wl.sequenced(spark, sf), SNAPSHOT_SECONDS)
+    return load.weight_snapshots(wl.hot_map_log_given(spark, sf), ticks, wl.N_PARTITIONS)
+
+
+# --- placement ----------------------------------------------------------------
+
+
+@query(
+    "p2c_step",
+    """SELECT topic, key, p1, p2, CASE WHEN s1 > s2 THEN p2 ELSE p1 END AS partition FROM (
+         SELECT d.*, a.size AS s1, b.size AS s2 FROM draws d
+         JOIN sz a ON a.topic = d.topic AND a.partition = d.p1
+         JOIN sz b ON b.topic = d.topic AND b.partition = d.p2)""",
+    o.GIVEN_MAP
+    + f""",
+draws AS (
+  SELECT topic, key, {o.fnv_part("(key || '#1')")} AS p1, {o.fnv_part("(key || '#2')")} AS p2
+  FROM (SELECT DISTINCT topic, key FROM ms)
+)""",
+)
+def p2c_step(spark, sf):
+    keys = wl.keyed_messages(spark, sf).select("topic", "key").distinct()
+    return placement.p2c_choose(keys, _given_sizes(spark, sf), wl.N_PARTITIONS)
+
+
+@query(
+    "partition_sets",
+    """SELECT topic, partition, size, avg_size,
+              CASE WHEN size < avg_size THEN 'less' WHEN size > avg_size THEN 'greater' END AS side
+       FROM sz JOIN av USING (topic)""",
+    o.GIVEN_MAP,
+)
+def partition_sets(spark, sf):
+    return placement.partition_sets(_given_sizes(spark, sf))
+
+
+def _candidates(spark, sf):
+    return placement.migration_candidates(wl.hot_map_given(spark, sf), _given_sizes(spark, sf))
+
+
+@query(
+    "migration_candidates",
+    "SELECT topic, key, count, partition, size, avg_size FROM cand",
+    o.GIVEN_MAP,
+)
+def migration_candidates(spark, sf):
+    return _candidates(spark, sf)
+
+
+@query(
+    "target_match",
+    o.target_match("c.size < d.size OR c.size - d.size < abs(c.size - d.size - 2 * c.count)"),
+    o.GIVEN_MAP,
+)
+def target_match(spark, sf):
+    return placement.target_match(_candidates(spark, sf), _given_sizes(spark, sf))
+
+
+@query(
+    "target_match_as_written",
+    o.target_match("c.size < d.size OR c.size - d.size < abs(c.size - d.size + 2 * c.count)"),
+    o.GIVEN_MAP,
+)
+def target_match_as_written(spark, sf):
+    return placement.target_match(_candidates(spark, sf), _given_sizes(spark, sf), "as_written")
+
+
+@query("rebalance_round")
+def rebalance_round(spark, sf):
+    return control.rebalance_round(wl.hot_map_given(spark, sf), wl.N_PARTITIONS)
+
+
+TOLERANCE = 1.5
+
+
+@query(
+    "rebalance_tolerance",
+    f"""SELECT topic, max(size) AS max_size, any_value(avg_size) AS avg_size,
+               max(size) <= any_value(avg_size) * (1.0::DOUBLE + {TOLERANCE}::DOUBLE) AS skip_round
+        FROM sz JOIN av USING (topic) GROUP BY topic""",
+    o.GIVEN_MAP,
+)
+def rebalance_tolerance(spark, sf):
+    return placement.within_tolerance(_given_sizes(spark, sf), TOLERANCE)
+
+
+COOLDOWN = 400
+
+
+@query(
+    "cooldown_candidates",
+    f"""SELECT topic, key, count, partition, size, avg_size FROM cand
+        WHERE NOT EXISTS (
+          SELECT 1 FROM (SELECT *, lag(partition) OVER (PARTITION BY topic, key ORDER BY valid_from)
+                                   AS was FROM lg) l
+          WHERE l.topic = cand.topic AND l.key = cand.key AND l.was <> l.partition
+            AND l.valid_from <= {wl.GIVEN_PREFIX}
+            AND {wl.GIVEN_PREFIX} - l.valid_from < {COOLDOWN})""",
+    o.GIVEN_MAP + "," + o.GIVEN_LOG[len(o.SEQ) + 1 :].split("routed AS")[0].rstrip().rstrip(","),
+)
+def cooldown_candidates(spark, sf):
+    log = wl.hot_map_log_given(spark, sf)
+    now = log.select("topic").distinct().withColumn("at_seq", F.lit(wl.GIVEN_PREFIX).cast("long"))
+    return placement.cooled_candidates(_candidates(spark, sf), log, now, COOLDOWN)
+
+
+MAP_EVENTS = (
+    o.GIVEN_LOG
+    + """,
+ev AS (
+  SELECT topic, key, valid_from - 1 AS seq,
+         CASE WHEN valid_from = 1 THEN 'promote' ELSE 'move' END AS op, count, partition FROM lg
+  UNION ALL
+  SELECT topic, key, 1900, 'evict', count, partition FROM lg WHERE num = 9 AND valid_to IS NULL
+),
+chained AS (SELECT *, lead(seq) OVER (PARTITION BY topic, key ORDER BY seq) AS next_seq FROM ev)"""
+)
+
+
+@query(
+    "hot_map_log",
+    """SELECT topic, key, count, partition, seq + 1 AS valid_from, next_seq + 1 AS valid_to,
+              op AS opened_by FROM chained WHERE op <> 'evict'""",
+    MAP_EVENTS,
+)
+def hot_map_log(spark, sf):
+    return control.build_map_log(wl.hot_map_events_given(spark, sf))
+
+
+@query(
+    "hot_map_current",
+    """SELECT topic, key, count, partition FROM chained
+       WHERE op <> 'evict' AND next_seq IS NULL""",
+    MAP_EVENTS,
+)
+def hot_map_current(spark, sf):
+    return control.current_map(hot_map_log(spark, sf))
+
+
+def control_log(spark, sf, **options):
+    """The whole control plane: sketch, placement and rebalancing."""
+    bucketed = _bucketed(spark, sf)
+    lives = sketch.lossy_lifecycles(
+        bucketed, wl.EPSILON, wl.SUPPORT, max_bucket=_max_bucket(spark, sf)
+    )
+    turns = sketch.turnovers(bucketed, wl.EPSILON)
+    every = options.pop("rebalance_every", wl.REBALANCE_EVERY)
+    events = control.control_events(lives, turns, wl.N_PARTITIONS, every)
+    return control.replay_control(events, wl.N_PARTITIONS, **options)
+
+
+@query("p2c_replay")
+def p2c_replay(spark, sf):
+    return control_log(spark, sf, rebalance_every=None)
+
+
+@query("control_replay")
+def control_replay(spark, sf):
+    return control_log(spark, sf)
+
+
+# --- routing ------------------------------------------------------------------
+
+
+@query("route_vanilla", "SELECT msg_id, topic, key, p AS route FROM ms", o.SEQ)
+def route_vanilla(spark, sf):
+    messages = wl.keyed_messages(spark, sf).select("msg_id", "topic", "key")
+    return routing.route(messages, wl.N_PARTITIONS)
+
+
+@query("route_hot", "SELECT msg_id, topic, key, seq, route FROM routed", o.GIVEN_LOG)
+def route_hot(spark, sf):
+    messages = wl.sequenced(spark, sf).select("msg_id", "topic", "key", "seq")
+    return routing.route(messages, wl.N_PARTITIONS, wl.hot_map_log_given(spark, sf))
+
+
+@query("route_hot_shuffled", "SELECT msg_id, topic, key, seq, route FROM routed", o.GIVEN_LOG)
+def route_hot_shuffled(spark, sf):
+    """The form used when the map's history is too large to broadcast."""
+    messages = wl.sequenced(spark, sf).select("msg_id", "topic", "key", "seq")
+    log = wl.hot_map_log_given(spark, sf)
+    return routing.route(messages, wl.N_PARTITIONS, log, broadcast_rows=0)
+
+
+@query(
+    "route_unordered",
+    f"""SELECT msg_id, topic, key, coalesce(lg.partition, {o.fnv_part("(CAST(msg_id AS VARCHAR) || '#r')")})
+                 AS route
+        FROM ms LEFT JOIN lg USING (topic, key)
+        WHERE lg.topic IS NULL OR (ms.seq >= lg.valid_from
+              AND (lg.valid_to IS NULL OR ms.seq < lg.valid_to))""",
+    o.GIVEN_LOG,
+)
+def route_unordered(spark, sf):
+    messages = wl.sequenced(spark, sf).select("msg_id", "topic", "key", "seq")
+    log = wl.hot_map_log_given(spark, sf)
+    return routing.route(messages, wl.N_PARTITIONS, log, cold="random").drop("seq")
+
+
+@query(
+    "sticky_rr",
+    """SELECT km.msg_id, km.key, '10.2.0.' || CAST((t.turn - 1) % 4 + 1 AS VARCHAR) AS endpoint
+       FROM km JOIN (
+         SELECT key, row_number() OVER (ORDER BY f.ts, f.msg_id) AS turn
+         FROM (SELECT key, min({'ts': ts, 'msg_id': msg_id}) AS f FROM km GROUP BY key)) t
+       USING (key)""",
+)
+def sticky_rr(spark, sf):
+    messages = wl.keyed_messages(spark, sf).select("msg_id", "ts", "key")
+    return endpoints.sticky_round_robin(messages, wl.endpoints(spark)).drop("ts")
+
+
+@query("endpoint_registry", "SELECT service, array_to_string(ips, ',') AS ips, version FROM reg", o.FEED)
+def endpoint_registry(spark, sf):
+    registry = endpoints.fold_endpoints(wl.endpoint_feed(spark, sf))
+    return registry.withColumn("ips", F.array_join("ips", ","))
+
+
+@query(
+    "endpoint_lookup",
+    """SELECT s_suppkey AS request_id, n_name AS service, array_to_string(reg.ips, ',') AS ips
+       FROM supplier JOIN nation ON s_nationkey = n_nationkey
+       LEFT JOIN reg ON reg.service = n_name""",
+    o.FEED,
+)
+def endpoint_lookup(spark, sf):
+    feed = wl.endpoint_feed(spark, sf)
+    requests = feed.where("op = 'upsert'").select(F.col("feed_seq").alias("request_id"), "service")
+    found = endpoints.lookup_endpoints(requests, endpoints.fold_endpoints(feed))
+    return found.withColumn("ips", F.array_join("ips", ","))
+
+
+# --- message sets and delivery --------------------------------------------------
+
+
+def _tagged(spark, sf):
+    messages = wl.sequenced(spark, sf).select("msg_id", "topic", "key", "seq")
+    log = wl.hot_map_log_given(spark, sf)
+    return message_sets.tag_message_sets(messages, wl.N_PARTITIONS, log)
+
+
+def _sent(spark, sf):
+    return message_sets.sent_partition(_tagged(spark, sf))
+
+
+def _delivered(spark, sf):
+    return delivery.delivery_log(_sent(spark, sf))
+
+
+TAG = "src_partition, src_idx, dest_partition, dest_idx"
+
+
+@query("message_sets", f"SELECT topic, seq, key, {TAG}, is_boundary FROM tagged", o.GIVEN_LOG)
+def message_sets_query(spark, sf):
+    return _tagged(spark, sf).drop("msg_id")
+
+
+@query("sent_messages", "SELECT topic, seq, key, is_boundary, sent_partition FROM sent", o.GIVEN_LOG)
+def sent_messages(spark, sf):
+    return _sent(spark, sf).select("topic", "seq", "key", "is_boundary", "sent_partition")
+
+
+@query(
+    "latest_msgset",
+    f"""SELECT topic, key, {TAG} FROM (
+          SELECT *, row_number() OVER (PARTITION BY topic, key ORDER BY seq DESC) AS rk FROM tagged)
+        WHERE rk = 1""",
+    o.GIVEN_LOG,
+)
+def latest_msgset(spark, sf):
+    return message_sets.latest_message_set(_tagged(spark, sf))
+
+
+@query(
+    "msgset_codec",
+    f"""SELECT topic, seq, key, {TAG},
+               concat_ws(' ', key, src_partition, src_idx, dest_partition, dest_idx) || chr(10) AS wire
+        FROM tagged""",
+    o.GIVEN_LOG,
+)
+def msgset_codec(spark, sf):
+    """Tags written to bytes in both forms and read back."""
+    tagged = _tagged(spark, sf).withColumn("tag", message_sets.tag_struct())
+    wired = tagged.select(
+        "topic",
+        "seq",
+        encode_tag(F.col("tag"), "text").alias("text"),
+        encode_tag(F.col("tag"), "json").alias("json"),
+    )
+    read = wired.select(
+        "topic",
+        "seq",
+        F.col("text").cast("string").alias("wire"),
+        decode_tag(F.col("text"), "text").alias("a"),
+        decode_tag(F.col("json"), "json").alias("b"),
+    )
+    return read.where(F.col("a") == F.col("b")).select("topic", "seq", "wire", "a.*")
+
+
+@query(
+    "delivery_log",
+    'SELECT topic, seq, key, sent_partition, "offset" FROM delivered',
+    o.GIVEN_LOG,
+)
+def delivery_log(spark, sf):
+    return _delivered(spark, sf).select("topic", "seq", "key", "sent_partition", "offset")
+
+
+@query(
+    "shift_events",
+    """SELECT topic, key, seq, sent_partition, dest_partition, "offset" FROM delivered
+       WHERE dest_partition <> sent_partition""",
+    o.GIVEN_LOG,
+)
+def shift_events(spark, sf):
+    return delivery.shift_events(_delivered(spark, sf)).select(
+        "topic", "key", "seq", "sent_partition", "dest_partition", "offset"
+    )
+
+
+@query(
+    "sync_events",
+    """SELECT topic, key, seq, sent_partition, src_partition, dest_partition, dest_idx, "offset",
+              NOT is_boundary AND seq = min(CASE WHEN NOT is_boundary THEN seq END)
+                OVER (PARTITION BY topic, key, dest_idx) AS is_set_start
+       FROM delivered WHERE src_partition > -1 AND src_idx > -1""",
+    o.GIVEN_LOG,
+)
+def sync_events(spark, sf):
+    return delivery.sync_events(_delivered(spark, sf)).select(
+        "topic", "key", "seq", "sent_partition", "src_partition", "dest_partition",
+        "dest_idx", "offset", "is_set_start",
+    )
+
+
+@query(
+    "key_total_order",
+    """SELECT topic, key, seq, row_number() OVER (PARTITION BY topic, key ORDER BY seq) AS pos
+       FROM delivered""",
+    o.GIVEN_LOG,
+)
+def key_total_order(spark, sf):
+    ordered = delivery.key_total_order(_delivered(spark, sf))
+    return ordered.select("topic", "key", "seq", "pos")
+
+
+@query(
+    "order_violations",
+    "SELECT topic, key, seq, CAST(0 AS BIGINT) AS prev_seq FROM delivered WHERE false",
+    o.GIVEN_LOG,
+)
+def order_violations(spark, sf):
+    return delivery.order_violations(_delivered(spark, sf)).select(
+        "topic", "key", "seq", "prev_seq"
+    )
+
+
+@query(
+    "msg_sink",
+    f"""SELECT topic, sent_partition AS partition, key, body, msg_id, {TAG},
+               '10.1.0.' || CAST(msg_id % 3 AS VARCHAR) AS producer FROM sent""",
+    o.GIVEN_LOG,
+)
+def msg_sink(spark, sf):
+    """Written with headers under topic and partition, then read and decoded."""
+    full = with_sequence(wl.keyed_messages(spark, sf))
+    tagged = message_sets.tag_message_sets(full, wl.N_PARTITIONS, wl.hot_map_log_given(spark, sf))
+    who = F.concat(F.lit("10.1.0."), (F.col("msg_id") % 3).cast("string"))
+    records = message_sets.sent_partition(tagged).select(
+        "topic",
+        "sent_partition",
+        "key",
+        "body",
+        "msg_id",
+        producer_headers(who, encode_tag(message_sets.tag_struct())).alias("headers"),
+    )
+    path = scratch_path(spark, "sink")
+    write_messages(records, path)
+    decoded, _ = delivery.decode_records(spark.read.parquet(path))
+    return decoded.select(
+        "topic",
+        "partition",
+        "key",
+        "body",
+        "msg_id",
+        *[F.col(f"tag.{c}").alias(c) for c in message_sets.TAG_COLUMNS],
+        header(F.col("headers"), "Producer").cast("string").alias("producer"),
+    )
+
+
+# --- ingest -------------------------------------------------------------------
+
+
+@query(
+    "ingest_accept",
+    """SELECT event_id, 'location_' || CAST(event_id % 40 AS VARCHAR) AS key,
+              CASE WHEN event_id % 7 = 0 THEN 'b' || CAST(event_id AS VARCHAR) ELSE '' END AS body
+       FROM events WHERE event_id % 7 IN (0, 1)""",
+)
+def ingest_accept(spark, sf):
+    return ingest.validate_messages(wl.raw_bodies(spark, sf))[0]
+
+
+@query(
+    "ingest_reject",
+    """SELECT event_id,
+              CASE event_id % 7 WHEN 2 THEN 'wrong_type' WHEN 3 THEN 'unknown_key'
+                WHEN 4 THEN 'badly_formed' WHEN 5 THEN 'multiple_values' ELSE 'empty' END AS reason,
+              CASE event_id % 7 WHEN 2 THEN 'key' WHEN 3 THEN 'extra' END AS field
+       FROM events WHERE event_id % 7 > 1""",
+)
+def ingest_reject(spark, sf):
+    return ingest.validate_messages(wl.raw_bodies(spark, sf))[1].drop("raw")
+
+
+# --- traces -------------------------------------------------------------------
+
+
+@query(
+    "trace_source",
+    """SELECT trace_id AS "traceID", CASE WHEN receive_us IS NULL THEN 2 ELSE 3 END AS n_spans,
+              produce_us AS first_us FROM tr""",
+    o.TRACES,
+)
+def trace_source(spark, sf):
+    path = scratch_path(spark, "traces")
+    wl.traces(spark, sf).write.json(path)
+    read = read_traces(spark, path, service="consumer", since=0)
+    return read.select(
+        "traceID", F.size("spans").alias("n_spans"), F.col("spans")[0]["startTime"].alias("first_us")
+    )
+
+
+@query(
+    "trace_spans",
+    """SELECT trace_id AS "traceID", produce_us, receive_us, process_us FROM tr
+       WHERE receive_us IS NOT NULL""",
+    o.TRACES,
+)
+def trace_spans(spark, sf):
+    return latency.trace_spans(wl.traces(spark, sf)).select(
+        "traceID",
+        F.col("produced.startTime").alias("produce_us"),
+        F.col("received.startTime").alias("receive_us"),
+        F.col("processed.startTime").alias("process_us"),
+    )
+
+
+@query(
+    "trace_spans_flat",
+    """SELECT trace_id, produce_us, receive_us, process_us FROM tr WHERE receive_us IS NOT NULL""",
+    o.TRACES,
+)
+def trace_spans_flat(spark, sf):
+    return latency.pivot_spans(latency.flat_spans(wl.traces(spark, sf))).select(
+        "trace_id",
+        F.col("produced.start_us").alias("produce_us"),
+        F.col("received.start_us").alias("receive_us"),
+        F.col("processed.start_us").alias("process_us"),
+    )
+
+
+@query(
+    "trace_tags",
+    'SELECT trace_id AS "traceID", tag_partition AS "Partition", tag_key AS "Key" FROM tr '
+    "WHERE receive_us IS NOT NULL",
+    o.TRACES,
+)
+def trace_tags(spark, sf):
+    tagged = latency.trace_tags(latency.trace_spans(wl.traces(spark, sf)))
+    return tagged.select("traceID", "Partition", "Key")
+
+
+@query("trace_latency", "SELECT * FROM lat", o.TRACES)
+def trace_latency(spark, sf):
+    return latency.trace_latency(wl.traces(spark, sf))
+
+
+@query("trace_csv", "SELECT * FROM lat", o.TRACES)
+def trace_csv(spark, sf):
+    path = scratch_path(spark, "latency")
+    rows = latency.trace_latency(wl.traces(spark, sf))
+    write_latency_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@query("latency_by_partition", o.latency_by('"Partition"'), o.TRACES)
+def latency_by_partition(spark, sf):
+    return latency.latency_by(latency.trace_latency(wl.traces(spark, sf)), ["Partition"])
+
+
+@query("latency_by_key", o.latency_by('"Key"'), o.TRACES)
+def latency_by_key(spark, sf):
+    return latency.latency_by(latency.trace_latency(wl.traces(spark, sf)), ["Key"])
+
+
+@query("latency_by_partition_key", o.latency_by('"Partition", "Key"'), o.TRACES)
+def latency_by_partition_key(spark, sf):
+    return latency.latency_by(latency.trace_latency(wl.traces(spark, sf)), ["Partition", "Key"])
+
+
+@query(
+    "trace_join",
+    """SELECT trace_id, produce_us, process_us AS consume_us, process_dur AS duration_us,
+              process_us - produce_us AS delay_us FROM tr""",
+    o.TRACES,
+)
+def trace_join(spark, sf):
+    spans = latency.flat_spans(wl.traces(spark, sf))
+    return latency.correlate_spans(
+        spans.where(F.col("operation") == latency.PRODUCE),
+        spans.where(F.col("operation") == latency.PROCESS),
+    )
+
+
+# --- flagship -----------------------------------------------------------------
+
+
+@query("load_comparison")
+def load_comparison(spark, sf):
+    """Messages per partition when every key is hashed and when hot keys are placed.
+
+    Sketch, placement and rebalancing make the map; every message is routed as of
+    its own time, tagged and sent.
+    """
+    messages = wl.sequenced(spark, sf).select("msg_id", "topic", "key", "seq")
+    log = materialize(control_log(spark, sf), "map-log")
+    sent = message_sets.sent_partition(
+        message_sets.tag_message_sets(messages, wl.N_PARTITIONS, log)
+    )
+    hashed = (
+        routing.route(frequency.key_counts(messages), wl.N_PARTITIONS)
+        .groupBy("topic", F.col("route").alias("partition"))
+        .agg(F.sum("count").alias("hashed"))
+    )
+    placed = sent.groupBy("topic", F.col("sent_partition").alias("partition")).agg(
+        F.count(F.lit(1)).alias("placed")
+    )
+    frame = messages.select("topic").distinct().withColumn(
+        "partition", load.all_partitions(wl.N_PARTITIONS)
+    )
+    return (
+        frame.join(hashed, ["topic", "partition"], "left")
+        .join(placed, ["topic", "partition"], "left")
+        .fillna(0, ["hashed", "placed"])
+    )

@@ -118,3 +118,95 @@ def acks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         (F.col("msg_id") % 97 != 0).alias("ok"),
     )
+
+
+# Template texts of the ingest check, chosen by ``event_id % 7``.
+def raw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw request texts: two of seven kinds are valid."""
+    text = F.expr(
+        """CASE event_id % 7
+             WHEN 0 THEN concat('{"key":"location_', event_id % 40, '","body":"b', event_id, '"}')
+             WHEN 1 THEN concat('{"KEY":"location_', event_id % 40, '"}')
+             WHEN 2 THEN concat('{"key":', event_id, '}')
+             WHEN 3 THEN concat('{"key":"k","extra":', event_id, '}')
+             WHEN 4 THEN concat('{"key":"k', event_id, '"')
+             WHEN 5 THEN concat('{"key":"k"} {"key":"', event_id, '"}')
+             ELSE '   ' END"""
+    )
+    return table(spark, sf_dir, "events").select("event_id", text.alias("raw"))
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One trace of three spans per event; every 11th lacks a span, every 13th a tag."""
+    messages = keyed_messages(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
+    key_tag = F.struct(F.lit("consumer.key").alias("key"), F.col("key").alias("value"))
+    partition_tag = F.struct(
+        F.lit("message_bus.destination").alias("key"),
+        fnv_partition(F.col("key"), N_PARTITIONS).cast("string").alias("value"),
+    )
+    other = F.struct(F.lit("sending-gateway").alias("key"), F.lit("10.1.0.1").alias("value"))
+    no_partition = F.col("msg_id") % 13 == 0
+    tags = F.when(no_partition, F.array(key_tag, other)).otherwise(
+        F.array(partition_tag, key_tag, other)
+    )
+    none = F.array().cast("array<struct<key:string,value:string>>")
+
+    def span(operation: str, shift: Column, extra: int, process: str, tag: Column) -> Column:
+        return F.struct(
+            F.lit(operation).alias("operationName"),
+            (F.col("us") + shift).alias("startTime"),
+            (F.col("msg_id") % 1000 + extra).alias("duration"),
+            F.lit(process).alias("processID"),
+            tag.alias("tags"),
+        )
+
+    zero = F.lit(0).cast("long")
+    produced = span("produce message", zero, 1, "p1", none)
+    received = span("OrderGo receive", F.col("msg_id") % 500, 2, "p2", none)
+    processed = span("print message", F.col("msg_id") % 900, 3, "p2", tags)
+    spans = F.when(F.col("msg_id") % 11 == 0, F.array(produced, processed)).otherwise(
+        F.array(produced, received, processed)
+    )
+    processes = F.create_map(
+        F.lit("p1"), F.struct(F.lit("producer").alias("serviceName")),
+        F.lit("p2"), F.struct(F.lit("consumer").alias("serviceName")),
+    )
+    return messages.select(
+        F.col("msg_id").cast("string").alias("traceID"),
+        spans.alias("spans"),
+        processes.alias("processes"),
+    )
+
+
+def endpoint_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert per supplier under its nation's name, then deletes of every fifth nation."""
+    suppliers = table(spark, sf_dir, "supplier")
+    nations = table(spark, sf_dir, "nation")
+    ip = F.concat(
+        F.lit("10.0."), F.col("s_nationkey").cast("string"), F.lit("."),
+        (F.col("s_suppkey") % 250).cast("string"),
+    )
+    address = F.array(F.struct(F.array(F.struct(ip.alias("ip"))).alias("addresses")))
+    upserts = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("feed_seq"),
+        F.lit("default").alias("namespace"),
+        F.col("n_name").alias("service"),
+        F.lit("upsert").alias("op"),
+        address.alias("subsets"),
+    )
+    deletes = nations.where("n_nationkey % 5 = 0").select(
+        (F.lit(1_000_000_000_000) + F.col("n_nationkey")).alias("feed_seq"),
+        F.lit("default").alias("namespace"),
+        F.col("n_name").alias("service"),
+        F.lit("delete").alias("op"),
+        F.lit(None).cast("array<struct<addresses:array<struct<ip:string>>>>").alias("subsets"),
+    )
+    return upserts.unionByName(deletes)
+
+
+def endpoints(spark: SparkSession) -> DataFrame:
+    """Four fixed endpoints, the gateway's configuration."""
+    return spark.range(4).select(
+        F.col("id").cast("int").alias("endpoint_idx"),
+        F.concat(F.lit("10.2.0."), (F.col("id") + 1).cast("string")).alias("ip"),
+    )
