@@ -21,6 +21,8 @@ INTERVALS_PER_KEY = 256
 # A key with more than 1/HEAVY_SHARE of all rows is joined apart; so at most
 # HEAVY_SHARE keys can be heavy, whatever the data.
 HEAVY_SHARE = 10_000
+# Chunks a long-standing interval may be cut into.
+MAX_CHUNKS = 16_384
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,9 @@ def plan_interval_join(
     if (size["rows"] or 0) <= broadcast_rows and (size["widest"] or 0) <= INTERVALS_PER_KEY:
         return IntervalPlan(broadcast=True)
     horizon = facts.agg(F.max(at)).first()[0] or 0
-    return IntervalPlan(broadcast=False, horizon=horizon, chunk=chunk)
+    return IntervalPlan(
+        broadcast=False, horizon=horizon, chunk=max(chunk, -(-horizon // MAX_CHUNKS))
+    )
 
 
 def interval_join(

@@ -23,8 +23,10 @@ from keytide.operators.placement import STOP_RULES
 
 LOG_SCHEMA = (
     "topic string, key string, count bigint, partition int,"
-    " valid_from bigint, valid_to bigint, opened_by string"
+    " valid_from bigint, valid_to bigint, opened_by string, moved_at bigint"
 )
+# Prefix of the events that put back an entry; what opened it follows.
+LOAD = "load:"
 EVENT_COLUMNS = ("topic", "at", "phase", "insert_n", "op", "key", "count", "p1", "p2")
 
 
@@ -35,13 +37,27 @@ def control_events(
 
     ``rebalance_every`` counts turnovers; None leaves the map unbalanced.
     """
-    up = sketch.hot_keys(lives).withColumn("op", F.lit("promote"))
-    down = sketch.evictions(lives).where("was_hot").drop("was_hot")
-    down = down.withColumns({"op": F.lit("evict"), "count": F.lit(0).cast("long")})
+    was_hot = F.col("hot_bucket").isNotNull()
+    up = F.struct(
+        F.col("hot_bucket").alias("bucket"),
+        F.col("hot_count").alias("count"),
+        F.lit("promote").alias("op"),
+    )
+    down = F.struct(
+        F.col("end_bucket").alias("bucket"),
+        F.lit(0).cast("long").alias("count"),
+        F.lit("evict").alias("op"),
+    )
+    # Both events of a life in one pass; keys that never were hot drop out here.
+    events = lives.where(was_hot).select(
+        "topic",
+        "key",
+        "insert_n",
+        F.inline(F.array_compact(F.array(up, F.when(F.col("end_bucket").isNotNull(), down)))),
+    )
     first, second = p2c_draws(F.col("key"), n_partitions)
     changes = (
-        up.unionByName(down)
-        .join(turns.select("topic", "bucket", "close_seq"), ["topic", "bucket"])
+        events.join(turns.select("topic", "bucket", "close_seq"), ["topic", "bucket"])
         .select(
             "topic",
             F.col("close_seq").alias("at"),
@@ -70,6 +86,21 @@ def control_events(
     return changes.unionByName(ticks)
 
 
+def load_events(standing: DataFrame) -> DataFrame:
+    """Events that put the standing entries of a log back before anything else."""
+    return standing.select(
+        "topic",
+        F.col("valid_from").alias("at"),
+        F.lit(-1).alias("phase"),
+        F.coalesce("moved_at", F.lit(-1)).cast("long").alias("insert_n"),
+        F.concat(F.lit(LOAD), F.col("opened_by")).alias("op"),
+        "key",
+        "count",
+        F.col("partition").alias("p1"),
+        F.lit(0).alias("p2"),
+    )
+
+
 class TopicMap:
     """Hot map of one topic: key -> [count, partition, since, opened_by, moved_at]."""
 
@@ -148,9 +179,8 @@ def replay_control(
     """Validity intervals of the hot map: each key's partition from and to which seq.
 
     A change made after message s is valid from s + 1; ``valid_to`` is exclusive and
-    NULL while the entry stands. ``cooldown`` is in messages of the topic. Events
-    with op ``load`` (count, p1 = partition, at = valid_from, insert_n = last move or
-    -1) put back an earlier state and must come first.
+    NULL while the entry stands; ``moved_at`` is the key's last move. ``cooldown`` is in
+    messages of the topic. Events made by ``load_events`` put back an earlier state.
     """
     if stop_rule not in STOP_RULES:
         raise ValueError(f"stop_rule is one of {STOP_RULES}")
@@ -158,12 +188,15 @@ def replay_control(
     def fold(group: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         topic = group[0]
         state = TopicMap(n_partitions)
-        columns = ["key", "count", "partition", "valid_from", "valid_to", "opened_by"]
+        columns = [
+            "key", "count", "partition", "valid_from", "opened_by", "moved_at", "valid_to",
+        ]
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
             out = pd.DataFrame(rows, columns=columns)
             out.insert(0, "topic", topic)
-            out["valid_to"] = out["valid_to"].astype("Int64")
+            for nullable in ("valid_to", "moved_at"):
+                out[nullable] = out[nullable].astype("Int64")
             return out
 
         for batch in batches:
@@ -179,20 +212,16 @@ def replay_control(
                 elif op == "evict":
                     entry = state.take(key)
                     if entry is not None:
-                        closed.append((key, entry[0], entry[1], entry[2], at + 1, entry[3]))
-                elif op == "load":
+                        closed.append((key, *entry, at + 1))
+                elif op.startswith(LOAD):
                     last_move = int(moved) if moved >= 0 else None
-                    state.put(key, int(count), int(p1), at, "load", last_move)
+                    state.put(key, int(count), int(p1), at, op[len(LOAD):], last_move)
                 else:
                     for moved_key, before, _ in state.rebalance(at, stop_rule, tolerance, cooldown):
-                        closed.append(
-                            (moved_key, before[0], before[1], before[2], at + 1, before[3])
-                        )
+                        closed.append((moved_key, *before, at + 1))
             if closed:
                 yield frame(closed)
-        standing = [
-            (key, e[0], e[1], e[2], None, e[3]) for key, e in state.entries.items()
-        ]
+        standing = [(key, *entry, None) for key, entry in state.entries.items()]
         if standing:
             yield frame(standing)
 
@@ -232,16 +261,14 @@ def rebalance_round(
     Sources go in ascending order and each sees the sizes the ones before left.
     The group is a topic's current map, whose size the sketch bounds.
     """
-    loads = hot_map.select(
-        "topic",
-        F.lit(1).cast("long").alias("at"),
-        F.lit(-1).alias("phase"),
-        F.lit(-1).cast("long").alias("insert_n"),
-        F.lit("load").alias("op"),
-        "key",
-        "count",
-        F.col("partition").alias("p1"),
-        F.lit(0).alias("p2"),
+    loads = load_events(
+        hot_map.withColumns(
+            {
+                "valid_from": F.lit(1).cast("long"),
+                "opened_by": F.lit("promote"),
+                "moved_at": F.lit(None).cast("long"),
+            }
+        )
     )
     ticks = hot_map.select("topic").distinct().select(
         "topic",

@@ -17,39 +17,81 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytide.functions.hashing import fnv_partition
-from keytide.functions.joins import BROADCAST_ROWS, interval_join, plan_interval_join
+from keytide.functions.joins import (
+    BROADCAST_ROWS,
+    IntervalPlan,
+    interval_join,
+    plan_interval_join,
+)
 from keytide.operators.routing import ON, timeline
 
 TAG_COLUMNS = ("src_partition", "src_idx", "dest_partition", "dest_idx")
 
 
 def number_sets(visited: DataFrame) -> DataFrame:
-    """Number the sets of each key, given its visited intervals with ``first_seq``.
+    """Tags of each key's sets, given its visited intervals with their ``first_seq``.
 
     Neighbouring intervals on one partition belong to one set. ``set_seq`` is the
-    first message of the set. Columns ``_last_partition`` and ``_last_idx``, where
-    present, are the set the key was in before (a stream continuing).
+    message that opened the set, NULL for a set nothing was moved for. Columns
+    ``_last_partition``, ``_last_idx`` and ``_last_src``, where present, are the set
+    the key was in before (a stream continuing).
     """
     by_key = W.partitionBy(*ON).orderBy("valid_from")
     so_far = by_key.rowsBetween(W.unboundedPreceding, 0)
     if "_last_idx" not in visited.columns:
+        unknown = F.lit(None).cast("int")
         visited = visited.withColumns(
-            {"_last_partition": F.lit(None).cast("int"), "_last_idx": F.lit(None).cast("int")}
+            {"_last_partition": unknown, "_last_idx": unknown, "_last_src": unknown}
         )
-    came_from = F.coalesce(F.lag("partition").over(by_key), F.col("_last_partition"))
-    steps = visited.withColumn("_came", came_from)
-    changed = F.col("_came").isNotNull() & (F.col("_came") != F.col("partition"))
-    steps = steps.withColumn("_changed", changed)
-    numbered = steps.withColumn(
-        "dest_idx",
-        (
-            F.coalesce(F.col("_last_idx"), F.lit(0))
-            + F.sum(F.col("_changed").cast("int")).over(so_far)
-        ).cast("int"),
+    came = F.coalesce(F.lag("partition").over(by_key), F.col("_last_partition"))
+    steps = visited.withColumn("_came", came).withColumn(
+        "_changed", F.coalesce(F.col("_came") != F.col("partition"), F.lit(False))
     )
     opened = F.when(F.col("_changed"), F.struct("_came", "first_seq"))
-    numbered = numbered.withColumn("_open", F.last(opened, ignorenulls=True).over(so_far))
-    return numbered.withColumns({"dest_partition": F.col("partition"), "set_seq": F.col("_open.first_seq")})
+    changes = F.sum(F.col("_changed").cast("int")).over(so_far)
+    numbered = steps.withColumns(
+        {
+            "_open": F.last(opened, ignorenulls=True).over(so_far),
+            "dest_idx": (F.coalesce(F.col("_last_idx"), F.lit(0)) + changes).cast("int"),
+        }
+    )
+    return numbered.select(
+        *ON,
+        "valid_from",
+        "valid_to",
+        F.coalesce("_open._came", "_last_src", F.lit(-1)).alias("src_partition"),
+        F.when(F.col("dest_idx") > 0, F.col("dest_idx") - 1).otherwise(-1).alias("src_idx"),
+        F.col("partition").alias("dest_partition"),
+        "dest_idx",
+        F.col("_open.first_seq").alias("set_seq"),
+    )
+
+
+def first_in_interval(messages: DataFrame, line: DataFrame, plan: IntervalPlan) -> DataFrame:
+    """Intervals in which a key sent anything, with the first of those messages."""
+    return (
+        interval_join(messages.select(*ON, "seq"), line, ON, "seq", plan)
+        .where(F.col("valid_from").isNotNull())
+        .groupBy(*ON, "valid_from", "valid_to", "partition")
+        .agg(F.min("seq").alias("first_seq"))
+    )
+
+
+def apply_sets(
+    messages: DataFrame, sets: DataFrame, plan: IntervalPlan, n_partitions: int
+) -> DataFrame:
+    """Give every message its set's tag; what has none is in its key's first set."""
+    joined = interval_join(messages, sets, ON, "seq", plan)
+    home = fnv_partition(F.col("key"), n_partitions)
+    return joined.withColumns(
+        {
+            "src_partition": F.coalesce("src_partition", F.lit(-1)),
+            "src_idx": F.coalesce("src_idx", F.lit(-1)),
+            "dest_partition": F.coalesce("dest_partition", home),
+            "dest_idx": F.coalesce("dest_idx", F.lit(0)),
+            "is_boundary": F.coalesce(F.col("seq") == F.col("set_seq"), F.lit(False)),
+        }
+    ).drop("valid_from", "valid_to", "set_seq")
 
 
 def tag_message_sets(
@@ -65,30 +107,9 @@ def tag_message_sets(
     """
     line = timeline(hot_map_log, n_partitions)
     plan = plan_interval_join(line, ON, messages, "seq", broadcast_rows)
-    visited = (
-        interval_join(messages.select(*ON, "seq"), line, ON, "seq", plan)
-        .where(F.col("valid_from").isNotNull())
-        .groupBy(*ON, "valid_from", "valid_to", "partition")
-        .agg(F.min("seq").alias("first_seq"))
-    )
-    sets = number_sets(visited).select(
-        *ON, "valid_from", "valid_to", "dest_partition", "dest_idx", "set_seq",
-        F.coalesce(F.col("_open._came"), F.lit(-1)).alias("src_partition"),
-        F.when(F.col("dest_idx") > 0, F.col("dest_idx") - 1).otherwise(-1).alias("src_idx"),
-    )
-    # ``sets`` has no more rows than ``line``, on whose size the plan was made.
-    joined = interval_join(messages, sets, ON, "seq", plan)
-    return joined.withColumns(
-        {
-            "dest_partition": F.coalesce("dest_partition", fnv_partition(F.col("key"), n_partitions)),
-            "dest_idx": F.coalesce("dest_idx", F.lit(0)),
-            "src_partition": F.coalesce("src_partition", F.lit(-1)),
-            "src_idx": F.coalesce("src_idx", F.lit(-1)),
-            "is_boundary": F.coalesce(
-                (F.col("dest_idx") > 0) & (F.col("seq") == F.col("set_seq")), F.lit(False)
-            ),
-        }
-    ).drop("valid_from", "valid_to", "set_seq")
+    # No more sets than intervals, on whose number the plan was made.
+    sets = number_sets(first_in_interval(messages, line, plan))
+    return apply_sets(messages, sets, plan, n_partitions)
 
 
 def sent_partition(tagged: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from keytide.session import materialize
 
 # Buckets per chunk.
 BUCKET_CHUNK = 100_000
+CARRIED_COLUMNS = ("carried", "hot_bucket", "hot_count")
 
 
 def bucket_width(epsilon: float) -> int:
@@ -54,11 +55,13 @@ def assign_buckets(
 
 
 def turnovers(bucketed: DataFrame, epsilon: float) -> DataFrame:
-    """Complete buckets of each topic and the ``seq`` of the message closing each."""
-    return (
-        bucketed.groupBy("topic", "bucket")
-        .agg(F.count(F.lit(1)).alias("n_messages"), F.max("seq").alias("close_seq"))
-        .where(F.col("n_messages") == bucket_width(epsilon))
+    """Complete buckets of each topic, from the message closing each: no shuffle."""
+    width = bucket_width(epsilon)
+    return bucketed.where(F.col("n") % width == 0).select(
+        "topic",
+        "bucket",
+        F.lit(width).cast("long").alias("n_messages"),
+        F.col("seq").alias("close_seq"),
     )
 
 
@@ -69,8 +72,14 @@ def bucket_counts(bucketed: DataFrame) -> DataFrame:
     )
 
 
-def _scan(counts: DataFrame, full: DataFrame, bucket_chunk: int, max_bucket: int | None) -> DataFrame:
-    """Per (key, bucket): life start, occurrences since, and the next occurrence."""
+def scan_buckets(
+    counts: DataFrame, full: DataFrame, bucket_chunk: int, max_bucket: int | None
+) -> DataFrame:
+    """Per (key, bucket): life start, occurrences since, and the next occurrence.
+
+    ``counts`` may carry earlier lives into a later batch of a stream: a row at the
+    start bucket with all occurrences so far, ``carried`` true, and when it was hot.
+    """
     complete = counts.join(full, "topic").where(F.col("bucket") <= F.col("full"))
     if max_bucket is None:
         max_bucket = full.agg(F.max("full")).first()[0] or 0
@@ -123,8 +132,9 @@ def _scan(counts: DataFrame, full: DataFrame, bucket_chunk: int, max_bucket: int
         )
     start = F.col("low.b")
     seen = F.col("c_sum") - F.col("low.p") - 2 * (start - 1)
+    extra = [c for c in CARRIED_COLUMNS if c in counts.columns]
     return scanned.select(
-        *key, "bucket", "c", "first_n", "full", "next_bucket",
+        *key, "bucket", "c", "first_n", "full", "next_bucket", *extra,
         start.alias("start_bucket"), seen.alias("seen"),
     )
 
@@ -158,7 +168,7 @@ def lossy_lifecycles(
     it is hot and its count then, ``insert_n`` its place in visiting order.
     ``max_bucket`` may be any upper bound on the bucket ids; it saves a look at them.
     """
-    scan = _scan(
+    scan = scan_buckets(
         bucket_counts(bucketed), _full_buckets(bucketed, epsilon), bucket_chunk, max_bucket
     )
     return lives_of(scan, epsilon, support)
@@ -171,6 +181,12 @@ def lives_of(scan: DataFrame, epsilon: float, support: float) -> DataFrame:
         _kept() & (count.cast("double") >= threshold),
         F.struct(F.col("bucket").alias("bucket"), count.alias("count")),
     )
+    if "carried" in scan.columns:
+        earlier = F.when(
+            F.col("hot_bucket").isNotNull(),
+            F.struct(F.col("hot_bucket").alias("bucket"), F.col("hot_count").alias("count")),
+        )
+        hot = F.when(F.col("carried"), earlier).otherwise(hot)
     lives = scan.groupBy("topic", "key", "start_bucket").agg(
         F.sum("c").alias("seen"),
         F.min("first_n").alias("insert_n"),
@@ -201,7 +217,7 @@ def lossy_items(
     bucket_chunk: int = BUCKET_CHUNK,
 ) -> DataFrame:
     """The tracked keys with their counts after every turnover, and whether hot."""
-    scan = _scan(
+    scan = scan_buckets(
         bucket_counts(bucketed), _full_buckets(bucketed, epsilon), bucket_chunk, max_bucket
     ).where(_kept())
     # Without another occurrence the key is kept until the bucket before it is dropped.

@@ -26,7 +26,16 @@ from keytide.operators import (
 from keytide.plans import oracle as o
 from keytide.plans import workload as wl
 from keytide.session import materialize, scratch_path
-from keytide.sources import read_traces, write_latency_csv, write_messages
+from keytide.sources import read_messages, read_traces, write_latency_csv, write_messages
+from keytide.streaming import (
+    HotKeyConfig,
+    run_hot_key_stream,
+    stream_partition_rate,
+    stream_shift_events,
+    stream_sketch,
+    stream_sync_events,
+    stream_tags,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -450,12 +459,12 @@ def control_log(spark, sf, **options):
 
 @query("p2c_replay")
 def p2c_replay(spark, sf):
-    return control_log(spark, sf, rebalance_every=None)
+    return control_log(spark, sf, rebalance_every=None).drop("moved_at")
 
 
 @query("control_replay")
 def control_replay(spark, sf):
-    return control_log(spark, sf)
+    return control_log(spark, sf).drop("moved_at")
 
 
 # --- routing ------------------------------------------------------------------
@@ -843,3 +852,147 @@ def load_comparison(spark, sf):
         .join(placed, ["topic", "partition"], "left")
         .fillna(0, ["hashed", "placed"])
     )
+
+
+# --- streams: the same results from micro-batches -------------------------------
+
+STREAM_PARTS = 4
+
+
+def run_in_parts(spark, sf, start):
+    """Append the log part by part and let the stream catch up with each.
+
+    Every part is one micro-batch of however many files Spark writes for it; the
+    stream is started anew each time and resumes from its checkpoint.
+    """
+    path = scratch_path(spark, "log")
+    messages = wl.keyed_messages(spark, sf)
+    shares = [i / STREAM_PARTS for i in range(1, STREAM_PARTS)]
+    us = F.unix_micros("ts")
+    cuts = messages.agg(F.percentile_approx(us, shares).alias("cuts")).first()["cuts"]
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        part = messages if low is None else messages.where(us > low)
+        part = part if high is None else part.where(us <= high)
+        part.write.mode("append").parquet(path)
+        start(read_messages(spark, path, streaming=True)).awaitTermination()
+
+
+def stream_config():
+    return HotKeyConfig(wl.N_PARTITIONS, wl.EPSILON, wl.SUPPORT, wl.REBALANCE_EVERY)
+
+
+@query(
+    "stream_sketch",
+    """SELECT topic, key, start_b AS start_bucket, min(bucket) FILTER (NOT kept) AS end_bucket,
+              max(seen) AS seen, min(ins) AS insert_n, min(bucket) FILTER (hot) AS hot_bucket,
+              arg_min(cnt, bucket) FILTER (hot) AS hot_count
+       FROM step GROUP BY topic, key, start_b""",
+    o.lossy(),
+    recursive=True,
+)
+def stream_sketch_query(spark, sf):
+    """Ended lives of all batches and what is tracked after the last."""
+    state, offsets = scratch_path(spark, "state"), scratch_path(spark, "offsets")
+    run_in_parts(spark, sf, lambda s: stream_sketch(s, state, offsets, stream_config()))
+    lives = spark.read.parquet(f"{state}/lives")
+    last = lives.agg(F.max("batch")).first()[0]
+    return lives.where(F.col("end_bucket").isNotNull() | (F.col("batch") == last)).drop(
+        "batch", "status", "count"
+    )
+
+
+@query(
+    "stream_tags",
+    f"SELECT topic, seq, key, {TAG}, is_boundary, sent_partition FROM sent",
+    o.GIVEN_LOG,
+)
+def stream_tags_query(spark, sf):
+    out, state = scratch_path(spark, "tagged"), scratch_path(spark, "state")
+    offsets = scratch_path(spark, "offsets")
+
+    def given(session: SparkSession) -> DataFrame:
+        return wl.hot_map_log_given(session, sf)
+
+    run_in_parts(
+        spark, sf, lambda s: stream_tags(s, given, state, out, offsets, stream_config())
+    )
+    return spark.read.parquet(out).drop("batch", "msg_id", "ts", "body")
+
+
+@query("stream_hot_keys")
+def stream_hot_keys(spark, sf):
+    """The whole producer side as a stream; equals the batch twin (see the tests)."""
+    out, state = scratch_path(spark, "sent"), scratch_path(spark, "state")
+    offsets = scratch_path(spark, "offsets")
+    run_in_parts(
+        spark, sf, lambda s: run_hot_key_stream(s, state, out, offsets, stream_config())
+    )
+    return spark.read.parquet(out).drop("batch", "msg_id", "ts", "body")
+
+
+@query(
+    "stream_partition_rate",
+    """SELECT topic, p AS partition, ts_us // 60000000 * 60000000 AS window_us, count(*) AS messages
+       FROM ms WHERE msg_id % 97 <> 0 GROUP BY ALL""",
+    o.SEQ,
+)
+def stream_rate_query(spark, sf):
+    out, offsets = scratch_path(spark, "rates"), scratch_path(spark, "offsets")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    def start(messages: DataFrame):
+        acked = messages.select(
+            "topic",
+            fnv_partition(F.col("key"), wl.N_PARTITIONS).alias("partition"),
+            "ts",
+            (F.col("msg_id") % 97 != 0).alias("ok"),
+        )
+        rates = stream_partition_rate(acked, "60 seconds", "10 seconds")
+        writer = rates.writeStream.outputMode("update").foreachBatch(step)
+        return writer.option("checkpointLocation", offsets).trigger(availableNow=True).start()
+
+    run_in_parts(spark, sf, start)
+    # In update mode the last batch that touched a window has its final count.
+    return spark.read.parquet(out).groupBy("topic", "partition", "window_us").agg(
+        F.max_by("messages", "batch").alias("messages")
+    )
+
+
+@query(
+    "stream_shift_events",
+    "SELECT topic, key, sent_partition, dest_partition, dest_idx FROM delivered "
+    "WHERE dest_partition <> sent_partition",
+    o.GIVEN_LOG,
+)
+def stream_shift_query(spark, sf):
+    return _detected(spark, sf, stream_shift_events)
+
+
+@query(
+    "stream_sync_events",
+    "SELECT topic, key, sent_partition, dest_partition, dest_idx FROM delivered "
+    "WHERE src_partition > -1 AND src_idx > -1",
+    o.GIVEN_LOG,
+)
+def stream_sync_query(spark, sf):
+    return _detected(spark, sf, stream_sync_events)
+
+
+def _detected(spark, sf, detect):
+    """Records written to the log with their headers, then consumed as a stream."""
+    path, out = scratch_path(spark, "records"), scratch_path(spark, "detected")
+    records = _sent(spark, sf).select(
+        "topic",
+        "key",
+        "sent_partition",
+        producer_headers(F.lit("10.1.0.1"), encode_tag(message_sets.tag_struct())).alias("headers"),
+    )
+    records.write.parquet(path)
+    stream = spark.readStream.schema(records.schema).parquet(path)
+    detect(stream).select("topic", "key", "sent_partition", "dest_partition", "dest_idx").writeStream.option(
+        "checkpointLocation", scratch_path(spark, "offsets")
+    ).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    return spark.read.parquet(out)
