@@ -856,7 +856,7 @@ def load_comparison(spark, sf):
 
 # --- streams: the same results from micro-batches -------------------------------
 
-STREAM_PARTS = 4
+STREAM_PARTS = 3
 
 
 def run_in_parts(spark, sf, start):
