@@ -4,6 +4,9 @@ from keytide.functions.chunked import (
     chunked_lag,
     chunked_rank,
     chunked_running_sum,
+    fits_one_task,
+    plain_lag,
+    plain_rank,
     with_sequence,
 )
 from keytide.functions.joins import dimension_join, interval_join, plan_interval_join
@@ -20,6 +23,9 @@ __all__ = [
     "chunked_lag",
     "chunked_rank",
     "chunked_running_sum",
+    "fits_one_task",
+    "plain_lag",
+    "plain_rank",
     "with_sequence",
     "dimension_join",
     "interval_join",

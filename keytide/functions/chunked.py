@@ -34,6 +34,24 @@ def chunk_of(dense: str | Column, size: int) -> Column:
     return F.floor(col / F.lit(size)).cast("long")
 
 
+def fits_one_task(df: DataFrame, rows: int) -> bool:
+    """Whether all of ``df`` is no more than ``rows``; on a stored table a look at footers."""
+    return df.count() <= rows
+
+
+def plain_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``chunked_rank`` for data known to fit one task."""
+    whole = W.partitionBy(*group).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(whole).cast("long"))
+
+
+def plain_lag(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str
+) -> DataFrame:
+    """``chunked_lag`` for data known to fit one task."""
+    return df.withColumn(out, F.lag(value).over(W.partitionBy(*group).orderBy(*order)))
+
+
 def _before(group: Sequence[str], chunk: Sequence[str]) -> W:
     return W.partitionBy(*group).orderBy(*chunk).rowsBetween(W.unboundedPreceding, -1)
 
@@ -69,7 +87,9 @@ def chunked_lag(
 ) -> DataFrame:
     """Value of the preceding row of the group in ``order`` (NULL for the first)."""
     group, chunk = list(group), list(chunk)
-    last = df.groupBy(*group, *chunk).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    within = [c for c in order if c not in chunk]
+    latest = F.col(within[0]) if len(within) == 1 else F.struct(*within)
+    last = df.groupBy(*group, *chunk).agg(F.max_by(value, latest).alias("_last"))
     carried = last.withColumn(
         "_carry", F.lag("_last").over(W.partitionBy(*group).orderBy(*chunk))
     ).drop("_last")
@@ -118,7 +138,9 @@ def _sortable(df: DataFrame, name: str) -> Column:
 
 def _slice_bounds(df: DataFrame, columns: Sequence[str], rows: int, slice_rows: int) -> list[dict]:
     """At most MAX_SLICES - 1 cut points that split the whole order evenly."""
-    slices = min(math.ceil(rows / slice_rows), MAX_SLICES)
+    # Enough slices to keep all cores busy, even where fewer would fit the tasks.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    slices = min(max(math.ceil(rows / slice_rows), 4 * cores), MAX_SLICES)
     fraction = min(1.0, slices * SAMPLE_PER_SLICE / rows)
     narrow = df.select(*[_sortable(df, c) for c in columns])
     sampled = narrow.sample(fraction, seed=7).orderBy(*columns).collect()
@@ -164,9 +186,7 @@ def with_sequence(
     group, order = list(group), list(order)
     rows = df.count()
     if rows <= slice_rows:
-        return df.withColumn(
-            out, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long")
-        )
+        return plain_rank(df, group, order, out)
     columns = [*group, *order]
     bounds = _slice_bounds(df, columns, rows, slice_rows)
     sliced = df.withColumn("_slice", _slice_id(df, columns, bounds))

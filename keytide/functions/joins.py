@@ -11,13 +11,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytide.functions.chunked import CHUNK, chunk_of
 
-BROADCAST_ROWS = 200_000
-# Above this many intervals of one key, probing them one by one costs too much.
-INTERVALS_PER_KEY = 256
+BROADCAST_ROWS = 500_000
+# Intervals of a key that a message may be held against one by one.
+PROBES = 16
 # A key with more than 1/HEAVY_SHARE of all rows is joined apart; so at most
 # HEAVY_SHARE keys can be heavy, whatever the data.
 HEAVY_SHARE = 10_000
@@ -27,11 +28,14 @@ MAX_CHUNKS = 16_384
 
 @dataclass(frozen=True)
 class IntervalPlan:
-    """How to join messages with validity intervals."""
+    """How to join messages with validity intervals.
+
+    With a ``chunk`` the intervals are cut at multiples of it, up to ``horizon``.
+    """
 
     broadcast: bool
+    chunk: int | None = None
     horizon: int | None = None
-    chunk: int = CHUNK
 
 
 def plan_interval_join(
@@ -42,14 +46,33 @@ def plan_interval_join(
     broadcast_rows: int = BROADCAST_ROWS,
     chunk: int = CHUNK,
 ) -> IntervalPlan:
-    """Look at the size of ``intervals``; only a small table is broadcast."""
+    """Count the intervals: only a table of checked size is broadcast.
+
+    Where some key has many intervals, they are cut into chunks small enough for a
+    message to meet but a few of them, if the pieces still fit the limit.
+    """
+    rows = intervals.count()
+    if rows <= broadcast_rows and rows <= PROBES:
+        return IntervalPlan(broadcast=True)
     per_key = intervals.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    size = per_key.agg(F.sum("n").alias("rows"), F.max("n").alias("widest")).first()
-    if (size["rows"] or 0) <= broadcast_rows and (size["widest"] or 0) <= INTERVALS_PER_KEY:
+    seen = per_key.agg(F.max("n").alias("widest"), F.count(F.lit(1)).alias("keys")).first()
+    if rows <= broadcast_rows and seen["widest"] <= PROBES:
         return IntervalPlan(broadcast=True)
-    horizon = facts.agg(F.max(at)).first()[0] or 0
+    horizon = facts.agg(F.max(at)).first()[0] or 1
+    pieces = -(-(seen["widest"] or 1) // PROBES)
+    if rows + seen["keys"] * pieces <= broadcast_rows:
+        return IntervalPlan(broadcast=True, chunk=-(-horizon // pieces), horizon=horizon)
     return IntervalPlan(
-        broadcast=False, horizon=horizon, chunk=max(chunk, -(-horizon // MAX_CHUNKS))
+        broadcast=False, chunk=max(chunk, -(-horizon // MAX_CHUNKS)), horizon=horizon
+    )
+
+
+def _cut(intervals: DataFrame, plan: IntervalPlan, start: str, end: str) -> DataFrame:
+    """One row per interval and chunk it reaches into."""
+    last_at = F.least(F.coalesce(F.col(end) - 1, F.lit(plan.horizon)), F.lit(plan.horizon))
+    return intervals.where(F.col(start) <= last_at).withColumn(
+        "_chunk",
+        F.explode(F.sequence(chunk_of(start, plan.chunk), chunk_of(last_at, plan.chunk))),
     )
 
 
@@ -64,27 +87,29 @@ def interval_join(
 ) -> DataFrame:
     """Left join: the interval ``start <= at < end`` (NULL end: open) of each fact.
 
-    Small table: one broadcast hash join on the keys, range as a residual; the
-    stream is not shuffled. Otherwise the intervals are cut at chunk borders of
-    ``at`` and both sides meet on keys and chunk: a hot key is spread over as many
-    groups as its messages fill chunks.
+    The intervals of one key do not overlap. A table of checked size is broadcast and
+    found by key (and chunk), the range being a residual; the stream is not shuffled.
+    Otherwise facts and intervals are sorted together within key and chunk and each
+    fact takes the last interval that began: linear however many a key has, and a hot
+    key is spread over as many groups as its messages fill chunks.
     """
     on = list(on)
     if plan.broadcast:
-        right = F.broadcast(intervals)
-        keys = on
-        left = facts
-    else:
-        first = chunk_of(start, plan.chunk)
-        last_at = F.least(F.coalesce(F.col(end) - 1, F.lit(plan.horizon)), F.lit(plan.horizon))
-        right = intervals.where(F.col(start) <= last_at).withColumn(
-            "_chunk", F.explode(F.sequence(first, chunk_of(last_at, plan.chunk)))
-        )
-        left = facts.withColumn("_chunk", chunk_of(at, plan.chunk))
+        return _probe(facts, intervals, on, at, plan, start, end)
+    return _merge(facts, intervals, on, at, plan, start, end)
+
+
+def _probe(facts, intervals, on, at, plan, start, end) -> DataFrame:
+    keys, left, right = on, facts, intervals
+    if plan.chunk is not None:
         keys = [*on, "_chunk"]
-    renamed = right.select(
-        *[F.col(c).alias(f"_r_{c}") for c in keys],
-        *[F.col(c) for c in right.columns if c not in keys],
+        left = facts.withColumn("_chunk", chunk_of(at, plan.chunk))
+        right = _cut(intervals, plan, start, end)
+    renamed = F.broadcast(
+        right.select(
+            *[F.col(c).alias(f"_r_{c}") for c in keys],
+            *[F.col(c) for c in right.columns if c not in keys],
+        )
     )
     condition = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     for key in keys:
@@ -93,6 +118,36 @@ def interval_join(
     return joined.drop(*[f"_r_{k}" for k in keys], "_chunk")
 
 
+def _merge(facts, intervals, on, at, plan, start, end) -> DataFrame:
+    payload = [c for c in intervals.columns if c not in on]
+    rest = [c for c in facts.columns if c not in on]
+    began = F.greatest(F.col(start), F.col("_chunk") * plan.chunk)
+    right = _cut(intervals, plan, start, end).select(
+        *on, "_chunk", began.alias("_at"), F.lit(0).alias("_kind"), F.struct(*payload).alias("_hit")
+    )
+    left = facts.select(
+        *on,
+        chunk_of(at, plan.chunk).alias("_chunk"),
+        F.col(at).alias("_at"),
+        F.lit(1).alias("_kind"),
+        F.struct(*rest).alias("_fact"),
+    )
+    line = left.unionByName(right, allowMissingColumns=True)
+    so_far = (
+        W.partitionBy(*on, "_chunk")
+        .orderBy("_at", "_kind")
+        .rowsBetween(W.unboundedPreceding, 0)
+    )
+    merged = line.withColumn("_last", F.last("_hit", ignorenulls=True).over(so_far)).where(
+        F.col("_kind") == 1
+    )
+    valid = F.col(f"_last.{end}").isNull() | (F.col("_at") < F.col(f"_last.{end}"))
+    merged = merged.withColumn("_last", F.when(valid, F.col("_last")))
+    columns = {c: F.col(f"_fact.{c}") for c in rest} | {c: F.col(f"_last.{c}") for c in payload}
+    named = [columns[c].alias(c) if c in columns else F.col(c) for c in facts.columns]
+    return merged.select(*named, *[columns[c].alias(c) for c in payload])
+
+
 def dimension_join(
     facts: DataFrame,
     dimension: DataFrame,

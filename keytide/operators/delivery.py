@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.functions.chunked import CHUNK, chunk_of, chunked_lag, chunked_rank
+from keytide.functions.chunked import (
+    CHUNK,
+    chunk_of,
+    chunked_lag,
+    chunked_rank,
+    fits_one_task,
+    plain_lag,
+    plain_rank,
+)
 from keytide.functions.headers import TAG_HEADER, decode_tag, header
 
 
 def delivery_log(sent: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Add ``offset``, counting from 0 in each partition in the order of sending."""
-    cut = sent.withColumn("_chunk", chunk_of("seq", chunk))
-    ranked = chunked_rank(cut, ["topic", "sent_partition"], ["seq"], ["_chunk"], "offset")
-    return ranked.withColumn("offset", F.col("offset") - 1).drop("_chunk")
+    """Add ``offset``, counting from 0 in each partition in the order of sending.
+
+    Reads its input more than once: pass the stored log of what was sent.
+    """
+    group = ["topic", "sent_partition"]
+    if fits_one_task(sent, chunk):
+        ranked = plain_rank(sent, group, ["seq"], "offset")
+    else:
+        cut = sent.withColumn("_chunk", chunk_of("seq", chunk))
+        ranked = chunked_rank(cut, group, ["seq"], ["_chunk"], "offset").drop("_chunk")
+    return ranked.withColumn("offset", F.col("offset") - 1)
 
 
 def decode_records(records: DataFrame, fmt: str = "json") -> tuple[DataFrame, DataFrame]:
@@ -60,25 +75,32 @@ def sync_events(delivered: DataFrame) -> DataFrame:
     )
 
 
+# Sets in turn; within one the boundary record, then the destination's records.
+_ORDER = ("dest_idx", "_settled", "offset")
+_CUT = ("dest_idx", "_settled", "_chunk")
+
+
 def _consumption_order(delivered: DataFrame, chunk: int) -> DataFrame:
-    """Sets in turn; within one the boundary record, then the destination's records."""
     return delivered.withColumns(
         {"_settled": (~is_shift()).cast("int"), "_chunk": chunk_of("offset", chunk)}
     )
 
 
-_ORDER = ("dest_idx", "_settled", "offset")
-_CUT = ("dest_idx", "_settled", "_chunk")
-
-
 def key_total_order(delivered: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Add ``pos``, the place of each record in its key's order across partitions."""
     cut = _consumption_order(delivered, chunk)
-    return chunked_rank(cut, ["topic", "key"], _ORDER, _CUT, "pos").drop("_settled", "_chunk")
+    if fits_one_task(delivered, chunk):
+        ordered = plain_rank(cut, ["topic", "key"], _ORDER, "pos")
+    else:
+        ordered = chunked_rank(cut, ["topic", "key"], _ORDER, _CUT, "pos")
+    return ordered.drop("_settled", "_chunk")
 
 
 def order_violations(delivered: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Records that would be consumed after a record sent later; none if all is well."""
     cut = _consumption_order(delivered, chunk)
-    followed = chunked_lag(cut, ["topic", "key"], _ORDER, _CUT, "seq", "prev_seq")
+    if fits_one_task(delivered, chunk):
+        followed = plain_lag(cut, ["topic", "key"], _ORDER, "seq", "prev_seq")
+    else:
+        followed = chunked_lag(cut, ["topic", "key"], _ORDER, _CUT, "seq", "prev_seq")
     return followed.where(F.col("prev_seq") > F.col("seq")).drop("_settled", "_chunk")

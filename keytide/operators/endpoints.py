@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.functions.chunked import SLICE_ROWS, with_sequence
 from keytide.functions.joins import BROADCAST_ROWS, dimension_join
 
+# Message ids are non-negative BIGINTs, so below this.
+ID_SPAN = 10**19
+
 
 def assign_endpoints(
     messages: DataFrame,
     endpoints: DataFrame,
     epoch_col: str | None = None,
-    order: Sequence[str] = ("ts", "msg_id"),
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """One row per key: the endpoint the round-robin gave it at its first message.
@@ -24,13 +24,20 @@ def assign_endpoints(
     ``epoch_col`` every key is assigned anew in each epoch; the turn is not reset.
     """
     scope = [epoch_col] if epoch_col else []
-    order = list(order)
-    first = (
-        messages.groupBy(*scope, "key")
-        .agg(F.min(F.struct(*order)).alias("_first"))
-        .select(*scope, "key", *[F.col(f"_first.{c}").alias(c) for c in order])
+    # Time and id in one number: as a buffer it is hashed, a struct would be sorted.
+    span = F.lit(str(ID_SPAN)).cast("decimal(20,0)")
+    micros = F.unix_micros("ts").cast("decimal(18,0)")
+    first = messages.groupBy(*scope, "key").agg(
+        F.min((micros * span + F.col("msg_id")).cast("decimal(38,0)")).alias("_first")
+    )
+    msg_id = F.col("_first") % span
+    first = first.select(
+        *scope,
+        "key",
+        ((F.col("_first") - msg_id) / span).cast("long").alias("_ts"),
+        msg_id.cast("long").alias("_id"),
     )
-    turns = with_sequence(first, [], order, "turn", slice_rows)
+    turns = with_sequence(first, [], ["_ts", "_id"], "turn", slice_rows)
     count = endpoints.agg(F.count(F.lit(1)).alias("_endpoints"))
     # One row of counts and one row per endpoint: lookups of fixed size.
     n_endpoints = count.first()[0]
@@ -44,11 +51,10 @@ def sticky_round_robin(
     messages: DataFrame,
     endpoints: DataFrame,
     epoch_col: str | None = None,
-    order: Sequence[str] = ("ts", "msg_id"),
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add ``endpoint``: a key's first message takes the next one, later ones stick."""
-    assigned = assign_endpoints(messages, endpoints, epoch_col, order)
+    assigned = assign_endpoints(messages, endpoints, epoch_col)
     on = [epoch_col, "key"] if epoch_col else ["key"]
     return dimension_join(messages, assigned.select(*on, "endpoint"), on, broadcast_rows)
 

@@ -37,16 +37,24 @@ def tag_of(span: Column, name: str) -> Column:
 
 
 def trace_spans(traces: DataFrame) -> DataFrame:
-    """Traces that have all three spans: traceID, produced, processed, received."""
-    picked = traces.select(
-        "traceID",
+    """Traces that have all three spans: traceID, produced, processed, received.
+
+    Unfolding the one kept struct, rather than filtering on it, finds each span once.
+    """
+    found = F.struct(
         span_of(PRODUCE).alias("produced"),
         span_of(PROCESS).alias("processed"),
         span_of(RECEIVE).alias("received"),
     )
-    return picked.where(
-        F.col("produced").isNotNull() & F.col("processed").isNotNull() & F.col("received").isNotNull()
-    )
+
+    def complete(trace: Column) -> Column:
+        return (
+            trace["produced"].isNotNull()
+            & trace["processed"].isNotNull()
+            & trace["received"].isNotNull()
+        )
+
+    return traces.select("traceID", F.inline(F.filter(F.array(found), complete)))
 
 
 def trace_tags(spans: DataFrame) -> DataFrame:
@@ -124,19 +132,23 @@ def flat_spans(traces: DataFrame) -> DataFrame:
 def pivot_spans(spans: DataFrame) -> DataFrame:
     """The flat counterpart of ``trace_spans``: one row per trace with all three spans."""
 
-    def last_of(operation: str) -> Column:
+    def last_of(operation: str, value: str) -> Column:
         hit = F.col("operation") == operation
-        return F.max_by(
-            F.when(hit, F.struct("start_us", "duration_us")), F.when(hit, F.col("span_no"))
-        )
+        return F.max_by(F.when(hit, F.col(value)), F.when(hit, F.col("span_no")))
 
+    names = {"produced": PRODUCE, "processed": PROCESS, "received": RECEIVE}
+    values = ("start_us", "duration_us")
+    # Plain numbers as aggregation buffers: hashed, not sorted.
     pivoted = spans.groupBy("trace_id").agg(
-        last_of(PRODUCE).alias("produced"),
-        last_of(PROCESS).alias("processed"),
-        last_of(RECEIVE).alias("received"),
+        *[last_of(op, v).alias(f"{name}_{v}") for name, op in names.items() for v in values]
     )
-    return pivoted.where(
-        F.col("produced").isNotNull() & F.col("processed").isNotNull() & F.col("received").isNotNull()
+    kept = pivoted.dropna(subset=[f"{name}_start_us" for name in names])
+    return kept.select(
+        "trace_id",
+        *[
+            F.struct(*[F.col(f"{name}_{v}").alias(v) for v in values]).alias(name)
+            for name in names
+        ],
     )
 
 

@@ -121,11 +121,10 @@ def sent_partition(tagged: DataFrame) -> DataFrame:
 
 
 def latest_message_set(tagged: DataFrame) -> DataFrame:
-    """The set each key is in now, and how many it has had."""
-    latest = F.max_by(F.struct(*TAG_COLUMNS), "dest_idx").alias("_tag")
-    return tagged.groupBy(*ON).agg(latest).select(
-        *ON, *[F.col(f"_tag.{c}").alias(c) for c in TAG_COLUMNS]
-    )
+    """The set each key is in now."""
+    # Number by number: structs as buffers would sort all messages.
+    newest = [F.max_by(c, "dest_idx").alias(c) for c in TAG_COLUMNS]
+    return tagged.groupBy(*ON).agg(*newest)
 
 
 def tag_struct():

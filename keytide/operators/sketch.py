@@ -175,23 +175,19 @@ def lossy_lifecycles(
 
 
 def lives_of(scan: DataFrame, epsilon: float, support: float) -> DataFrame:
-    threshold = F.lit(hot_threshold(epsilon, support))
     count = _count_at(F.col("bucket"))
-    hot = F.when(
-        _kept() & (count.cast("double") >= threshold),
-        F.struct(F.col("bucket").alias("bucket"), count.alias("count")),
-    )
+    is_hot = _kept() & (count.cast("double") >= F.lit(hot_threshold(epsilon, support)))
+    hot_bucket, hot_count = F.when(is_hot, F.col("bucket")), F.when(is_hot, count)
     if "carried" in scan.columns:
-        earlier = F.when(
-            F.col("hot_bucket").isNotNull(),
-            F.struct(F.col("hot_bucket").alias("bucket"), F.col("hot_count").alias("count")),
-        )
-        hot = F.when(F.col("carried"), earlier).otherwise(hot)
+        hot_bucket = F.when(F.col("carried"), F.col("hot_bucket")).otherwise(hot_bucket)
+        hot_count = F.when(F.col("carried"), F.col("hot_count")).otherwise(hot_count)
+    # Numbers only in the buffers, so that this is a hash aggregation.
     lives = scan.groupBy("topic", "key", "start_bucket").agg(
         F.sum("c").alias("seen"),
         F.min("first_n").alias("insert_n"),
         F.max("full").alias("full"),
-        F.min(hot).alias("hot"),
+        F.min(hot_bucket).alias("hot_bucket"),
+        F.min_by(hot_count, hot_bucket).alias("hot_count"),
     )
     drop_at = F.col("start_bucket") + F.floor(F.col("seen") / 2).cast("long")
     dropped = drop_at <= F.col("full")
@@ -204,8 +200,8 @@ def lives_of(scan: DataFrame, epsilon: float, support: float) -> DataFrame:
         "insert_n",
         F.when(~dropped, F.col("seen") - (F.col("full") - F.col("start_bucket") + 1)).alias("count"),
         F.when(dropped, "evicted").otherwise("tracked").alias("status"),
-        F.col("hot.bucket").alias("hot_bucket"),
-        F.col("hot.count").alias("hot_count"),
+        "hot_bucket",
+        "hot_count",
     )
 
 

@@ -250,8 +250,11 @@ def evictions(spark, sf):
     recursive=True,
 )
 def sketch_stats(spark, sf):
-    turns = sketch.turnovers(_bucketed(spark, sf), wl.EPSILON)
-    return sketch.sketch_stats(_lives(spark, sf), turns)
+    bucketed = sketch.assign_buckets(wl.sequenced_log(spark, sf), wl.EPSILON)
+    lives = sketch.lossy_lifecycles(
+        bucketed, wl.EPSILON, wl.SUPPORT, max_bucket=_max_bucket(spark, sf)
+    )
+    return sketch.sketch_stats(lives, sketch.turnovers(bucketed, wl.EPSILON))
 
 
 # --- load ---------------------------------------------------------------------
@@ -445,9 +448,11 @@ def hot_map_current(spark, sf):
     return control.current_map(hot_map_log(spark, sf))
 
 
-def control_log(spark, sf, **options):
+def control_log(spark, sf, messages=None, **options):
     """The whole control plane: sketch, placement and rebalancing."""
-    bucketed = _bucketed(spark, sf)
+    if messages is None:
+        messages = wl.sequenced_log(spark, sf)
+    bucketed = sketch.assign_buckets(messages, wl.EPSILON)
     lives = sketch.lossy_lifecycles(
         bucketed, wl.EPSILON, wl.SUPPORT, max_bucket=_max_bucket(spark, sf)
     )
@@ -541,8 +546,13 @@ def endpoint_lookup(spark, sf):
 # --- message sets and delivery --------------------------------------------------
 
 
+# What follows a stage reads it more than once, so each stage's log is stored: what
+# arrived, what was sent, what was delivered. Lazily chained, every reader would
+# compute all stages before it again.
+
+
 def _tagged(spark, sf):
-    messages = wl.sequenced(spark, sf).select("msg_id", "topic", "key", "seq")
+    messages = wl.sequenced_log(spark, sf).select("topic", "key", "seq")
     log = wl.hot_map_log_given(spark, sf)
     return message_sets.tag_message_sets(messages, wl.N_PARTITIONS, log)
 
@@ -551,8 +561,12 @@ def _sent(spark, sf):
     return message_sets.sent_partition(_tagged(spark, sf))
 
 
+def _sent_log(spark, sf):
+    return materialize(_sent(spark, sf), "sent")
+
+
 def _delivered(spark, sf):
-    return delivery.delivery_log(_sent(spark, sf))
+    return materialize(delivery.delivery_log(_sent_log(spark, sf)), "delivered")
 
 
 TAG = "src_partition, src_idx, dest_partition, dest_idx"
@@ -560,7 +574,7 @@ TAG = "src_partition, src_idx, dest_partition, dest_idx"
 
 @query("message_sets", f"SELECT topic, seq, key, {TAG}, is_boundary FROM tagged", o.GIVEN_LOG)
 def message_sets_query(spark, sf):
-    return _tagged(spark, sf).drop("msg_id")
+    return _tagged(spark, sf)
 
 
 @query("sent_messages", "SELECT topic, seq, key, is_boundary, sent_partition FROM sent", o.GIVEN_LOG)
@@ -611,7 +625,7 @@ def msgset_codec(spark, sf):
     o.GIVEN_LOG,
 )
 def delivery_log(spark, sf):
-    return _delivered(spark, sf).select("topic", "seq", "key", "sent_partition", "offset")
+    return delivery.delivery_log(_sent_log(spark, sf)).select("topic", "seq", "key", "sent_partition", "offset")
 
 
 @query(
@@ -671,7 +685,7 @@ def order_violations(spark, sf):
 )
 def msg_sink(spark, sf):
     """Written with headers under topic and partition, then read and decoded."""
-    full = with_sequence(wl.keyed_messages(spark, sf))
+    full = materialize(with_sequence(wl.keyed_messages(spark, sf)), "sequenced")
     tagged = message_sets.tag_message_sets(full, wl.N_PARTITIONS, wl.hot_map_log_given(spark, sf))
     who = F.concat(F.lit("10.1.0."), (F.col("msg_id") % 3).cast("string"))
     records = message_sets.sent_partition(tagged).select(
@@ -831,8 +845,8 @@ def load_comparison(spark, sf):
     Sketch, placement and rebalancing make the map; every message is routed as of
     its own time, tagged and sent.
     """
-    messages = wl.sequenced(spark, sf).select("msg_id", "topic", "key", "seq")
-    log = materialize(control_log(spark, sf), "map-log")
+    messages = wl.sequenced_log(spark, sf).select("topic", "key", "seq")
+    log = materialize(control_log(spark, sf, messages), "map-log")
     sent = message_sets.sent_partition(
         message_sets.tag_message_sets(messages, wl.N_PARTITIONS, log)
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from keytide.functions.chunked import with_sequence
 from keytide.functions.hashing import fnv_partition
 from keytide.operators.frequency import key_counts
+from keytide.session import materialize
 
 # Parameters of the registered queries.
 N_PARTITIONS = 10
@@ -60,10 +61,25 @@ def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_sequence(narrow)
 
 
+def sequenced_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, stored: for queries that read the messages more than once."""
+    return materialize(sequenced(spark, sf_dir), "sequenced")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give all cores work where a table comes in fewer splits than there are cores.
+
+    A large table has many splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hot_map_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map made of each topic's first messages; every key sits on its hash partition."""
     first = sequenced(spark, sf_dir).where(F.col("seq") <= GIVEN_PREFIX)
-    return key_counts(first).withColumn("partition", fnv_partition(F.col("key"), N_PARTITIONS))
+    given = key_counts(first).withColumn("partition", fnv_partition(F.col("key"), N_PARTITIONS))
+    return materialize(given, "hot-map")
 
 
 def hot_map_log_given(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +89,14 @@ def hot_map_log_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     num = F.expr("CAST(substr(key, 10) AS INT)")
     keys = keyed_messages(spark, sf_dir).select("topic", "key").distinct()
-    versions = keys.withColumn("num", num).where("num <= 9").withColumn("v", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    versions = (
+        keys.withColumn("num", num)
+        .where("num <= 9")
+        .withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    )
     step = F.when(F.col("num") % 4 == 0, 0).otherwise(F.col("v"))
     start = (F.col("v") * GIVEN_INTERVAL + 1).cast("long")
-    return versions.select(
+    log = versions.select(
         "topic",
         "key",
         (F.col("num") * 10 + F.col("v") + 1).cast("long").alias("count"),
@@ -84,6 +104,7 @@ def hot_map_log_given(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.alias("valid_from"),
         F.when(F.col("v") < 2, start + GIVEN_INTERVAL).alias("valid_to"),
     )
+    return materialize(log, "map-log")
 
 
 def hot_map_events_given(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,12 +154,15 @@ def raw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
              WHEN 5 THEN concat('{"key":"k"} {"key":"', event_id, '"}')
              ELSE '   ' END"""
     )
-    return table(spark, sf_dir, "events").select("event_id", text.alias("raw"))
+    return spread(table(spark, sf_dir, "events").select("event_id")).select(
+        "event_id", text.alias("raw")
+    )
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace of three spans per event; every 11th lacks a span, every 13th a tag."""
-    messages = keyed_messages(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
+    messages = keyed_messages(spark, sf_dir).select("msg_id", "key", F.unix_micros("ts").alias("us"))
+    messages = spread(messages)
     key_tag = F.struct(F.lit("consumer.key").alias("key"), F.col("key").alias("value"))
     partition_tag = F.struct(
         F.lit("message_bus.destination").alias("key"),

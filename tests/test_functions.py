@@ -115,7 +115,7 @@ def test_chunked_sum_and_lag(spark):
 
 
 @pytest.mark.parametrize("limit", [1000, 0])
-def test_interval_join_both_forms(spark, limit):
+def test_interval_join(spark, limit):
     facts = spark.range(1, 101).select(F.lit("k").alias("key"), F.col("id").alias("at"))
     intervals = spark.createDataFrame(
         [("k", 5, 20, 1), ("k", 20, 60, 2), ("k", 60, 60, 3), ("k", 80, None, 4), ("z", 1, None, 5)],
@@ -131,6 +131,36 @@ def test_interval_join_both_forms(spark, limit):
     assert got == {at: expected(at) for at in range(1, 101)}
 
 
+@pytest.mark.parametrize("limit,broadcast", [(10_000, True), (100, False)])
+def test_many_intervals_of_one_key(spark, limit, broadcast):
+    """Interval i of key a is [10i, 10i + 7); key b has one long interval."""
+    facts = spark.range(0, 4000).select(
+        F.when(F.col("id") % 4 == 0, "b").when(F.col("id") % 4 == 1, "c").otherwise("a").alias("key"),
+        F.col("id").alias("at"),
+        (F.col("id") * 2).alias("x"),
+    )
+    many = spark.range(0, 350).select(
+        F.lit("a").alias("key"),
+        (F.col("id") * 10).alias("valid_from"),
+        (F.col("id") * 10 + 7).alias("valid_to"),
+        F.col("id").alias("p"),
+    )
+    one = spark.sql("SELECT 'b' AS key, 17L AS valid_from, 3000L AS valid_to, -1L AS p")
+    intervals = many.unionByName(one)
+    plan = plan_interval_join(intervals, ["key"], facts, "at", broadcast_rows=limit, chunk=130)
+    assert plan.broadcast == broadcast and plan.chunk is not None
+    rows = interval_join(facts, intervals, ["key"], "at", plan).collect()
+    assert len(rows) == 4000
+    for r in rows:
+        at = r["at"]
+        want = None
+        if r.key == "a" and at % 10 < 7 and at < 3500:
+            want = at // 10
+        elif r.key == "b" and 17 <= at < 3000:
+            want = -1
+        assert (r.p, r.x) == (want, 2 * at)
+
+
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_dimension_join_keeps_every_row(spark, limit):
     facts = spark.range(30_000).select(

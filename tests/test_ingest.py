@@ -29,6 +29,11 @@ REJECTED = {
     '{"key":"a"}x': ("multiple_values", None),
     '{"key":"a"}]': ("multiple_values", None),
     '{"key":"a"},{"key":"b"}': ("multiple_values", None),
+    '{"key":"a"},5],[': ("multiple_values", None),
+    '{"key":"a"},0]': ("multiple_values", None),
+    '{"zzz":1,"key":2}': ("unknown_key", "zzz"),
+    '{"key":1,"body":2}': ("wrong_type", "key"),
+    '{"BODY":2,"zzz":1}': ("wrong_type", "body"),
     BIG: ("too_large", None),
 }
 

@@ -45,14 +45,11 @@ def test_routing_does_not_shuffle_the_messages(spark, sf):
     assert "BroadcastHashJoin" in side and exchanges(side) == []
 
 
-def test_a_large_history_is_not_broadcast(spark, sf):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan(q.QUERIES["route_hot_shuffled"](spark, sf))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" in text and "_chunk" in text
-    assert "BroadcastHashJoin" not in text
+def test_a_large_history_is_merged_not_broadcast(spark, sf):
+    text = plan(q.QUERIES["route_hot_shuffled"](spark, sf))
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" not in text
+    merging = [line for line in text.splitlines() if "Window [last(" in line]
+    assert merging and all("_chunk" in line for line in merging)
 
 
 def test_scans_read_only_what_is_needed(spark, sf):
