@@ -162,11 +162,15 @@ def _slice_id(df: DataFrame, columns: Sequence[str], bounds: list[dict]) -> Colu
         steps.append(top)
         top //= 2
 
-    def probe(found: Column, step: Column) -> Column:
-        at_or_before = F.get(literal, found + step - F.lit(1)) <= position
-        return F.when(F.coalesce(at_or_before, F.lit(False)), found + step).otherwise(found)
+    def search(at: Column) -> Column:
+        def probe(found: Column, step: Column) -> Column:
+            # Beyond the last bound there is none to compare with: not found.
+            return F.when(F.get(literal, found + step - F.lit(1)) <= at, found + step).otherwise(found)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe)
+        return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe)
+
+    # The detour over an array builds the position once per row, not once per probe.
+    return F.transform(F.array(position), search)[0]
 
 
 def with_sequence(
