@@ -115,6 +115,37 @@ cand AS (
 )
 
 
+# One step per source partition; sizes are taken anew in each, the underloaded set is not.
+REBALANCE = (
+    GIVEN_MAP
+    + f""",
+rb AS (
+  SELECT 0 AS step, topic, key, count, partition AS cur, CAST(NULL AS INTEGER) AS src FROM gm
+  UNION ALL
+  SELECT s.step + 1, s.topic, s.key, s.count, coalesce(m.dst, s.cur),
+         CASE WHEN m.dst IS NULL THEN s.src ELSE s.cur END
+  FROM rb s LEFT JOIN (
+    SELECT c.topic, c.key, d.partition AS dst,
+           row_number() OVER (PARTITION BY c.topic, c.key
+                              ORDER BY abs(d.size + c.count - a.avg_size), d.partition) AS rk
+    FROM rb c
+    JOIN av a ON a.topic = c.topic
+    JOIN (SELECT topic, cur, sum(count) AS size FROM rb GROUP BY ALL) z
+      ON z.topic = c.topic AND z.cur = c.cur
+    JOIN (SELECT sz.topic, sz.partition, coalesce(sum(rb.count), 0) AS size
+          FROM sz JOIN av USING (topic)
+          LEFT JOIN rb ON rb.topic = sz.topic AND rb.cur = sz.partition
+          WHERE sz.size < av.avg_size GROUP BY ALL) d ON d.topic = c.topic
+    WHERE c.cur = c.step AND z.size > a.avg_size AND c.count <= z.size - a.avg_size
+      AND EXISTS (SELECT 1 FROM sz o JOIN av USING (topic)
+                  WHERE o.topic = c.topic AND o.partition = c.cur AND o.size > av.avg_size)
+      AND NOT (z.size < d.size OR z.size - d.size < abs(z.size - d.size - 2 * c.count))
+  ) m ON m.topic = s.topic AND m.key = s.key AND m.rk = 1
+  WHERE s.step < {wl.N_PARTITIONS}
+)"""
+)
+
+
 def target_match(refused: str) -> str:
     return f"""
 SELECT topic, key, count, src, dst FROM (

@@ -376,7 +376,12 @@ def target_match_as_written(spark, sf):
     return placement.target_match(_candidates(spark, sf), _given_sizes(spark, sf), "as_written")
 
 
-@query("rebalance_round")
+@query(
+    "rebalance_round",
+    f"SELECT topic, key, count, src, cur AS partition FROM rb WHERE step = {wl.N_PARTITIONS}",
+    o.REBALANCE,
+    recursive=True,
+)
 def rebalance_round(spark, sf):
     return control.rebalance_round(wl.hot_map_given(spark, sf), wl.N_PARTITIONS)
 
