@@ -47,7 +47,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "*")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = local_session(cores=cpus)
     spark.sparkContext.setLogLevel("ERROR")
     messages = spark.read.parquet(f"{sf_dir}/events.parquet").count()

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from keytide.operators import control, placement, sketch
 from keytide.operators.load import partition_sizes, system_avg, weight_snapshots

@@ -2,7 +2,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from keytide.operators import endpoints, frequency, latency
 from keytide.sources import TRACE_SCHEMA, read_messages, read_traces, write_latency_csv
