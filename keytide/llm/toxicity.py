@@ -35,7 +35,7 @@ FOLDS = 5
 #: handful of documents, by chance in one class, tells nothing.
 CLASS_DISCOUNT = 4.0
 #: Ratios of a word that are nearer to 0 than this count as 0.
-EVIDENCE = 6.0
+EVIDENCE = 5.0
 START, END = "\x02", "\x03"
 #: Different words a worker remembers before it starts anew, and documents scored at once.
 REMEMBERED, AT_ONCE = 400_000, 256
