@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.textio import id_text, map_batches
+from keytide.llm.textio import filter_texts, id_text, map_batches
 from keytide.session import materialize
 
 #: The scorer is trained on at most so many documents, those with the smallest hashed ids.
@@ -232,17 +232,27 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def make():
         def apply(batch):
-            out = []
-            for t in batch.column("text"):
-                idx, val = features(t.as_py())
-                out.append(float(1 / (1 + np.exp(-np.clip(sent.value[idx] @ val, -40, 40)))))
-            return {"doc_id": batch.column("doc_id"), "score": out}
+            texts = batch.column("text").to_pylist()
+            return {"doc_id": batch.column("doc_id"), "score": [text_score(t, sent.value) for t in texts]}
 
         return apply
 
     return map_batches(id_text(docs), "doc_id long, score double", make)
 
 
+def text_score(text: str, weights: np.ndarray) -> float:
+    idx, val = features(text)
+    return float(1 / (1 + np.exp(-np.clip(weights[idx] @ val, -40, 40))))
+
+
+def reject_low(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The documents, with all their columns, whose score is high enough."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, rows))
+    return filter_texts(
+        docs, lambda: lambda texts: [text_score(t, sent.value) >= KEEP_FROM for t in texts]
+    )
+
+
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Votes on all documents, accuracies by EM, and the scorer trained on the posteriors."""
     spark = docs.sparkSession

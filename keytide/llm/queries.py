@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytide.llm import quality, simhash, suffixes, toxicity
+try:
+    from public_tokenizers import path as tokenizer_path
+except ImportError:  # vocabularies elsewhere: a folder named by TOKENIZERS
+
+    def tokenizer_path(name: str) -> str:
+        import os
+
+        return os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), name)
+
+
+from keytide.llm import packing, quality, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +28,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, labels)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_query(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +47,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op4_packing": op4_packing,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_suffix_array": op10_suffix_array,

@@ -42,6 +42,21 @@ def map_batches(
     return df.mapInArrow(run, struct)
 
 
+def filter_texts(
+    docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]]
+) -> DataFrame:
+    """The rows, with all their columns, whose ``text`` (NULL: empty) the function keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            if batch.num_rows:
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.llm.textio import id_text, map_batches
+from keytide.llm.textio import filter_texts, id_text, map_batches
 from keytide.session import materialize
 
 ORDER = 6
@@ -96,6 +96,25 @@ def words_of(text: str) -> list[str]:
     return text.lower().replace(START, " ").replace(END, " ").split()
 
 
+def text_llrs(model: ToxicityModel):
+    """A function from texts to their mean ratios, that remembers words."""
+    known: dict[str, float] = {}
+
+    def apply(texts: list[str]) -> list[float]:
+        out = []
+        for at in range(0, len(texts), AT_ONCE):
+            split = [words_of(t) for t in texts[at : at + AT_ONCE]]
+            new = list(dict.fromkeys(w for words in split for w in words if w not in known))
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = list(dict.fromkeys(w for words in split for w in words))
+            known.update(zip(new, model.word_llrs(new).tolist()))
+            out += [sum(map(known.__getitem__, w)) / len(w) if w else 0.0 for w in split]
+        return out
+
+    return apply
+
+
 def mean_llr(docs: DataFrame, model) -> DataFrame:
     """``(doc_id, llr)``: the mean over the words of every whole text, 0 without words.
 
@@ -103,21 +122,8 @@ def mean_llr(docs: DataFrame, model) -> DataFrame:
     """
 
     def make():
-        known: dict[str, float] = {}
-
-        def apply(batch):
-            texts, out = batch.column("text"), []
-            for at in range(0, len(texts), AT_ONCE):
-                split = [words_of(t.as_py()) for t in texts.slice(at, AT_ONCE)]
-                new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(dict.fromkeys(w for words in split for w in words))
-                known.update(zip(new, model.value.word_llrs(new).tolist()))
-                out += [sum(map(known.__getitem__, w)) / len(w) if w else 0.0 for w in split]
-            return {"doc_id": batch.column("doc_id"), "llr": out}
-
-        return apply
+        llrs = text_llrs(model.value)
+        return lambda b: {"doc_id": b.column("doc_id"), "llr": llrs(b.column("text").to_pylist())}
 
     return map_batches(id_text(docs), "doc_id long, llr double", make)
 
@@ -353,5 +359,21 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that are not predicted to be toxic."""
+    model = fit(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        llrs = text_llrs(sent.value)
+        return lambda texts: [not model_score(sent.value, x) >= 0.5 for x in llrs(texts)]
+
+    return filter_texts(docs, make)
+
+
+def model_score(model: ToxicityModel, llr: float) -> float:
+    return 1 / (1 + math.exp(-max(-700.0, model.slope * llr + model.bias)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
