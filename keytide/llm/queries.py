@@ -16,13 +16,17 @@ except ImportError:  # vocabularies elsewhere: a folder named by TOKENIZERS
         return os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), name)
 
 
-from keytide.llm import packing, quality, simhash, suffixes, toxicity
+from keytide.llm import bpe, packing, quality, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.toxicity(docs, labels)
@@ -46,6 +50,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op8_simhash": op8_simhash,
