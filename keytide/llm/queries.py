@@ -16,7 +16,7 @@ except ImportError:  # vocabularies elsewhere: a folder named by TOKENIZERS
         return os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), name)
 
 
-from keytide.llm import bpe, packing, quality, simhash, suffixes, toxicity
+from keytide.llm import bpe, packing, quality, simhash, suffixes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_query(_table(spark, sf_dir, "documents"))
 
@@ -53,9 +57,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op6_warc": op6_warc,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_suffix_array": op10_suffix_array,
 }
 
-ORACLES: dict[str, str] = {}
+#: Learnt models, 64-bit XXH64 and tokenizers are beyond SQL; those queries are tested by brute
+#: force, round trips and held-out accuracy.
+ORACLES: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest,
+                   strlen(coalesce(html, '')) AS n
+            FROM pages
+        ), f AS (
+            SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS least
+            FROM p
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> least THEN least END AS refers_to
+        FROM f
+    """,
+}
