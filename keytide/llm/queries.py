@@ -16,7 +16,7 @@ except ImportError:  # vocabularies elsewhere: a folder named by TOKENIZERS
         return os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), name)
 
 
-from keytide.llm import bpe, packing, quality, simhash, suffixes, toxicity, warc
+from keytide.llm import bpe, maxscore, packing, quality, simhash, suffixes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_maxscore": op5_maxscore,
     "op6_warc": op6_warc,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
@@ -66,6 +71,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Learnt models, 64-bit XXH64 and tokenizers are beyond SQL; those queries are tested by brute
 #: force, round trips and held-out accuracy.
 ORACLES: dict[str, str] = {
+    "op5_maxscore": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v AS q, v AS c
+            WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
     "op6_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest,
