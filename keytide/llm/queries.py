@@ -16,7 +16,7 @@ except ImportError:  # vocabularies elsewhere: a folder named by TOKENIZERS
         return os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), name)
 
 
-from keytide.llm import ann, bpe, maxscore, packing, quality, simhash, suffixes, toxicity, warc
+from keytide.llm import ann, bpe, lm, maxscore, packing, quality, simhash, suffixes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_query(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_maxscore": op5_maxscore,
     "op6_warc": op6_warc,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_suffix_array": op10_suffix_array,
