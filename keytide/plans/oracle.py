@@ -22,11 +22,13 @@ def fnv_part(text: str, n: int = wl.N_PARTITIONS) -> str:
 
 MESSAGES = """
 km AS (
-  SELECT event_id AS msg_id, ts, epoch_us(ts) AS ts_us, event_type AS topic,
-         CAST(x * x * x * 40 // 1027243729 AS INTEGER) AS num,
-         'location_' || CAST(x * x * x * 40 // 1027243729 AS VARCHAR) AS key,
-         'location_' || CAST(x * x * x * 40 // 1027243729 AS VARCHAR) || ' message body' AS body
-  FROM (SELECT event_id, ts, event_type, (event_id * 7919) % 1009 AS x FROM events)
+  SELECT event_id AS msg_id, ts, epoch_us(ts) AS ts_us, event_type AS topic, num,
+         'location_' || num AS key, 'location_' || num || ' message body' AS body
+  FROM (
+    SELECT *, CASE WHEN event_id % 8 = 5 THEN 40 + event_id // 32
+                   ELSE x * x * x * 40 // 1027243729 END AS num
+    FROM (SELECT event_id, ts, event_type, (event_id * 7919) % 1009 AS x FROM events)
+  )
 )"""
 
 SEQ = (
@@ -93,7 +95,7 @@ GIVEN_MAP = (
     + f""",
 gm AS (
   SELECT topic, key, count(*) AS count, any_value(p) AS partition
-  FROM ms WHERE seq <= {wl.GIVEN_PREFIX} GROUP BY topic, key
+  FROM ms GROUP BY topic, key
 ),
 parts AS (
   SELECT topic, CAST(unnest(range(0, {wl.N_PARTITIONS})) AS INTEGER) AS partition
@@ -160,14 +162,15 @@ SELECT topic, key, count, src, dst FROM (
 GIVEN_LOG = (
     SEQ
     + f""",
+iv AS (SELECT topic, greatest(count(*) // 3, 1) AS step FROM ms GROUP BY topic),
 lg AS (
   SELECT topic, key, num,
          CAST(num * 10 + v + 1 AS BIGINT) AS count,
          CAST((num * 3 + CASE WHEN num % 4 = 0 THEN 0 ELSE v END) % {wl.N_PARTITIONS} AS INTEGER)
            AS partition,
-         CAST(v * {wl.GIVEN_INTERVAL} + 1 AS BIGINT) AS valid_from,
-         CASE WHEN v < 2 THEN CAST((v + 1) * {wl.GIVEN_INTERVAL} + 1 AS BIGINT) END AS valid_to
-  FROM (SELECT DISTINCT topic, key, num FROM ms WHERE num <= 9),
+         CAST(v * step + 1 AS BIGINT) AS valid_from,
+         CASE WHEN v < 2 THEN CAST((v + 1) * step + 1 AS BIGINT) END AS valid_to
+  FROM (SELECT DISTINCT topic, key, num FROM ms WHERE num % 3 = 0) JOIN iv USING (topic),
        (SELECT unnest([0, 1, 2]) AS v)
 ),
 routed AS (

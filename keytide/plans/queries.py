@@ -407,16 +407,19 @@ COOLDOWN = 400
     "cooldown_candidates",
     f"""SELECT topic, key, count, partition, size, avg_size FROM cand
         WHERE NOT EXISTS (
-          SELECT 1 FROM (SELECT *, lag(partition) OVER (PARTITION BY topic, key ORDER BY valid_from)
-                                   AS was FROM lg) l
+          SELECT 1 FROM (SELECT lg.*, 2 * step + {COOLDOWN // 2} AS now,
+                                lag(partition) OVER (PARTITION BY topic, key ORDER BY valid_from)
+                                  AS was FROM lg JOIN iv USING (topic)) l
           WHERE l.topic = cand.topic AND l.key = cand.key AND l.was <> l.partition
-            AND l.valid_from <= {wl.GIVEN_PREFIX}
-            AND {wl.GIVEN_PREFIX} - l.valid_from < {COOLDOWN})""",
+            AND l.valid_from <= l.now AND l.now - l.valid_from < {COOLDOWN})""",
     o.GIVEN_MAP + "," + o.GIVEN_LOG[len(o.SEQ) + 1 :].split("routed AS")[0].rstrip().rstrip(","),
 )
 def cooldown_candidates(spark, sf):
     log = wl.hot_map_log_given(spark, sf)
-    now = log.select("topic").distinct().withColumn("at_seq", F.lit(wl.GIVEN_PREFIX).cast("long"))
+    # shortly after the last moves of every topic
+    now = wl.given_intervals(spark, sf).select(
+        "topic", (F.col("step") * 2 + COOLDOWN // 2).alias("at_seq")
+    )
     return placement.cooled_candidates(_candidates(spark, sf), log, now, COOLDOWN)
 
 
@@ -427,7 +430,8 @@ ev AS (
   SELECT topic, key, valid_from - 1 AS seq,
          CASE WHEN valid_from = 1 THEN 'promote' ELSE 'move' END AS op, count, partition FROM lg
   UNION ALL
-  SELECT topic, key, 1900, 'evict', count, partition FROM lg WHERE num = 9 AND valid_to IS NULL
+  SELECT topic, key, (valid_from - 1) * 5 // 4, 'evict', count, partition
+  FROM lg WHERE num = 9 AND valid_to IS NULL
 ),
 chained AS (SELECT *, lead(seq) OVER (PARTITION BY topic, key ORDER BY seq) AS next_seq FROM ev)"""
 )

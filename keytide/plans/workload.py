@@ -19,9 +19,8 @@ EPSILON = 0.01
 SUPPORT = 0.05
 REBALANCE_EVERY = 2
 SAMPLE_THRESHOLD = 0.5
-# Messages per topic that make up the given map, and length of a given interval.
-GIVEN_PREFIX = 1000
-GIVEN_INTERVAL = 700
+# The given log maps every third key, in as many intervals, each a third of its topic.
+GIVEN_INTERVALS = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +34,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keynum() -> Column:
-    """Number in the key, strongly skewed: a cubed residue spread over 40 values."""
-    return F.expr("x * x * x * 40L div 1027243729L")
+    """Number in the key, strongly skewed: a cubed residue spread over 40 values.
+
+    Every eighth message has one of the rare keys instead, four messages each, so the number
+    of keys grows with the stream.
+    """
+    return F.expr(
+        "CASE WHEN event_id % 8 = 5 THEN 40 + event_id div 32 "
+        "ELSE x * x * x * 40L div 1027243729L END"
+    )
 
 
 def keyed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """msg_id, ts, topic, key, body: 40 keys, the first with 29 % of all messages."""
+    """msg_id, ts, topic, key, body: the first key has a quarter of all messages."""
     x = F.expr("(event_id * 7919L) % 1009L")
     return (
         events(spark, sf_dir)
@@ -76,39 +82,46 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def hot_map_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A map made of each topic's first messages; every key sits on its hash partition."""
-    first = sequenced(spark, sf_dir).where(F.col("seq") <= GIVEN_PREFIX)
-    given = key_counts(first).withColumn("partition", fnv_partition(F.col("key"), N_PARTITIONS))
+    """A map of all keys with their counts; every key sits on its hash partition."""
+    counts = key_counts(keyed_messages(spark, sf_dir))
+    given = counts.withColumn("partition", fnv_partition(F.col("key"), N_PARTITIONS))
     return materialize(given, "hot-map")
 
 
+def given_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topic, step: messages of a given interval, one row per topic."""
+    topics = keyed_messages(spark, sf_dir).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    return topics.select("topic", F.expr(f"greatest(n div {GIVEN_INTERVALS}, 1)").alias("step"))
+
+
 def hot_map_log_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validity intervals of the keys 0-9 of every topic, three per key.
+    """Validity intervals of every third key, the last one open.
 
     Keys whose number is a multiple of four change interval, but not partition.
     """
-    num = F.expr("CAST(substr(key, 10) AS INT)")
+    num = F.expr("CAST(substr(key, 10) AS BIGINT)")
     keys = keyed_messages(spark, sf_dir).select("topic", "key").distinct()
     versions = (
         keys.withColumn("num", num)
-        .where("num <= 9")
-        .withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(2))))
+        .where("num % 3 = 0")
+        .join(given_intervals(spark, sf_dir), "topic")
+        .withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(GIVEN_INTERVALS - 1))))
     )
-    step = F.when(F.col("num") % 4 == 0, 0).otherwise(F.col("v"))
-    start = (F.col("v") * GIVEN_INTERVAL + 1).cast("long")
+    moved = F.when(F.col("num") % 4 == 0, 0).otherwise(F.col("v"))
+    start = (F.col("v") * F.col("step") + 1).cast("long")
     log = versions.select(
         "topic",
         "key",
         (F.col("num") * 10 + F.col("v") + 1).cast("long").alias("count"),
-        ((F.col("num") * 3 + step) % N_PARTITIONS).cast("int").alias("partition"),
+        ((F.col("num") * 3 + moved) % N_PARTITIONS).cast("int").alias("partition"),
         start.alias("valid_from"),
-        F.when(F.col("v") < 2, start + GIVEN_INTERVAL).alias("valid_to"),
+        F.when(F.col("v") < GIVEN_INTERVALS - 1, start + F.col("step")).alias("valid_to"),
     )
     return materialize(log, "map-log")
 
 
 def hot_map_events_given(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same history as change events, plus one eviction of key 9."""
+    """The same history as change events, plus one eviction of key 9 in the last interval."""
     log = hot_map_log_given(spark, sf_dir)
     changes = log.select(
         "topic",
@@ -118,10 +131,11 @@ def hot_map_events_given(spark: SparkSession, sf_dir: str) -> DataFrame:
         "count",
         "partition",
     )
-    evicted = log.where((F.col("key") == "location_9") & F.col("valid_to").isNull()).select(
+    last = log.where((F.col("key") == "location_9") & F.col("valid_to").isNull())
+    evicted = last.select(
         "topic",
         "key",
-        F.lit(1900).cast("long").alias("seq"),
+        F.expr(f"(valid_from - 1) * (2 * {GIVEN_INTERVALS} - 1) div (2 * {GIVEN_INTERVALS - 1})").alias("seq"),
         F.lit("evict").alias("op"),
         "count",
         "partition",
