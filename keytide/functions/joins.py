@@ -148,6 +148,18 @@ def _merge(facts, intervals, on, at, plan, start, end) -> DataFrame:
     return merged.select(*named, *[columns[c].alias(c) for c in payload])
 
 
+def small_join(
+    facts: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Inner join with a table that is unique on ``on`` and has few of its values, so that an
+    equi-join alone would put a value's facts into one task."""
+    marked = table.withColumn("_matched", F.lit(True))
+    return dimension_join(facts, marked, on, broadcast_rows).where("_matched").drop("_matched")
+
+
 def dimension_join(
     facts: DataFrame,
     dimension: DataFrame,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.functions.chunked import SLICE_ROWS, with_sequence
-from keytide.functions.joins import BROADCAST_ROWS, dimension_join
+from keytide.functions.joins import BROADCAST_ROWS, dimension_join, small_join
 
 # Message ids are non-negative BIGINTs, so below this.
 ID_SPAN = 10**19
@@ -42,7 +42,7 @@ def assign_endpoints(
     # One row of counts and one row per endpoint: lookups of fixed size.
     n_endpoints = count.first()[0]
     placed = turns.withColumn("endpoint_idx", ((F.col("turn") - 1) % n_endpoints).cast("int"))
-    return placed.join(endpoints, "endpoint_idx").select(
+    return small_join(placed, endpoints, ["endpoint_idx"]).select(
         *scope, "key", "turn", "endpoint_idx", F.col("ip").alias("endpoint")
     )
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keytide.functions.chunked import chunk_of, chunked_running_sum
+
 # Operation names and tags as the traced programs write them.
 PRODUCE = "produce message"
 PROCESS = "print message"
@@ -14,6 +16,10 @@ RECEIVE = "OrderGo receive"
 PARTITION_TAG = "message_bus.destination"
 KEY_TAG = "consumer.key"
 
+# Values of a group that are counted up together.
+VALUE_CHUNK = 4_096
+
+# Columns of the latency table, in order.
 LATENCY_COLUMNS = (
     "traceID",
     "Rcv_Duration",
@@ -98,7 +104,9 @@ def latency_by(
 ) -> DataFrame:
     """Processing times by partition, key or both, optionally for one of them only.
 
-    Percentiles are approximate: their state stays bounded for any group.
+    Percentiles are exact, the smallest value that at least their share of a group's values
+    does not exceed: values are counted, and a running count in chunks of values finds it, so
+    no group is gathered in one task.
     """
     kept = latency
     if partition is not None:
@@ -106,15 +114,37 @@ def latency_by(
     if key is not None:
         kept = kept.where(F.col("Key") == key)
     took = F.col("Print_Duration")
-    return kept.groupBy(*by).agg(
+    # NULL groups meet as well: a group is named by its text and by whether it is NULL
+    names = [
+        c
+        for b in by
+        for c in (
+            F.coalesce(F.col(b).cast("string"), F.lit("")).alias(f"_{b}"),
+            F.col(b).isNull().alias(f"_{b}_null"),
+        )
+    ]
+    keys = [f"_{b}{end}" for b in by for end in ("", "_null")]
+    stats = kept.groupBy(*by).agg(
         F.count(F.lit(1)).alias("traces"),
         F.sum(took).alias("total_us"),
         F.min(took).alias("min_us"),
         F.max(took).alias("max_us"),
         F.avg(took).alias("avg_us"),
-        F.percentile_approx(took, 0.5, 10_000).alias("p50_us"),
-        F.percentile_approx(took, 0.99, 10_000).alias("p99_us"),
+        F.count(took).alias("_timed"),
+    )
+    stats = stats.select("*", *names)
+    values = (
+        kept.where(took.isNotNull())
+        .select(*names, took.alias("_took"))
+        .groupBy(*keys, "_took")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_chunk", chunk_of("_took", VALUE_CHUNK))
     )
+    upto = chunked_running_sum(values, keys, ["_took"], ["_chunk"], "_n", "_upto")
+    timed = upto.join(stats.select(*keys, "_timed"), keys)
+    at = lambda q: F.min(F.when(F.col("_upto") >= F.col("_timed") * q, F.col("_took")))
+    found = timed.groupBy(*keys).agg(at(0.5).alias("p50_us"), at(0.99).alias("p99_us"))
+    return stats.join(found, keys, "left").drop("_timed", *keys)
 
 
 def flat_spans(traces: DataFrame) -> DataFrame:

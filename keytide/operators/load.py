@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.functions.chunked import CHUNK, chunk_of, chunked_running_sum
+from keytide.functions.chunked import CHUNK, chunk_of, chunked_lag, chunked_running_sum
+
+# Ticks of a topic that are looked at together.
+TICK_CHUNK = 65_536
 
 
 def all_partitions(n_partitions: int) -> Column:
@@ -54,12 +57,23 @@ def partition_rate(acks: DataFrame, width: str = "1 second") -> DataFrame:
 
 
 def time_ticks(messages: DataFrame, every_seconds: int) -> DataFrame:
-    """Ticks of a clock, each with the last message before it: topic, tick, at_seq.
+    """Every tick of a clock from a topic's first message to its last: topic, tick, at_seq.
 
-    A tick before which no message arrived would repeat the snapshot before it.
+    ``at_seq`` is the last message before the tick; ticks between which no message arrived have
+    the same.
     """
     tick = F.floor(F.unix_micros("ts") / F.lit(every_seconds * 1_000_000)).cast("long") + 1
-    return messages.groupBy("topic", tick.alias("tick")).agg(F.max("seq").alias("at_seq"))
+    busy = messages.groupBy("topic", tick.alias("tick")).agg(F.max("seq").alias("at_seq"))
+    busy = busy.withColumns(
+        {"_at": F.struct("tick", "at_seq"), "_chunk": chunk_of("tick", TICK_CHUNK)}
+    )
+    after = chunked_lag(busy, ["topic"], ["tick"], ["_chunk"], "_at", "_before")
+    idle = F.coalesce(F.col("_before.tick") + 1, F.col("tick"))
+    ticks = after.withColumn("_tick", F.explode(F.sequence(idle, F.col("tick"))))
+    at_seq = F.when(F.col("_tick") == F.col("tick"), F.col("at_seq")).otherwise(
+        F.col("_before.at_seq")
+    )
+    return ticks.select("topic", F.col("_tick").alias("tick"), at_seq.alias("at_seq"))
 
 
 def weight_snapshots(

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytide.functions.hashing import p2c_draws
+from keytide.functions.joins import small_join
 
 STOP_RULES = ("improves", "as_written")
 
@@ -23,7 +24,8 @@ def _size_list(sizes: DataFrame) -> DataFrame:
 def p2c_choose(keys: DataFrame, sizes: DataFrame, n_partitions: int) -> DataFrame:
     """Power of two choices: the second draw only if the first is strictly larger."""
     first, second = p2c_draws(F.col("key"), n_partitions)
-    drawn = keys.withColumns({"p1": first, "p2": second}).join(_size_list(sizes), "topic")
+    drawn = keys.withColumns({"p1": first, "p2": second})
+    drawn = small_join(drawn, _size_list(sizes), ["topic"])
     heavier = F.get("_sizes", F.col("p1")) > F.get("_sizes", F.col("p2"))
     return drawn.withColumn("partition", F.when(heavier, F.col("p2")).otherwise(F.col("p1"))).drop(
         "_sizes"
@@ -88,7 +90,7 @@ def target_match(candidates: DataFrame, sizes: DataFrame, stop_rule: str = "impr
     )
     best = F.array_min(F.transform(allowed, rated))
     return (
-        candidates.join(targets, "topic")
+        small_join(candidates, targets, ["topic"])
         .withColumn("dst", best["partition"])
         .where(F.col("dst").isNotNull())
         .select("topic", "key", "count", F.col("partition").alias("src"), "dst")
@@ -116,7 +118,7 @@ def cooled_candidates(
         F.col("_was").isNotNull() & (F.col("_was") != F.col("partition"))
     )
     recent = (
-        moves.join(now, "topic")
+        small_join(moves, now, ["topic"])
         .where(
             (F.col("valid_from") <= F.col("at_seq"))
             & (F.col("at_seq") - F.col("valid_from") < cooldown)

@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytide.functions.chunked import CHUNK, chunk_of, chunked_rank, chunked_running_sum
+from keytide.functions.joins import small_join
 from keytide.session import materialize
 
 # Buckets per chunk.
@@ -80,7 +81,7 @@ def scan_buckets(
     ``counts`` may carry earlier lives into a later batch of a stream: a row at the
     start bucket with all occurrences so far, ``carried`` true, and when it was hot.
     """
-    complete = counts.join(full, "topic").where(F.col("bucket") <= F.col("full"))
+    complete = small_join(counts, full, ["topic"]).where(F.col("bucket") <= F.col("full"))
     if max_bucket is None:
         max_bucket = full.agg(F.max("full")).first()[0] or 0
     key = ["topic", "key"]

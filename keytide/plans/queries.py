@@ -60,7 +60,10 @@ def micros(ts: str = "ts"):
 
 @query("msg_source", "SELECT msg_id, ts_us, topic, key, body FROM km")
 def msg_source(spark, sf):
-    return wl.keyed_messages(spark, sf).select("msg_id", micros(), "topic", "key", "body")
+    """The log, written as files and read by the source."""
+    path = scratch_path(spark, "log")
+    wl.keyed_messages(spark, sf).write.parquet(path)
+    return read_messages(spark, path).select("msg_id", micros(), "topic", "key", "body")
 
 
 @query("fnv_partition", "SELECT key, h AS hash, p AS partition FROM hashes", o.SEQ)
@@ -303,10 +306,15 @@ SNAPSHOT_SECONDS = 3600
                  WHERE lg.topic = t.topic AND lg.partition = p.partition
                    AND lg.valid_from <= t.at_seq + 1
                    AND (lg.valid_to IS NULL OR lg.valid_to > t.at_seq + 1)), 0) AS BIGINT) AS size
-        FROM (SELECT topic, ts_us // {SNAPSHOT_SECONDS * 1000000} + 1 AS tick, max(seq) AS at_seq
-              FROM ms GROUP BY ALL) t,
+        FROM (SELECT topic, tick, max(busy) OVER (PARTITION BY topic ORDER BY tick) AS at_seq
+              FROM (SELECT topic, unnest(range(min(tick), max(tick) + 1)) AS tick
+                    FROM tk GROUP BY topic)
+              LEFT JOIN (SELECT topic, tick, max(seq) AS busy FROM tk GROUP BY ALL)
+                USING (topic, tick)) t,
              (SELECT CAST(unnest(range(0, {wl.N_PARTITIONS})) AS INTEGER) AS partition) p""",
-    o.GIVEN_LOG,
+    o.GIVEN_LOG
+    + f""",
+tk AS (SELECT topic, ts_us // {SNAPSHOT_SECONDS * 1000000} + 1 AS tick, seq FROM ms)""",
 )
 def weight_snapshots(spark, sf):
     ticks = load.time_ticks(wl.sequenced(spark, sf), SNAPSHOT_SECONDS)
@@ -675,17 +683,34 @@ def key_total_order(spark, sf):
     return ordered.select("topic", "key", "seq", "pos")
 
 
+VIOLATIONS = """
+SELECT topic, key, seq, prev_seq FROM (
+  SELECT topic, key, seq,
+         lag(seq) OVER (PARTITION BY topic, key
+                        ORDER BY {}, sent_partition = dest_partition, "offset") AS prev_seq
+  FROM delivered
+) WHERE prev_seq > seq"""
+
+
 @query(
     "order_violations",
-    "SELECT topic, key, seq, CAST(0 AS BIGINT) AS prev_seq FROM delivered WHERE false",
+    VIOLATIONS.format("dest_idx"),
     o.GIVEN_LOG,
 )
 def order_violations(spark, sf):
+    """None: the tags restore the order in which messages were sent."""
     return delivery.order_violations(_delivered(spark, sf)).select(
         "topic", "key", "seq", "prev_seq"
     )
 
 
+@query("order_violations_reversed", VIOLATIONS.format("-dest_idx"), o.GIVEN_LOG)
+def order_violations_reversed(spark, sf):
+    """What a consumer sees that takes the sets of a key in the wrong order."""
+    wrong = _delivered(spark, sf).withColumn("dest_idx", -F.col("dest_idx"))
+    return delivery.order_violations(wrong).select("topic", "key", "seq", "prev_seq")
+
+
 @query(
     "msg_sink",
     f"""SELECT topic, sent_partition AS partition, key, body, msg_id, {TAG},
@@ -905,15 +930,26 @@ def stream_config():
     return HotKeyConfig(wl.N_PARTITIONS, wl.EPSILON, wl.SUPPORT, wl.REBALANCE_EVERY)
 
 
-@query(
-    "stream_sketch",
-    """SELECT topic, key, start_b AS start_bucket, min(bucket) FILTER (NOT kept) AS end_bucket,
-              max(seen) AS seen, min(ins) AS insert_n, min(bucket) FILTER (hot) AS hot_bucket,
-              arg_min(cnt, bucket) FILTER (hot) AS hot_count
-       FROM step GROUP BY topic, key, start_b""",
-    o.lossy(),
-    recursive=True,
-)
+ALL_LIVES = """
+SELECT topic, key, start_b AS start_bucket, min(bucket) FILTER (NOT kept) AS end_bucket,
+       max(seen) AS seen, min(ins) AS insert_n, min(bucket) FILTER (hot) AS hot_bucket,
+       arg_min(cnt, bucket) FILTER (hot) AS hot_count
+FROM step GROUP BY topic, key, start_b"""
+
+
+@query("stream_sketch_expiring", ALL_LIVES, o.lossy(), recursive=True)
+def stream_sketch_expiring(spark, sf):
+    """The same with old state deleted: ended lives are results and stay."""
+    state, offsets = scratch_path(spark, "state"), scratch_path(spark, "offsets")
+    run_in_parts(spark, sf, lambda s: stream_sketch(s, state, offsets, stream_config(), keep=2))
+    lives = spark.read.parquet(f"{state}/lives")
+    last = lives.agg(F.max("batch")).first()[0]
+    tracked = lives.where(F.col("end_bucket").isNull() & (F.col("batch") == last))
+    ended = spark.read.parquet(f"{state}/ended_lives")
+    return tracked.unionByName(ended).drop("batch", "status", "count")
+
+
+@query("stream_sketch", ALL_LIVES, o.lossy(), recursive=True)
 def stream_sketch_query(spark, sf):
     """Ended lives of all batches and what is tracked after the last."""
     state, offsets = scratch_path(spark, "state"), scratch_path(spark, "offsets")

@@ -20,7 +20,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from keytide.functions.chunked import SLICE_ROWS, with_sequence
 from keytide.functions.hashing import fnv_partition
-from keytide.functions.joins import BROADCAST_ROWS, plan_interval_join
+from keytide.functions.joins import (
+    BROADCAST_ROWS,
+    dimension_join,
+    plan_interval_join,
+    small_join,
+)
 from keytide.operators import control, sketch
 from keytide.operators.load import partition_sizes
 from keytide.operators.message_sets import (
@@ -60,12 +65,12 @@ def sequence_batch(
 ) -> tuple[DataFrame, DataFrame]:
     """Number a batch's messages on from the batches before: ``(messages, totals)``."""
     totals = state.before("totals", batch_id, TOTALS)
-    base = F.broadcast(totals.withColumnRenamed("seen", "_seen"))
+    base = totals.withColumnRenamed("seen", "_seen")
     ranked = with_sequence(batch, slice_rows=slice_rows)
-    numbered = ranked.join(base, "topic", "left").withColumn(
+    numbered = dimension_join(ranked, base, ["topic"]).withColumn(
         "seq", F.col("seq") + F.coalesce("_seen", F.lit(0))
     )
-    messages = state.save("messages", batch_id, numbered.drop("_seen"))
+    messages = state.scratch("messages", batch_id, numbered.drop("_seen"))
     counted = messages.groupBy("topic").agg(F.count(F.lit(1)).alias("seen"))
     now = totals.unionByName(counted).groupBy("topic").agg(F.sum("seen").alias("seen"))
     return messages, state.save("totals", batch_id, now)
@@ -93,7 +98,7 @@ def advance_sketch(
     )
     width = sketch.bucket_width(config.epsilon)
     full = totals.select("topic", F.floor(F.col("seen") / width).cast("long").alias("full"))
-    pending = counts.join(full, "topic").where(F.col("bucket") > F.col("full")).drop("full")
+    pending = small_join(counts, full, ["topic"]).where(F.col("bucket") > F.col("full")).drop("full")
     state.save("pending", batch_id, pending)
 
     none = F.lit(None).cast("long")
@@ -115,6 +120,7 @@ def advance_sketch(
     lives = state.save(
         "lives", batch_id, sketch.lives_of(scan, config.epsilon, config.support)
     )
+    state.emit("ended_lives", batch_id, lives.where(F.col("end_bucket").isNotNull()))
     return lives, sketch.turnovers(bucketed, config.epsilon)
 
 
@@ -138,7 +144,9 @@ def advance_map(
         config.tolerance,
         config.cooldown,
     )
-    return state.save("map_log", batch_id, log)
+    log = state.save("map_log", batch_id, log)
+    state.emit("closed_intervals", batch_id, log.where(F.col("valid_to").isNotNull()))
+    return log
 
 
 def tag_batch(
@@ -165,7 +173,7 @@ def tag_batch(
         F.lit(None).cast("long").alias("valid_to"),
         home.alias("partition"),
     )
-    line = state.save("timeline", batch_id, line.unionByName(left))
+    line = state.scratch("timeline", batch_id, line.unionByName(left))
     plan = plan_interval_join(line, ON, messages, "seq", config.broadcast_rows)
     visited = first_in_interval(messages, line, plan).join(earlier, list(ON), "left")
     fallback = (None, None, None) if log_is_complete else (home, F.lit(0), F.lit(-1))
@@ -173,7 +181,7 @@ def tag_batch(
         known = F.col(column)
         value = known if otherwise is None else F.coalesce(known, otherwise)
         visited = visited.withColumn(f"_{column}", value)
-    sets = state.save("sets", batch_id, number_sets(visited))
+    sets = state.scratch("sets", batch_id, number_sets(visited))
     newest = sets.groupBy(*ON).agg(
         F.max_by(F.struct("dest_partition", "dest_idx", "src_partition"), "valid_from").alias("_now")
     )
@@ -208,13 +216,15 @@ def stream_sketch(
 ) -> StreamingQuery:
     """Keep the sketch up to date; its lives are in ``<state_dir>/lives``.
 
-    A batch's version holds what is tracked after it and what it dropped.
+    A batch's version holds what is tracked after it and what it dropped. With ``keep`` only
+    the last versions stay; dropped lives of all batches are in ``<state_dir>/ended_lives``.
     """
     state = VersionedState(stream.sparkSession, state_dir, keep)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         messages, totals = sequence_batch(state, batch, batch_id, config.slice_rows)
         advance_sketch(state, messages, totals, batch_id, config)
+        state.finish(batch_id)
 
     return _start(stream, step, checkpoint, trigger)
 
@@ -238,6 +248,7 @@ def stream_tags(
         messages, _ = sequence_batch(state, batch, batch_id, config.slice_rows)
         tagged = tag_batch(state, messages, hot_map_log(spark), batch_id, config, log_is_complete)
         sent_partition(tagged).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        state.finish(batch_id)
 
     return _start(stream, step, checkpoint, trigger)
 
@@ -268,6 +279,7 @@ def run_hot_key_stream(
         weights = partition_sizes(
             control.current_map(log), config.n_partitions, totals.select("topic")
         )
-        state.save("weights", batch_id, weights)
+        state.emit("weights", batch_id, weights)
+        state.finish(batch_id)
 
     return _start(stream, step, checkpoint, trigger)

@@ -11,12 +11,20 @@ class VersionedState:
     A batch reads what the batch before it wrote and overwrites its own version, so
     running a batch again after a failure gives the same tables. ``root`` belongs in
     the folder the executors share.
+
+    State (``save``) is what the next batch needs; of it the last ``keep`` versions stay,
+    all of them without ``keep``. Results (``emit``) stay. Scratch is for one batch and goes
+    with it.
     """
 
     def __init__(self, spark: SparkSession, root: str, keep: int | None = None):
+        if keep is not None and keep < 2:
+            raise ValueError("a batch reads the version before its own: keep at least 2")
         self.spark = spark
         self.root = root.rstrip("/")
         self.keep = keep
+        self._saved: set[str] = set()
+        self._scratch: set[str] = set()
 
     def path(self, name: str, batch_id: int) -> str:
         return f"{self.root}/{name}/batch={batch_id}"
@@ -27,19 +35,35 @@ class VersionedState:
         return self.spark.read.schema(schema).parquet(self.path(name, batch_id - 1))
 
     def save(self, name: str, batch_id: int, df: DataFrame) -> DataFrame:
-        path = self.path(name, batch_id)
-        df.write.mode("overwrite").parquet(path)
-        self._expire(name, batch_id)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self._saved.add(name)
+        return self._write(name, batch_id, df)
+
+    def emit(self, name: str, batch_id: int, df: DataFrame) -> None:
+        self._write(name, batch_id, df)
+
+    def scratch(self, name: str, batch_id: int, df: DataFrame) -> DataFrame:
+        self._scratch.add(name)
+        return self._write(name, batch_id, df)
+
+    def finish(self, batch_id: int) -> None:
+        """Call after the last write of a batch, when nothing reads older versions any more."""
+        for name in self._scratch:
+            self._delete(self.path(name, batch_id))
+        if self.keep is not None and batch_id >= self.keep:
+            for name in self._saved:
+                self._delete(self.path(name, batch_id - self.keep))
 
     def history(self, name: str) -> DataFrame:
         """All versions still kept, with the ``batch`` they belong to."""
         return self.spark.read.parquet(f"{self.root}/{name}")
 
-    def _expire(self, name: str, batch_id: int) -> None:
-        if self.keep is None or batch_id < self.keep:
-            return
+    def _write(self, name: str, batch_id: int, df: DataFrame) -> DataFrame:
+        path = self.path(name, batch_id)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        old = jvm.org.apache.hadoop.fs.Path(self.path(name, batch_id - self.keep))
+        old = jvm.org.apache.hadoop.fs.Path(path)
         fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(old, True)

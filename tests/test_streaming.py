@@ -62,6 +62,13 @@ def test_a_repeated_batch_changes_nothing(spark):
         before = state.before("n", 0, "v long")
         state.save("n", 0, before.unionByName(spark.range(3).withColumnRenamed("id", "v")))
     assert state.before("n", 1, "v long").count() == 3
+    state.emit("results", 0, spark.range(1))
     for batch in (1, 2, 3):
         state.save("n", batch, spark.range(batch).withColumnRenamed("id", "v"))
+        state.emit("results", batch, spark.range(1))
+        state.scratch("once", batch, spark.range(1))
+        state.finish(batch)
+    assert state.history("results").count() == 4
+    with pytest.raises(ValueError):
+        VersionedState(spark, "unused", keep=1)
     assert {r.batch for r in state.history("n").select("batch").distinct().collect()} == {2, 3}
