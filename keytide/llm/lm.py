@@ -100,7 +100,7 @@ def score_block(docs: pa.Table, shared: pa.Table, all_tokens: int, backoff: floa
     word_rest = words_total(word) - word_n
     unigram = np.log(np.maximum(word_rest, 1)) - np.log(np.maximum(all_tokens - lengths[word_of], 1))
     # all tokens by their unigram score; pairs then change what they know better or back off from
-    total = np.bincount(word_of, weights=word_n * unigram, minlength=n_docs)
+    total = np.bincount(word_of, weights=word_n * unigram, minlength=n_docs).astype(np.float64)
     order = np.lexsort((pairs, pair_of))
     pairs, pair_of = pairs[order], pair_of[order]
     start = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]) | (pair_of[1:] != pair_of[:-1])]) if len(pairs) else np.empty(0, np.int64)
@@ -111,6 +111,7 @@ def score_block(docs: pa.Table, shared: pa.Table, all_tokens: int, backoff: floa
     rest = pairs_total(pair) - pair_n
     known = np.log(np.maximum(rest, 1)) - np.log(np.maximum(word_rest[context], 1)) - unigram[at]
     total += np.bincount(pair_of, weights=pair_n * np.where(rest > 0, known, math.log(backoff)), minlength=n_docs)
+    total = total.astype(np.float64)
     mean = total / np.maximum(lengths, 1)
     return pa.table(
         {

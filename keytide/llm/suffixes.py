@@ -322,29 +322,32 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A document all of whose words are repeated stays, with what white space is left.
     """
     columns = docs.columns
-    spans = repeats(docs).groupBy(F.col("doc_id").alias("_of_id"), F.col("row").alias("_of_row")).agg(
-        F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("words")).alias("end")))).alias("_spans")
+    spans = repeats(docs).groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(
+        F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("words")).alias("end")))).alias("spans")
     )
-    # only documents with repeats go through Python
-    same = docs["doc_id"].cast("long").eqNullSafe(spans["_of_id"]) & (
-        F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == spans["_of_row"]
+    # columns of the documents stay inside ``doc``, whatever their names
+    whole = docs.select(
+        F.struct(*[docs[c] for c in columns]).alias("doc"),
+        docs["doc_id"].cast("long").alias("id"),
+        F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("hash"),
     )
-    joined = docs.join(spans, same, "left")
-    clean = joined.where("_spans is null").select(*[docs[c] for c in columns])
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_row"))
+    joined = whole.join(spans, same, "left").select("doc", "spans")
 
     def make():
         def apply(batch):
+            doc = batch.column("doc")
             texts = [
                 cut(t.as_py(), [(s["start"], s["end"]) for s in spans.as_py()])
-                for t, spans in zip(batch.column("text"), batch.column("_spans"))
+                for t, spans in zip(doc.field("text"), batch.column("spans"))
             ]
-            out = {c: batch.column(c) for c in columns} | {"text": texts}
+            out = {c: doc.field(c) for c in columns} | {"text": texts}
             if "n_chars" in columns:
                 out["n_chars"] = [len(t) for t in texts]
             return out
 
         return apply
 
-    dirty = joined.where("_spans is not null").select(*[docs[c] for c in columns], "_spans")
-    schema = docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    return clean.union(map_batches(dirty, schema, make))
+    # only documents with repeats go through Python
+    dirty = map_batches(joined.where("spans is not null"), docs.schema, make)
+    return joined.where("spans is null").select("doc.*").union(dirty)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def id_text(docs: DataFrame) -> DataFrame:
@@ -18,16 +20,13 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]
+    df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]
 ) -> DataFrame:
     """``mapInArrow`` for functions of one batch; ``make`` builds the task's function once.
 
     A function returns a dict of columns (lists, numpy or Arrow arrays).
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    struct = StructType.fromDDL(schema)
+    struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(struct)
