@@ -39,7 +39,7 @@ def test_stream_of_batches_equals_the_batch_twin(spark, sf, streamed, batch_log)
     want = message_sets.sent_partition(message_sets.tag_message_sets(messages, 10, batch_log))
     rows = lambda df: sorted(map(tuple, df.select(*COLUMNS).collect()))
     assert rows(got) == rows(want)
-    assert want.where("is_boundary").count() == 14
+    assert want.where("is_boundary").count() == 11
 
 
 def test_map_history_of_the_stream(spark, streamed, batch_log):
