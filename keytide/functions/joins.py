@@ -22,15 +22,13 @@ PROBES = 16
 # A key with more than 1/HEAVY_SHARE of all rows is joined apart; so at most
 # HEAVY_SHARE keys can be heavy, whatever the data.
 HEAVY_SHARE = 10_000
-# Chunks a long-standing interval may be cut into.
-MAX_CHUNKS = 16_384
-
 
 @dataclass(frozen=True)
 class IntervalPlan:
     """How to join messages with validity intervals.
 
-    With a ``chunk`` the intervals are cut at multiples of it, up to ``horizon``.
+    A broadcast table with a ``chunk`` is cut at multiples of it, up to ``horizon``, into at
+    most as many rows as may be broadcast. In the shuffled form the chunk cuts messages.
     """
 
     broadcast: bool
@@ -62,9 +60,7 @@ def plan_interval_join(
     pieces = -(-(seen["widest"] or 1) // PROBES)
     if rows + seen["keys"] * pieces <= broadcast_rows:
         return IntervalPlan(broadcast=True, chunk=-(-horizon // pieces), horizon=horizon)
-    return IntervalPlan(
-        broadcast=False, chunk=max(chunk, -(-horizon // MAX_CHUNKS)), horizon=horizon
-    )
+    return IntervalPlan(broadcast=False, chunk=chunk)
 
 
 def _cut(intervals: DataFrame, plan: IntervalPlan, start: str, end: str) -> DataFrame:
@@ -91,7 +87,9 @@ def interval_join(
     found by key (and chunk), the range being a residual; the stream is not shuffled.
     Otherwise facts and intervals are sorted together within key and chunk and each
     fact takes the last interval that began: linear however many a key has, and a hot
-    key is spread over as many groups as its messages fill chunks.
+    key is spread over as many groups as its messages fill chunks. An interval is there
+    once, and once more in each later chunk of its key that begins inside it and has facts
+    or starts; how long it lasts doesn't matter.
     """
     on = list(on)
     if plan.broadcast:
@@ -118,13 +116,38 @@ def _probe(facts, intervals, on, at, plan, start, end) -> DataFrame:
     return joined.drop(*[f"_r_{k}" for k in keys], "_chunk")
 
 
+def _begun(facts, intervals, on, at, plan, start, end) -> DataFrame:
+    """Intervals where they start, and what each chunk finds as the last one begun before it."""
+    payload = [c for c in intervals.columns if c not in on]
+    lasting = intervals.where(F.col(end).isNull() | (F.col(end) > F.col(start)))
+    own = lasting.select(
+        *on,
+        chunk_of(start, plan.chunk).alias("_chunk"),
+        F.col(start).alias("_at"),
+        F.lit(0).alias("_kind"),
+        F.struct(*payload).alias("_hit"),
+    )
+    visited = facts.select(*on, chunk_of(at, plan.chunk).alias("_chunk")).distinct()
+    last = (
+        own.unionByName(visited, allowMissingColumns=True)
+        .groupBy(*on, "_chunk")
+        .agg(F.max_by("_hit", "_at").alias("_newest"))
+    )
+    earlier = W.partitionBy(*on).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.withColumn("_hit", F.last("_newest", ignorenulls=True).over(earlier)).select(
+        *on,
+        "_chunk",
+        (F.col("_chunk") * plan.chunk).alias("_at"),
+        F.lit(-1).alias("_kind"),
+        "_hit",
+    )
+    return own.unionByName(carried.where(F.col("_hit").isNotNull()))
+
+
 def _merge(facts, intervals, on, at, plan, start, end) -> DataFrame:
     payload = [c for c in intervals.columns if c not in on]
     rest = [c for c in facts.columns if c not in on]
-    began = F.greatest(F.col(start), F.col("_chunk") * plan.chunk)
-    right = _cut(intervals, plan, start, end).select(
-        *on, "_chunk", began.alias("_at"), F.lit(0).alias("_kind"), F.struct(*payload).alias("_hit")
-    )
+    right = _begun(facts, intervals, on, at, plan, start, end)
     left = facts.select(
         *on,
         chunk_of(at, plan.chunk).alias("_chunk"),

@@ -713,7 +713,7 @@ def order_violations_reversed(spark, sf):
 
 @query(
     "msg_sink",
-    f"""SELECT topic, sent_partition AS partition, key, body, msg_id, {TAG},
+    f"""SELECT topic, sent_partition AS partition, key, body, msg_id, seq, {TAG},
                '10.1.0.' || CAST(msg_id % 3 AS VARCHAR) AS producer FROM sent""",
     o.GIVEN_LOG,
 )
@@ -728,6 +728,7 @@ def msg_sink(spark, sf):
         "key",
         "body",
         "msg_id",
+        "seq",
         producer_headers(who, encode_tag(message_sets.tag_struct())).alias("headers"),
     )
     path = scratch_path(spark, "sink")
@@ -739,6 +740,7 @@ def msg_sink(spark, sf):
         "key",
         "body",
         "msg_id",
+        "seq",
         *[F.col(f"tag.{c}").alias(c) for c in message_sets.TAG_COLUMNS],
         header(F.col("headers"), "Producer").cast("string").alias("producer"),
     )

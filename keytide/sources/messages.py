@@ -49,11 +49,13 @@ def kafka_columns(sent: DataFrame, headers: str = "headers") -> DataFrame:
 def write_messages(sent: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write records under their topic and explicit partition, snappy compressed.
 
-    Rows are not gathered per partition first: a partition with a third of all
-    rows is written by many tasks, each adding its own file.
+    Rows are dealt by topic and partition, so a task opens few files; a partition with a
+    third of all rows is split over several tasks. Files have no order: with a ``seq`` or
+    ``offset`` column a partition can be read back as it was sent.
     """
     (
         sent.withColumnRenamed("sent_partition", "partition")
+        .hint("rebalance", "topic", "partition")
         .write.mode(mode)
         .option("compression", "snappy")
         .partitionBy("topic", "partition")

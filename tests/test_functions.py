@@ -219,3 +219,18 @@ def test_only_json_carries_keys_with_spaces(spark):
         decode_tag(encode_tag(F.col("t"), "text"), "text").alias("x"),
     ).first()
     assert row.j.key == "a b" and row.x is None
+
+
+def test_long_intervals_are_not_multiplied(spark):
+    from keytide.functions import joins
+
+    intervals = spark.range(1000).selectExpr(
+        "id AS key", "1L AS valid_from", "CAST(NULL AS BIGINT) AS valid_to", "id AS p"
+    )
+    far = 100_000_000_000
+    facts = spark.range(1000).selectExpr("id AS key", f"{far}L + id AS at")
+    plan = plan_interval_join(intervals, ["key"], facts, "at", broadcast_rows=10)
+    assert not plan.broadcast
+    assert joins._begun(facts, intervals, ["key"], "at", plan, "valid_from", "valid_to").count() == 2000
+    rows = interval_join(facts, intervals, ["key"], "at", plan).collect()
+    assert len(rows) == 1000 and all(r.p == r.key for r in rows)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keytide.functions import with_sequence
-from keytide.operators import message_sets, routing
+from keytide.operators import message_sets, routing, sketch
 from keytide.plans import queries as q
 from keytide.plans import workload as wl
 
@@ -85,3 +85,25 @@ def test_windows_of_message_sets_run_over_intervals(spark, sf):
         if "Window" in line and re.search(r"windowspecdefinition\(topic#\d+, key#\d+", line)
     ]
     assert by_key and all("valid_from" in line for line in by_key)
+
+
+def test_no_join_gathers_a_topic(spark, sf):
+    """With broadcasting by size off, nothing message- or key-sized is dealt by topic alone."""
+    from keytide.operators import placement
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        messages = wl.sequenced_log(spark, sf)
+        bucketed = sketch.assign_buckets(messages, 0.02)
+        lives = sketch.lossy_lifecycles(bucketed, 0.02, 0.1)
+        sizes = q._given_sizes(spark, sf)
+        keys = messages.select("topic", "key").distinct()
+        chosen = placement.p2c_choose(keys, sizes, 10)
+        matched = placement.target_match(q._candidates(spark, sf), sizes)
+        for df in (lives, chosen, matched):
+            text = plan(df)
+            assert not re.search(r"SortMergeJoin \[topic#\d+\], ", text)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
