@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ ROUNDS, RATE = 8, 0.5
 #: Configurations worth less than this share of the best are not used in a round.
 GOOD = 0.995
 #: Chunks of text a worker remembers; longer ones than LONGEST are encoded each time.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
 
 #: Python's str.split also parts words at these, the tokenizer does not.
 _SEPARATORS = re.compile("[\\x1c-\\x1f]")
@@ -44,8 +45,13 @@ class ChunkEncoder:
     _of_path: dict[str, ChunkEncoder] = {}
 
     def __init__(self, path: str) -> None:
+        import sys
+
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are taken as little-endian 32-bit numbers")
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -60,21 +66,29 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        chunks = [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else text.split()
-        known = self.known
-        new = set(chunks).difference(known)
-        if len(known) > REMEMBERED:
-            known.clear()
-            new = set(chunks)
-        passing = {}
-        if new:
-            new = list(new)
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4").tobytes()
-                (known if len(c) <= LONGEST else passing)[c] = ids
-        if passing:
-            return b"".join([passing[c] if c in passing else known[c] for c in chunks])
-        return b"".join(map(known.__getitem__, chunks))
+        chunks = [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else plain(text).split()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            new = list({c for c, i in zip(chunks, ids) if i is None})
+            made = self.tokenizer.encode_batch(new, add_special_tokens=False)
+            fresh = {c: array("I", e.ids).tobytes() for c, e in zip(new, made)}
+            self.known.update((c, i) for c, i in fresh.items() if len(c) <= LONGEST)
+            ids = [fresh[c] if i is None else i for c, i in zip(chunks, ids)]
+        return b"".join(ids)
+
+
+def plain(text: str) -> str:
+    """The text in lower case where that is sure to be what the tokenizer makes of it: Latin-1
+    is composed already and has no letters whose case depends on what is around them."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
