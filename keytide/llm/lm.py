@@ -24,7 +24,7 @@ from keytide.session import materialize
 
 BACKOFF = 0.4
 #: Tokens of a block; a task holds one block.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
 _BITS = 17
 
 
