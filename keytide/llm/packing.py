@@ -4,8 +4,8 @@ Only the histogram of lengths reaches the driver, at most ``capacity`` numbers.
 configuration linear program (how often to use which multiset of lengths, so that every length
 is covered as often as it occurs, with as few sequences as can be) is solved by multiplicative
 weights: each length has a weight, a knapsack dynamic program prices configurations, lengths
-that have been covered less than their share gain weight. Amounts are rounded down to whole
-sequences; what that leaves is packed best-fit. The resulting plan has a size that depends on
+that have been covered less than their share gain weight, and a closing round covers the rest.
+Amounts are rounded to whole sequences; what that leaves is packed best-fit. The resulting plan has a size that depends on
 the capacity alone, and every document finds its place from its rank among its length.
 """
 
@@ -27,9 +27,11 @@ from keytide.session import materialize
 CAPACITY = 4096
 END_ID = 1
 #: Rounds of multiplicative weights, and how fast weights follow what is covered.
-ROUNDS, RATE = 8, 0.5
-#: Configurations worth less than this share of the best are not used in a round.
-GOOD = 0.995
+ROUNDS, RATE = 16, 0.5
+#: Configurations worth less than this share of the best are not used in a round but the closing
+#: one. Lengths that lose less than TIE of it fill up alike; a configuration that lost more than
+#: SLACK because lengths were used up is priced again.
+GOOD, TIE, SLACK = 0.98, 1e-4, 2e-3
 #: Chunks of text a worker remembers; longer ones than LONGEST are encoded each time.
 REMEMBERED, LONGEST = 1_000_000, 64
 
@@ -162,54 +164,93 @@ def knapsack(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[n
     """Best weight for every capacity, lengths used as often as fits, and the last length taken
     (0: none)."""
     best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    worth = np.full(capacity + 1, -np.inf)
+    worth[lengths] = weights
     for c in range(1, capacity + 1):
-        best[c], k = best[c - 1], fitting[c]
-        if k:
-            values = best[c - lengths[:k]] + weights[:k]
-            j = int(values.argmax())
-            if values[j] > best[c]:
-                best[c], taken[c] = values[j], lengths[j]
+        values = best[c - 1 :: -1] + worth[1 : c + 1]
+        j = int(values.argmax())
+        if values[j] > best[c - 1]:
+            best[c], taken[c] = values[j], j + 1
+        else:
+            best[c] = best[c - 1]
     return best, taken
 
 
+class Pricing:
+    """Configurations of nearly the best weight, from the lengths that still lack cover.
+
+    Where several lengths do equally well the choice is drawn in proportion to what each
+    lacks, so that configurations of one round don't all use up the same few lengths.
+    """
+
+    def __init__(self, lengths: np.ndarray, weights: np.ndarray, capacity: int, draws) -> None:
+        self.lengths, self.weights, self.capacity, self.draws = lengths, weights, capacity, draws
+        self.price(np.ones(len(lengths), bool))
+
+    def price(self, usable: np.ndarray) -> None:
+        self.open = np.flatnonzero(usable)
+        self.sizes, self.worth = self.lengths[self.open], self.weights[self.open]
+        self.best, _ = knapsack(self.sizes, self.worth, self.capacity)
+
+    def fill(self, first: int, left: np.ndarray) -> np.ndarray | None:
+        """Places in ``lengths`` of a configuration with ``first``; None where the lengths that
+        are left no longer reach the prices."""
+        lack = left[self.open]
+        config, room = [first], self.capacity - int(self.lengths[first])
+        equal, slack = (x * self.best[self.capacity] + 1e-9 for x in (TIE, SLACK))
+        while self.best[room] > 0:
+            room = int(np.searchsorted(self.best, self.best[room]))
+            k = int(np.searchsorted(self.sizes, room, side="right"))
+            loss = self.best[room] - self.best[room - self.sizes[:k]] - self.worth[:k]
+            loss[lack[:k] <= 0] = np.inf
+            near = np.flatnonzero(loss <= min(equal, slack))
+            if not len(near):
+                near = loss.argmin(keepdims=True)
+                if loss[near[0]] > slack:
+                    return None
+            chance = np.cumsum(lack[near])
+            j = near[min(int(np.searchsorted(chance, self.draws.random() * chance[-1], side="right")), len(near) - 1)]
+            config.append(int(self.open[j]))
+            slack -= max(0.0, float(loss[j]))
+            room -= int(self.sizes[j])
+        return np.array(config)
+
+
 def configurations(
     lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS
 ) -> dict[tuple[int, ...], float]:
     """A fractional solution of the configuration program: configuration to amount.
 
-    In a round, one dynamic program prices, for every length, the best configuration that holds
-    it; those near the best take up what their length still lacks of this round's share.
+    In a round, a dynamic program prices configurations by the weights; those near the best take
+    up what every length still lacks of this round's share. When the lengths that fill up others
+    are used up, the rest are priced again. The closing round takes whatever is left, so that
+    every length is covered.
     """
     weights = lengths / capacity
-    covered, amounts = np.zeros(len(lengths)), {}
-    index = np.full(capacity + 1, -1)
-    index[lengths] = np.arange(len(lengths))
-    for t in range(1, rounds + 1):
-        best, taken = knapsack(lengths, weights, capacity)
-        value = weights + best[capacity - lengths]
-        share = counts * (t / rounds)
+    left, amounts = counts.astype(float), {}
+    draws = np.random.default_rng(len(lengths))
+    for t in range(1, rounds + 2):
+        closing = t > rounds
+        pricing = Pricing(lengths, weights, capacity, draws)
+        pricing.price(left > 0)
+        share = counts * (min(t, rounds) / rounds)
         for j in np.argsort(-lengths, kind="stable"):
-            lack = share[j] - covered[j]
-            if lack <= 0 or value[j] < GOOD * best[capacity]:
-                continue
-            config, left = [int(lengths[j])], capacity - int(lengths[j])
-            while left > 0:
-                n = int(taken[left])
-                if n:
-                    config.append(n)
-                    left -= n
-                else:
-                    left -= 1
-            times = np.bincount(index[config], minlength=len(lengths))
-            used = np.flatnonzero(times)
-            # no length is covered beyond its number
-            amount = min(lack / times[j], ((counts[used] - covered[used]) / times[used]).min())
-            if amount > 0:
-                key = tuple(sorted(config, reverse=True))
+            while left[j] > 0 and (lack := share[j] - (counts[j] - left[j])) > 1e-9 * counts[j]:
+                value = pricing.weights[j] + pricing.best[capacity - lengths[j]]
+                if not closing and value < GOOD * pricing.best[capacity]:
+                    break
+                config = pricing.fill(int(j), left)
+                if config is None:
+                    pricing.price(left > 0)
+                    continue
+                used, times = np.unique(config, return_counts=True)
+                # no length is covered beyond its number
+                amount = min(lack / times[used == j][0], (left[used] / times).min())
+                key = tuple(sorted(lengths[config].tolist(), reverse=True))
                 amounts[key] = amounts.get(key, 0.0) + amount
-                covered[used] += amount * times[used]
-        weights = weights * np.exp(RATE * (share - covered) / counts)
+                left[used] -= amount * times
+                left[used[left[used] <= 1e-9 * counts[used]]] = 0.0
+        weights = weights * np.exp(RATE * (share - (counts - left)) / counts)
         weights /= knapsack_scale(weights, lengths, capacity)
     return amounts
 
@@ -219,24 +260,61 @@ def knapsack_scale(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> f
     return float((weights * capacity / lengths).mean()) or 1.0
 
 
+def rounded(
+    solved: dict[tuple[int, ...], float], counts: dict[int, int], capacity: int = CAPACITY
+) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Whole numbers of configurations, and how many pieces of each length are left over.
+
+    Amounts are rounded down; then full configurations that lost half or more get one more,
+    those that lost most first, while their pieces last.
+    """
+    left, times = dict(counts), {}
+    needs = {config: {n: config.count(n) for n in config} for config in solved}
+
+    def take(config: tuple[int, ...], most: int) -> None:
+        got = min(most, *(left[n] // m for n, m in needs[config].items()))
+        times[config] = times.get(config, 0) + got
+        for n, m in needs[config].items():
+            left[n] -= m * got
+
+    for config, amount in sorted(solved.items(), key=lambda x: -x[1]):
+        take(config, int(amount + 1e-9))
+    for config, amount in sorted(solved.items(), key=lambda x: times[x[0]] - x[1]):
+        if sum(config) == capacity and amount - times[config] >= 0.5:
+            take(config, 1)
+    return [(config, n) for config, n in times.items() if n], left
+
+
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
-    """Best-fit decreasing; equal sequences are counted together."""
-    open_by_room: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
-    rooms = np.zeros(capacity + 1, np.int64)
-    for n, times in zip(lengths[::-1].tolist(), counts[::-1].tolist()):
-        for _ in range(int(times)):
-            fits = np.flatnonzero(rooms[n:])
+    """Best-fit decreasing; equal pieces and equal sequences are handled together."""
+    by_room: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]
+    open_ = np.zeros(capacity + 1, bool)
+
+    def put(room: int, config: tuple[int, ...], times: int) -> None:
+        if times:
+            by_room[room][config] = by_room[room].get(config, 0) + times
+            open_[room] = True
+
+    for n, todo in zip(lengths[::-1].tolist(), counts[::-1].tolist()):
+        todo = int(todo)
+        while todo:
+            fits = np.flatnonzero(open_[n:])
             room = n + int(fits[0]) if len(fits) else capacity
-            bin_ = open_by_room[room].pop() if len(fits) else []
-            if len(fits):
-                rooms[room] -= 1
-            bin_.append(n)
-            open_by_room[room - n].append(bin_)
-            rooms[room - n] += 1
+            config, there = by_room[room].popitem() if len(fits) else ((), todo)
+            open_[room] = bool(by_room[room])
+            # a sequence that has taken one is the fullest that takes the next
+            each = room // n
+            full = min(there, todo // each)
+            todo -= full * each
+            put(room - n * each, config + (n,) * each, full)
+            if full < there:
+                put(room - n * todo, config + (n,) * todo, 1 if todo else 0)
+                put(room, config, there - full - (1 if todo else 0) if len(fits) else 0)
+                todo = 0
     out: dict[tuple[int, ...], int] = {}
-    for bins in open_by_room:
-        for b in bins:
-            out[tuple(b)] = out.get(tuple(b), 0) + 1
+    for configs in by_room:
+        for config, times in configs.items():
+            out[config] = out.get(config, 0) + times
     return out
 
 
@@ -245,15 +323,8 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> P
     order = np.argsort(lengths)
     lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     left = dict(zip(lengths.tolist(), counts.tolist()))
-    chosen: list[tuple[tuple[int, ...], int]] = []
     solved = configurations(lengths, counts, capacity) if len(lengths) else {}
-    for config, amount in sorted(solved.items(), key=lambda x: -x[1]):
-        need = {n: config.count(n) for n in config}
-        times = min(int(amount + 1e-9), *(left[n] // m for n, m in need.items()))
-        if times > 0:
-            chosen.append((config, times))
-            for n, m in need.items():
-                left[n] -= m * times
+    chosen, left = rounded(solved, left, capacity)
     rest = np.array([left[n] for n in lengths.tolist()], np.int64)
     chosen += best_fit(lengths, rest, capacity).items()
     slots, used, sequence = [], dict.fromkeys(left, 0), 0

@@ -54,6 +54,42 @@ def test_knapsack_against_all_choices():
     assert taken[10] == 5
 
 
+def test_best_fit_takes_remainders_only():
+    capacity, rest = 256, []
+    lengths = np.arange(1, capacity + 1)
+    for scale in (2, 20, 200):
+        counts = np.maximum(1, scale * 5 * np.exp(-lengths / 50)).astype(np.int64)
+        solved = packing.configurations(lengths, counts, capacity)
+        cover = Counter()
+        for config, amount in solved.items():
+            for n in config:
+                cover[n] += amount
+        assert [cover[n] for n in lengths.tolist()] == pytest.approx(counts.tolist())
+        chosen, left = packing.rounded(solved, dict(zip(lengths.tolist(), counts.tolist())), capacity)
+        rest.append(sum(left.values()) / counts.sum())
+        assert packing.plan(lengths, counts, capacity).sequences <= 1.01 * lengths @ counts / capacity + 1
+    assert rest[2] < rest[1] < rest[0] and rest[2] < 0.05
+
+
+def test_best_fit_in_bulk_equals_piece_by_piece():
+    rnd = np.random.default_rng(3)
+    for _ in range(40):
+        lengths = np.unique(rnd.integers(1, 33, 12))
+        counts = rnd.integers(0, 30, len(lengths))
+        rooms = []
+        for n in np.repeat(lengths, counts)[::-1]:
+            fits = [r for r in rooms if r >= n]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 32) - n)
+        got = packing.best_fit(lengths, counts, 32)
+        assert sorted(32 - sum(c) for c, times in got.items() for _ in range(times)) == sorted(rooms)
+        used = Counter()
+        for config, times in got.items():
+            used.update({n: times * config.count(n) for n in set(config)})
+        assert [used[n] for n in lengths.tolist()] == counts.tolist()
+
+
 def test_packed_documents(spark):
     want = Counter()
     for i, text in TEXTS:
