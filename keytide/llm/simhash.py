@@ -32,6 +32,13 @@ SEGMENT_BITS = 2
 #: (segments, radius) of each slab; segments sum to 32, radii + 1 sum to more than MAX_DISTANCE.
 SLABS = ((12, 1), (12, 1), (8, 0))
 
+#: Near copies of the pipeline: words of a shingle and the least Jaccard similarity.
+NEAR_WORDS, NEAR = 5, 0.8
+#: Candidates share all minima of one band: 99.9 % of the pairs at NEAR, by 1 - (1 - NEAR^5)^20.
+BANDS, BAND_ROWS = 20, 5
+#: Up to so many sets of a band key are compared with each other.
+BUCKET = 32
+
 
 def shingle_hashes(text: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
     """XXH64 of every run of ``size`` words, repeats included; all words where there are fewer.
@@ -168,13 +175,113 @@ def near_duplicates(
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One number for each band: the same in two sets if all the band's minima are."""
+    draws = np.random.default_rng(HASH_SEED)
+    odd = draws.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mask = draws.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+    minima = np.array([((hashes ^ m) * o).min() for m, o in zip(mask, odd)], np.uint64)
+    from xxhash import xxh64_intdigest
+
+    rows = minima.reshape(BANDS, BAND_ROWS)
+    return [_signed(xxh64_intdigest(r.tobytes(), seed=k)) for k, r in enumerate(rows)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def shingle_sets(docs: DataFrame, whole: bool) -> DataFrame:
+    """``(doc_id, node, size)`` and the band keys, or the ``whole`` set: ``node`` stands for the
+    set of a document's five-word shingles."""
+
+    def make():
+        from xxhash import xxh64_intdigest
+
+        def apply(batch):
+            texts = batch.column("text").cast(pa.binary())
+            sets = [np.unique(shingle_hashes(t.as_py(), NEAR_WORDS)) for t in texts]
+            out = {
+                "doc_id": batch.column("doc_id"),
+                "node": [_signed(xxh64_intdigest(x.tobytes(), HASH_SEED)) for x in sets],
+                "size": [len(x) for x in sets],
+            }
+            if whole:
+                return out | {"shingles": [x.view(np.int64) for x in sets]}
+            return out | {"bands": [band_keys(x) if len(x) else [] for x in sets]}
+
+        return apply
+
+    last = "shingles" if whole else "bands"
+    return map_batches(id_text(docs), f"doc_id long, node long, size long, {last} array<long>", make)
+
+
+def similar_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b)`` of different shingle sets with a Jaccard similarity of at least ``NEAR``.
+
+    Candidates share a band of minima; each is checked on the whole sets. A band key that more
+    than ``BUCKET`` sets have pairs all of them with one of them, another one in each band.
+    """
+    filed = nodes.select("node", "size", F.explode("bands").alias("key"))
+    filed = materialize(filed, "near-bands")
+    by_hash = F.struct(F.xxhash64("node", "key").alias("h"), F.col("node"), F.col("size"))
+    buckets = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(by_hash).alias("first"))
+    shared = filed.join(buckets.where("n > 1"), "key")
+    few = shared.where(F.col("n") <= BUCKET).select("key", "node", "size")
+    other = few.select("key", F.col("node").alias("b"), F.col("size").alias("b_size"))
+    found = few.join(other, "key").select(F.col("node").alias("a"), "size", "b", "b_size")
+    many = shared.where(F.col("n") > BUCKET)
+    found = found.union(many.select("node", "size", "first.node", "first.size"))
+    # the smaller set must be as large as the larger one's share
+    found = found.where("a <> b").where(F.least("size", "b_size") >= NEAR * F.greatest("size", "b_size"))
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = materialize(found, "near-candidates")
+    wanted = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    ids = nodes.join(wanted, "node").select(F.col("least").alias("doc_id")).distinct()
+    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), True).dropDuplicates(["node"])
+    sets = materialize(sets.join(wanted, "node", "left_semi").select("node", "shingles"), "near-sets")
+    pairs = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.where(both >= NEAR * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``(doc_id, component_id)``: documents linked, directly or by steps, by shingle sets with a
+    similarity of at least ``NEAR``; ids as in ``near_duplicates``."""
+    prints = materialize(shingle_sets(docs, False), "near")
+    nodes = materialize(
+        prints.groupBy("node").agg(
+            F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")
+        ),
+        "near-nodes",
+    )
+    found = connected_components(similar_sets(docs, nodes), "near")
+    rooted = nodes.join(found, "node", "left").select(
+        "node", "least", F.coalesce("root", "node").alias("root")
+    )
+    rooted = materialize(rooted, "near-rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = rooted.join(least, "root").select("node", "component_id")
+    return prints.join(labels, "node").select("doc_id", "component_id")
+
+
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """The documents without near duplicates: of each component that with the smallest id.
 
     Rows that repeat that id are dropped too, so one row stays per component. Rows without
     an id can't be told apart by it and stay.
     """
-    labels = near_duplicates(docs.where("doc_id is not null"))
+    return _representatives(docs, near_duplicates(docs.where("doc_id is not null")))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``keep_representatives``, then the same for documents that share at least ``NEAR`` of
+    their different five-word shingles, however many bits their fingerprints differ in."""
+    docs = materialize(keep_representatives(docs), "near-input")
+    return _representatives(docs, near_copies(docs.where("doc_id is not null")))
+
+
+def _representatives(docs: DataFrame, labels: DataFrame) -> DataFrame:
     keep = labels.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["kept_id"]).select(docs["*"])
     return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+import corpus_pipeline as pipeline
 from keytide.llm import simhash, suffixes
 from keytide.llm.components import connected_components
 from tests.llm.fixtures import TEXTS, documents, rows_of
@@ -157,3 +158,22 @@ def test_awkward_rows(spark):
     assert suffixes.repeats(documents(spark, [])).count() == 0
     cut = {r.doc_id: r.text for r in suffixes.remove_repeats(documents(spark)).collect()}
     assert cut[2] == "a b c" and cut[1] is None and len(cut[5].split()) < 60
+
+
+def test_near_copies_of_the_pipeline(spark):
+    rnd = random.Random(5)
+    texts, kept, close = [], set(), []
+    for base in range(40):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for at in rnd.sample(range(300), 1 + base % 8):
+            other[at] = f"x{rnd.randrange(5000)}"
+        texts += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(other))]
+        x, y = (set(zip(*(w[k:] for k in range(5)))) for w in (words, other))
+        bits = fingerprint(texts[-2][1]) ^ fingerprint(texts[-1][1])
+        near = len(x & y) / len(x | y) >= 0.8 or bits.bit_count() <= 4
+        kept |= {2 * base} if near else {2 * base, 2 * base + 1}
+        close.append(len(x & y) / len(x | y))
+    assert min(close) < 0.8 < 0.85 < max(close)
+    rows = pipeline.drop_near_duplicates(spark, documents(spark, texts), "").collect()
+    assert {r.doc_id for r in rows} == kept and len(rows) == len(kept)
