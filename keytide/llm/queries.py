@@ -20,6 +20,7 @@ from keytide.llm import (
     ann,
     bpe,
     divergence,
+    flat_graph,
     interaction,
     lm,
     maxscore,
@@ -82,6 +83,10 @@ def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_graph.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_suffix_array": op10_suffix_array,
     "op11_filter_interaction": op11_filter_interaction,
+    "op12_embedding_dedup": op12_embedding_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 
