@@ -318,7 +318,9 @@ def recall(embeddings: DataFrame, result: DataFrame, every: int = 20, threshold:
     rows = materialize(comparable(embeddings).where("x is not null"), "flat-audit")
     asked = rows.where(F.col("vec_id") % every == 0)
     n_queries, n_rows = asked.count(), rows.count()
-    dealt = V.sharded(rows, V.shards(n_rows, V.SHARD_ROWS))
+    # new columns: a table can't be grouped with itself by the same ones
+    both = rows.select(*[F.col(c).alias(c) for c in rows.columns])
+    dealt = V.sharded(both, V.shards(n_rows, V.SHARD_ROWS))
 
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
         if not shard.num_rows or not block.num_rows:
