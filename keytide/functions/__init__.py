@@ -5,7 +5,6 @@ from keytide.functions.chunked import (
     chunked_rank,
     chunked_running_sum,
     fits_one_task,
-    plain_lag,
     plain_rank,
     with_sequence,
 )
@@ -24,7 +23,6 @@ __all__ = [
     "chunked_rank",
     "chunked_running_sum",
     "fits_one_task",
-    "plain_lag",
     "plain_rank",
     "with_sequence",
     "dimension_join",

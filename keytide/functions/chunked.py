@@ -45,13 +45,6 @@ def plain_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out: s
     return df.withColumn(out, F.row_number().over(whole).cast("long"))
 
 
-def plain_lag(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str
-) -> DataFrame:
-    """``chunked_lag`` for data known to fit one task."""
-    return df.withColumn(out, F.lag(value).over(W.partitionBy(*group).orderBy(*order)))
-
-
 def _before(group: Sequence[str], chunk: Sequence[str]) -> W:
     return W.partitionBy(*group).orderBy(*chunk).rowsBetween(W.unboundedPreceding, -1)
 

@@ -4,13 +4,15 @@ Placing a key depends on the sizes all earlier placements left, so within one
 topic this is sequential by definition. What is folded is small: a key must first
 collect ``(support - epsilon) / epsilon`` messages beyond its losses to be promoted,
 cold evictions are dropped beforehand, and the state is the current map. Events
-arrive sorted and in batches, so memory holds the map and one batch, never a
-topic's whole history; messages do not pass through here at all.
+arrive sorted and in batches, so memory holds the map, one batch and FLUSH_ROWS of
+output, never a topic's whole history; messages do not pass through here at all. A topic
+whose events outgrow one task is folded range by range (``replay_in_ranges``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from keytide.functions.hashing import p2c_draws
 from keytide.operators import sketch
 from keytide.operators.placement import STOP_RULES
+from keytide.session import materialize
 
 LOG_SCHEMA = (
     "topic string, key string, count bigint, partition int,"
@@ -27,16 +30,26 @@ LOG_SCHEMA = (
 )
 # Prefix of the events that put back an entry; what opened it follows.
 LOAD = "load:"
+# Closed intervals held before they are sent on.
+FLUSH_ROWS = 10_000
 EVENT_COLUMNS = ("topic", "at", "phase", "insert_n", "op", "key", "count", "p1", "p2")
 
 
 def control_events(
-    lives: DataFrame, turns: DataFrame, n_partitions: int, rebalance_every: int | None = None
+    lives: DataFrame,
+    turns: DataFrame,
+    n_partitions: int,
+    rebalance_every: int | None = None,
+    ticks: DataFrame | None = None,
 ) -> DataFrame:
     """Promotions, evictions of hot keys and ticks, each at the message it follows.
 
-    ``rebalance_every`` counts turnovers; None leaves the map unbalanced.
+    Rounds of rebalancing come every ``rebalance_every`` turnovers, or by the clock: ``ticks`` are
+    ``(topic, at_seq, times)`` (see ``load.clock_ticks``), so many rounds after that message.
+    With neither the map stays unbalanced. Turnovers at the same message go first.
     """
+    if rebalance_every is not None and ticks is not None:
+        raise ValueError("rounds come by turnovers or by the clock, not by both")
     was_hot = F.col("hot_bucket").isNotNull()
     up = F.struct(
         F.col("hot_bucket").alias("bucket"),
@@ -70,24 +83,30 @@ def control_events(
             second.alias("p2"),
         )
     )
-    if rebalance_every is None:
-        return changes
-    ticks = turns.where(F.col("bucket") % rebalance_every == 0).select(
+    if rebalance_every is not None:
+        ticks = turns.where(F.col("bucket") % rebalance_every == 0).select(
+            "topic", F.col("close_seq").alias("at_seq"), F.lit(1).alias("times")
+        )
+    return changes if ticks is None else changes.unionByName(tick_events(ticks))
+
+
+def tick_events(ticks: DataFrame) -> DataFrame:
+    """Events of ``ticks (topic, at_seq, times)``; ``count`` is the number of rounds."""
+    return ticks.select(
         "topic",
-        F.col("close_seq").alias("at"),
+        F.col("at_seq").alias("at"),
         F.lit(1).alias("phase"),
         F.lit(0).cast("long").alias("insert_n"),
         F.lit("tick").alias("op"),
         F.lit("").alias("key"),
-        F.lit(0).cast("long").alias("count"),
+        F.col("times").cast("long").alias("count"),
         F.lit(0).alias("p1"),
         F.lit(0).alias("p2"),
     )
-    return changes.unionByName(ticks)
 
 
 def load_events(standing: DataFrame) -> DataFrame:
-    """Events that put the standing entries of a log back before anything else."""
+    """Events that put the standing entries of a log back, before all others of the topic."""
     return standing.select(
         "topic",
         F.col("valid_from").alias("at"),
@@ -108,17 +127,21 @@ class TopicMap:
         self.sizes = [0] * n_partitions
         self.members: list[set[str]] = [set() for _ in range(n_partitions)]
         self.entries: dict[str, list] = {}
+        # nothing has changed since a round that found nothing to move
+        self.settled = False
 
     def put(self, key: str, count: int, partition: int, since: int, op: str, moved_at=None):
         self.entries[key] = [count, partition, since, op, moved_at]
         self.members[partition].add(key)
         self.sizes[partition] += count
+        self.settled = False
 
     def take(self, key: str) -> list | None:
         entry = self.entries.pop(key, None)
         if entry is not None:
             self.members[entry[1]].discard(key)
             self.sizes[entry[1]] -= entry[0]
+            self.settled = False
         return entry
 
     def lighter(self, p1: int, p2: int) -> int:
@@ -140,6 +163,9 @@ class TopicMap:
         self, at: int, rule: str, tolerance: float | None, cooldown: int | None
     ) -> list[tuple[str, list, int]]:
         """Moves of one round as (key, entry before the move, new partition)."""
+        if self.settled:
+            return []
+        waiting = False
         mean = sum(self.sizes) / len(self.sizes)
         if tolerance is not None and max(self.sizes) <= mean * (1.0 + tolerance):
             return []
@@ -157,6 +183,7 @@ class TopicMap:
                 if count > excess:
                     continue
                 if cooldown is not None and moved_at is not None and at - moved_at < cooldown:
+                    waiting = True
                     continue
                 if count not in chosen:
                     chosen[count] = self.target(count, src, under, mean, rule)
@@ -166,6 +193,7 @@ class TopicMap:
                 before = self.take(key)
                 self.put(key, before[0], dst, at + 1, "move", at)
                 moves.append((key, before, dst))
+        self.settled = not moves and not waiting
         return moves
 
 
@@ -217,23 +245,64 @@ def replay_control(
                     last_move = int(moved) if moved >= 0 else None
                     state.put(key, int(count), int(p1), at, op[len(LOAD):], last_move)
                 else:
-                    for moved_key, before, _ in state.rebalance(at, stop_rule, tolerance, cooldown):
-                        closed.append((moved_key, *before, at + 1))
+                    # idle ticks: nothing arrives in between, so a round without moves is the last
+                    for _ in range(int(count)):
+                        moves = state.rebalance(at, stop_rule, tolerance, cooldown)
+                        closed.extend((moved_key, *before, at + 1) for moved_key, before, _ in moves)
+                        if not moves:
+                            break
+                if len(closed) >= FLUSH_ROWS:
+                    yield frame(closed)
+                    closed = []
             if closed:
                 yield frame(closed)
-        standing = [(key, *entry, None) for key, entry in state.entries.items()]
-        if standing:
+        entries = iter(state.entries.items())
+        while standing := [(key, *entry, None) for key, entry in islice(entries, FLUSH_ROWS)]:
             yield frame(standing)
 
     # One exchange and one sort; the grouping below finds both already in place.
     ordered = (
         events.select(*EVENT_COLUMNS)
         .repartition("topic")
-        .sortWithinPartitions("topic", "at", "phase", "insert_n")
+        .sortWithinPartitions("topic", F.col("phase") >= 0, "at", "phase", "insert_n")
     )
     return ordered.groupBy("topic").applyInPandas(_iterating(fold), LOG_SCHEMA)
 
 
+def replay_in_ranges(
+    events: DataFrame,
+    n_partitions: int,
+    span: int,
+    stop_rule: str = "improves",
+    tolerance: float | None = None,
+    cooldown: int | None = None,
+) -> DataFrame:
+    """``replay_control``, ``span`` messages of every topic at a time: the same log.
+
+    The map as it stands after a range is stored and put back at the start of the next, so a
+    task folds a topic's events of one range only, and what is lost with an executor is one range. Reads
+    ``events`` once for each range that has any: pass them stored.
+    """
+    which = F.floor((F.col("at") - 1) / F.lit(span)).cast("long")
+    # a list of numbers of ranges, no events
+    ranges = sorted(r[0] for r in events.select(which.alias("r")).distinct().collect())
+    parts: list[DataFrame] = []
+    standing = None
+    for r in ranges:
+        own = events.where((F.col("at") > r * span) & (F.col("at") <= (r + 1) * span))
+        if standing is not None:
+            own = load_events(standing).unionByName(own.select(*EVENT_COLUMNS))
+        log = replay_control(own, n_partitions, stop_rule, tolerance, cooldown)
+        log = materialize(log, f"map-log-{r}")
+        standing = log.where(F.col("valid_to").isNull())
+        parts.append(log.where(F.col("valid_to").isNotNull()))
+    if standing is None:
+        return replay_control(events, n_partitions, stop_rule, tolerance, cooldown)
+    for part in parts:
+        standing = standing.unionByName(part)
+    return standing
+
+
 def _iterating(fold):
     """Give the fold the annotations by which Spark selects the batch-wise form."""
 
@@ -272,16 +341,10 @@ def rebalance_round(
     )
     ticks = hot_map.select("topic").distinct().select(
         "topic",
-        F.lit(1).cast("long").alias("at"),
-        F.lit(1).alias("phase"),
-        F.lit(0).cast("long").alias("insert_n"),
-        F.lit("tick").alias("op"),
-        F.lit("").alias("key"),
-        F.lit(0).cast("long").alias("count"),
-        F.lit(0).alias("p1"),
-        F.lit(0).alias("p2"),
+        F.lit(1).cast("long").alias("at_seq"),
+        F.lit(1).alias("times"),
     )
-    log = replay_control(loads.unionByName(ticks), n_partitions, stop_rule, tolerance)
+    log = replay_control(loads.unionByName(tick_events(ticks)), n_partitions, stop_rule, tolerance)
     # A moved key has a closed and a standing interval; a partition that only
     # received keys cannot be a source, so no key moves twice.
     return log.groupBy("topic", "key").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytide.functions.chunked import (
@@ -11,7 +12,6 @@ from keytide.functions.chunked import (
     chunked_lag,
     chunked_rank,
     fits_one_task,
-    plain_lag,
     plain_rank,
 )
 from keytide.functions.headers import TAG_HEADER, decode_tag, header
@@ -97,10 +97,29 @@ def key_total_order(delivered: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def order_violations(delivered: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Records that would be consumed after a record sent later; none if all is well."""
+    """Records that would be consumed after a record sent later; none if all is well.
+
+    ``(topic, key, seq, prev_seq)``. Checked set by set, so that no key's messages are sorted: a set
+    must begin after the one before it ended, for which its first and last record do, and a
+    partition that is in the order of sending as a whole is so for each of its keys. Only in
+    partitions that are not, a key's records are held against each other.
+    """
     cut = _consumption_order(delivered, chunk)
-    if fits_one_task(delivered, chunk):
-        followed = plain_lag(cut, ["topic", "key"], _ORDER, "seq", "prev_seq")
-    else:
-        followed = chunked_lag(cut, ["topic", "key"], _ORDER, _CUT, "seq", "prev_seq")
-    return followed.where(F.col("prev_seq") > F.col("seq")).drop("_settled", "_chunk")
+    sets = cut.groupBy("topic", "key", "dest_idx", "_settled").agg(
+        F.min_by("seq", "offset").alias("seq"), F.max_by("seq", "offset").alias("_last")
+    )
+    in_turn = W.partitionBy("topic", "key").orderBy("dest_idx", "_settled")
+    between = sets.withColumn("prev_seq", F.lag("_last").over(in_turn))
+
+    place = ["topic", "sent_partition"]
+    scanned = chunked_lag(
+        cut.select(*place, "_chunk", "offset", "seq"), place, ["offset"], ["_chunk"], "seq", "prev_seq"
+    )
+    # a row for each partition, as many as the topics have
+    mixed = scanned.where(F.col("prev_seq") > F.col("seq")).select(*place).distinct()
+    loose = cut.join(mixed, place, "left_semi")
+    own = ["topic", "key", "dest_idx", "_settled"]
+    inside = chunked_lag(loose, [*own, "sent_partition"], ["offset"], ["_chunk"], "seq", "prev_seq")
+    columns = ["topic", "key", "seq", "prev_seq"]
+    found = between.select(*columns).unionByName(inside.select(*columns))
+    return found.where(F.col("prev_seq") > F.col("seq"))

@@ -24,6 +24,20 @@ def assign_endpoints(
     ``epoch_col`` every key is assigned anew in each epoch; the turn is not reset.
     """
     scope = [epoch_col] if epoch_col else []
+    first = first_messages(messages, scope)
+    turns = with_sequence(first, [], ["_ts", "_id"], "turn", slice_rows)
+    return take_turns(turns, endpoints).select(*scope, "key", "turn", "endpoint_idx", "endpoint")
+
+
+def take_turns(turns: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Add ``endpoint_idx`` and ``endpoint`` by ``turn``, which counts from 1."""
+    n_endpoints = endpoints.agg(F.count(F.lit(1))).scalar()
+    placed = turns.withColumn("endpoint_idx", ((F.col("turn") - 1) % n_endpoints).cast("int"))
+    return small_join(placed, endpoints.withColumnRenamed("ip", "endpoint"), ["endpoint_idx"])
+
+
+def first_messages(messages: DataFrame, scope: list[str]) -> DataFrame:
+    """``(*scope, key, _ts, _id)``: when each key first appeared."""
     # Time and id in one number: as a buffer it is hashed, a struct would be sorted.
     span = F.lit(str(ID_SPAN)).cast("decimal(20,0)")
     micros = F.unix_micros("ts").cast("decimal(18,0)")
@@ -31,20 +45,12 @@ def assign_endpoints(
         F.min((micros * span + F.col("msg_id")).cast("decimal(38,0)")).alias("_first")
     )
     msg_id = F.col("_first") % span
-    first = first.select(
+    return first.select(
         *scope,
         "key",
         ((F.col("_first") - msg_id) / span).cast("long").alias("_ts"),
         msg_id.cast("long").alias("_id"),
     )
-    turns = with_sequence(first, [], ["_ts", "_id"], "turn", slice_rows)
-    count = endpoints.agg(F.count(F.lit(1)).alias("_endpoints"))
-    # One row of counts and one row per endpoint: lookups of fixed size.
-    n_endpoints = count.first()[0]
-    placed = turns.withColumn("endpoint_idx", ((F.col("turn") - 1) % n_endpoints).cast("int"))
-    return small_join(placed, endpoints, ["endpoint_idx"]).select(
-        *scope, "key", "turn", "endpoint_idx", F.col("ip").alias("endpoint")
-    )
 
 
 def sticky_round_robin(
@@ -80,11 +86,11 @@ def fold_endpoints(feed: DataFrame, delete_key: str = "service") -> DataFrame:
     latest = changes.groupBy("service").agg(
         F.max_by(F.struct("op", "ips"), "feed_seq").alias("_last")
     )
-    version = feed.agg((F.count(F.lit(1)) + 1).alias("version")).first()["version"]
+    version = feed.agg(F.count(F.lit(1)) + 1).scalar()
     return latest.where(F.col("_last.op") == "upsert").select(
         "service",
         F.coalesce("_last.ips", F.array().cast("array<string>")).alias("ips"),
-        F.lit(version).cast("long").alias("version"),
+        version.cast("long").alias("version"),
     )
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keytide.functions.chunked import chunk_of, chunked_running_sum
+from keytide.functions.chunked import chunk_of
 
 # Operation names and tags as the traced programs write them.
 PRODUCE = "produce message"
@@ -105,46 +108,56 @@ def latency_by(
     """Processing times by partition, key or both, optionally for one of them only.
 
     Percentiles are exact, the smallest value that at least their share of a group's values
-    does not exceed: values are counted, and a running count in chunks of values finds it, so
-    no group is gathered in one task.
+    does not exceed, and found in two levels: counts per chunk of values tell which chunk holds the
+    rank, and only values of that chunk are looked at. Traces are read once; all that follows
+    works on counts of different values, so no group is gathered in one task.
     """
     kept = latency
     if partition is not None:
         kept = kept.where(F.col("Partition") == partition)
     if key is not None:
         kept = kept.where(F.col("Key") == key)
-    took = F.col("Print_Duration")
-    # NULL groups meet as well: a group is named by its text and by whether it is NULL
-    names = [
-        c
-        for b in by
-        for c in (
-            F.coalesce(F.col(b).cast("string"), F.lit("")).alias(f"_{b}"),
-            F.col(b).isNull().alias(f"_{b}_null"),
-        )
-    ]
-    keys = [f"_{b}{end}" for b in by for end in ("", "_null")]
-    stats = kept.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("traces"),
-        F.sum(took).alias("total_us"),
-        F.min(took).alias("min_us"),
-        F.max(took).alias("max_us"),
-        F.avg(took).alias("avg_us"),
-        F.count(took).alias("_timed"),
-    )
-    stats = stats.select("*", *names)
+    by = list(by)
     values = (
-        kept.where(took.isNotNull())
-        .select(*names, took.alias("_took"))
-        .groupBy(*keys, "_took")
+        kept.groupBy(*by, F.col("Print_Duration").alias("_took"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_chunk", chunk_of("_took", VALUE_CHUNK))
     )
-    upto = chunked_running_sum(values, keys, ["_took"], ["_chunk"], "_n", "_upto")
-    timed = upto.join(stats.select(*keys, "_timed"), keys)
-    at = lambda q: F.min(F.when(F.col("_upto") >= F.col("_timed") * q, F.col("_took")))
-    found = timed.groupBy(*keys).agg(at(0.5).alias("p50_us"), at(0.99).alias("p99_us"))
-    return stats.join(found, keys, "left").drop("_timed", *keys)
+    chunks = values.groupBy(*by, "_chunk").agg(
+        F.sum("_n").alias("_n"),
+        F.sum(F.col("_n") * F.col("_took")).alias("_sum"),
+        F.min("_took").alias("_min"),
+        F.max("_took").alias("_max"),
+    )
+    group = W.partitionBy(*by)
+    timed = F.when(F.col("_chunk").isNotNull(), F.col("_n")).otherwise(0)
+    upto = F.sum(timed).over(group.orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0))
+    chunks = chunks.withColumns({"_upto": upto, "_timed": F.sum(timed).over(group)})
+    stats = chunks.groupBy(*by).agg(
+        F.sum("_n").alias("traces"),
+        F.sum("_sum").alias("total_us"),
+        F.min("_min").alias("min_us"),
+        F.max("_max").alias("max_us"),
+        (F.sum("_sum") / F.max("_timed")).alias("avg_us"),
+    )
+    before = F.col("_upto") - F.col("_n")
+    holds = lambda q: (before < F.col("_timed") * q) & (F.col("_upto") >= F.col("_timed") * q)
+    wanted = chunks.where(F.col("_chunk").isNotNull() & (holds(0.5) | holds(0.99))).select(
+        *[F.col(c).alias(f"_of_{c}") for c in [*by, "_chunk"]], before.alias("_before"), "_timed"
+    )
+    # NULL groups meet as well
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_chunk"]]
+    looked_at = values.join(wanted, reduce(and_, same))
+    inside = W.partitionBy(*by, "_chunk").orderBy("_took").rowsBetween(W.unboundedPreceding, 0)
+    looked_at = looked_at.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+
+    def at(q: float) -> Column:
+        return F.min(F.when(F.col("_upto") >= F.col("_timed") * q, F.col("_took")))
+
+    found = looked_at.groupBy(*by).agg(at(0.5).alias("p50_us"), at(0.99).alias("p99_us"))
+    columns = ("traces", "total_us", "min_us", "max_us", "avg_us", "p50_us", "p99_us")
+    both = stats.unionByName(found, allowMissingColumns=True)
+    return both.groupBy(*by).agg(*[F.max(c).alias(c) for c in columns])
 
 
 def flat_spans(traces: DataFrame) -> DataFrame:

@@ -62,9 +62,7 @@ def time_ticks(messages: DataFrame, every_seconds: int) -> DataFrame:
     ``at_seq`` is the last message before the tick; ticks between which no message arrived have
     the same.
     """
-    tick = F.floor(F.unix_micros("ts") / F.lit(every_seconds * 1_000_000)).cast("long") + 1
-    busy = messages.groupBy("topic", tick.alias("tick")).agg(F.max("seq").alias("at_seq"))
-    busy = busy.withColumns(
+    busy = busy_ticks(messages, every_seconds).withColumns(
         {"_at": F.struct("tick", "at_seq"), "_chunk": chunk_of("tick", TICK_CHUNK)}
     )
     after = chunked_lag(busy, ["topic"], ["tick"], ["_chunk"], "_at", "_before")
@@ -76,6 +74,39 @@ def time_ticks(messages: DataFrame, every_seconds: int) -> DataFrame:
     return ticks.select("topic", F.col("_tick").alias("tick"), at_seq.alias("at_seq"))
 
 
+def busy_ticks(messages: DataFrame, every_seconds: int) -> DataFrame:
+    """``(topic, tick, at_seq)``: the first tick after each message, with the last message before it."""
+    tick = F.floor(F.unix_micros("ts") / F.lit(every_seconds * 1_000_000)).cast("long") + 1
+    return messages.groupBy("topic", tick.alias("tick")).agg(F.max("seq").alias("at_seq"))
+
+
+def elapsed_ticks(busy: DataFrame, chunk: int = TICK_CHUNK) -> DataFrame:
+    """``(topic, tick, at_seq, times)``: ticks that have passed, given all ``busy_ticks``.
+
+    Ticks between which nothing arrived are one row: ``times`` of them, the first being ``tick``. A tick
+    has passed once a message after it is there, so that of a topic's last message has not.
+    """
+    line = busy.withColumns({"_at": F.struct("tick", "at_seq"), "_chunk": chunk_of("tick", chunk)})
+    after = chunked_lag(line, ["topic"], ["tick"], ["_chunk"], "_at", "_before")
+    return after.where(F.col("_before").isNotNull()).select(
+        "topic",
+        F.col("_before.tick").alias("tick"),
+        F.col("_before.at_seq").alias("at_seq"),
+        (F.col("tick") - F.col("_before.tick")).alias("times"),
+    )
+
+
+def every_tick(passed: DataFrame) -> DataFrame:
+    """``(topic, tick, at_seq)``: a row for each of the ``times`` of ``elapsed_ticks``."""
+    all_of_them = F.sequence("tick", F.col("tick") + F.col("times") - 1)
+    return passed.select("topic", F.explode(all_of_them).alias("tick"), "at_seq")
+
+
+def clock_ticks(messages: DataFrame, every_seconds: int) -> DataFrame:
+    """Ticks of a clock, from a topic's first message on, that passed before its last one."""
+    return elapsed_ticks(busy_ticks(messages, every_seconds))
+
+
 def weight_snapshots(
     hot_map_log: DataFrame, ticks: DataFrame, n_partitions: int, chunk: int = CHUNK
 ) -> DataFrame:

@@ -120,11 +120,25 @@ def sent_partition(tagged: DataFrame) -> DataFrame:
     )
 
 
-def latest_message_set(tagged: DataFrame) -> DataFrame:
-    """The set each key is in now."""
+def latest_message_set(tagged: DataFrame, deletes: DataFrame | None = None) -> DataFrame:
+    """The set each key is in now.
+
+    ``deletes`` are tombstones ``(topic, key, seq)``: a key is gone unless it sent a message after
+    its last one.
+    """
     # Number by number: structs as buffers would sort all messages.
     newest = [F.max_by(c, "dest_idx").alias(c) for c in TAG_COLUMNS]
-    return tagged.groupBy(*ON).agg(*newest)
+    if deletes is None:
+        return tagged.groupBy(*ON).agg(*newest)
+    latest = tagged.groupBy(*ON).agg(*newest, F.max("seq").alias("_seq"))
+    gone = deletes.groupBy(*ON).agg(F.max("seq").alias("_gone"))
+    found = latest.join(gone, list(ON), "left")
+    return found.where(F.col("_gone").isNull() | (F.col("_seq") > F.col("_gone"))).drop("_seq", "_gone")
+
+
+def set_count(latest: DataFrame) -> DataFrame:
+    """How many keys of each topic are in a set."""
+    return latest.groupBy("topic").agg(F.count(F.lit(1)).alias("keys"))
 
 
 def tag_struct():

@@ -148,6 +148,111 @@ rb AS (
 )
 
 
+def _target(entry: str) -> str:
+    """Where an entry of an overloaded partition may go: the best place that doesn't widen the gap."""
+    gap = f"(sizes[{entry}.part + 1] - sizes[d + 1])"
+    allowed = f"{gap} >= 0 AND {gap} >= abs({gap} - 2 * {entry}.count)"
+    off = f"{{'off': abs(sizes[d + 1] + {entry}.count - mean), 'd': d}}"
+    fits = f"list_filter(under_now, lambda d: {allowed})"
+    return f"list_sort(list_transform({fits}, lambda d: {off}))[1].d"
+
+
+def replay(ticks: str | None) -> str:
+    """The whole control plane, one event a step, each topic's map as a list.
+
+    ``ticks`` is a query ``topic, pos, times`` over what ``lossy`` defines. A rebalancing round is one
+    step for each partition, in ascending order; who is under and over the mean is settled in
+    the first. Gives ``lgr``, the history of the map.
+    """
+    n = wl.N_PARTITIONS
+    width = math.floor(1 / wl.EPSILON)
+    rounds = "" if ticks is None else f"""
+  UNION ALL
+  SELECT topic, pos, 1, 0, 'tick', '', 0, 0, 0, r, s
+  FROM (SELECT topic, pos, unnest(range(times)) AS r FROM ({ticks})),
+       (SELECT unnest(range({n})) AS s)"""
+    entry = "STRUCT(key VARCHAR, count BIGINT, part INTEGER, since BIGINT, op VARCHAR)"
+    known = "len(list_filter(entries, lambda x: x.key = ev_key)) > 0"
+    place = "CAST(CASE WHEN sizes[p1 + 1] > sizes[p2 + 1] THEN p2 ELSE p1 END AS INTEGER)"
+    new = f"{{'key': ev_key, 'count': ev_count, 'part': {place}, 'since': pos + 1, 'op': 'promote'}}"
+    leaves = f"x.part = sub AND x.count <= sizes[sub + 1] - mean AND {_target('x')} IS NOT NULL"
+    moved = (
+        f"CASE WHEN {leaves} THEN {{'key': x.key, 'count': x.count, 'part': CAST({_target('x')} AS INTEGER),"
+        " 'since': pos + 1, 'op': 'move'} ELSE x END"
+    )
+    gone = "CASE WHEN op = 'evict' THEN x.key = ev_key ELSE op = 'tick' AND list_contains(over_now, sub) AND " + leaves + " END"
+    return (
+        lossy()
+        + f""",
+hotl AS (
+  SELECT topic, key, start_b, min(ins) AS insert_n, min(bucket) FILTER (hot) AS hot_bucket,
+         arg_min(cnt, bucket) FILTER (hot) AS hot_count, min(bucket) FILTER (NOT kept) AS end_bucket
+  FROM step GROUP BY topic, key, start_b HAVING count(*) FILTER (hot) > 0
+),
+evs AS (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY pos, phase, insert_n, r, sub) AS i FROM (
+    SELECT topic, hot_bucket * {width} AS pos, 0 AS phase, insert_n, 'promote' AS op, key AS ev_key,
+           CAST(hot_count AS BIGINT) AS ev_count, {fnv_part("(key || '#1')")} AS p1,
+           {fnv_part("(key || '#2')")} AS p2, 0 AS r, 0 AS sub
+    FROM hotl
+    UNION ALL
+    SELECT topic, end_bucket * {width}, 0, insert_n, 'evict', key, 0, 0, 0, 0, 0
+    FROM hotl WHERE end_bucket IS NOT NULL{rounds}
+  )
+),
+fold AS (
+  SELECT topic, CAST(0 AS BIGINT) AS i, CAST([] AS {entry}[]) AS entries, CAST([] AS BIGINT[]) AS under,
+         CAST([] AS BIGINT[]) AS over, CAST([] AS {entry}[]) AS closed, CAST(NULL AS BIGINT) AS closed_at
+  FROM (SELECT DISTINCT topic FROM evs)
+  UNION ALL
+  SELECT topic, i,
+         CASE WHEN op = 'promote' THEN CASE WHEN {known} THEN entries ELSE list_append(entries, {new}) END
+              WHEN op = 'evict' THEN list_filter(entries, lambda x: x.key <> ev_key)
+              WHEN list_contains(over_now, sub) THEN list_transform(entries, lambda x: {moved})
+              ELSE entries END,
+         under_now, over_now,
+         CASE WHEN op = 'promote' THEN [] ELSE list_filter(entries, lambda x: {gone}) END, pos + 1
+  FROM (
+    SELECT *, CASE WHEN op = 'tick' AND sub = 0 THEN list_filter(range({n}), lambda p: sizes[p + 1] < mean) ELSE under END
+                AS under_now,
+           CASE WHEN op = 'tick' AND sub = 0 THEN list_filter(range({n}), lambda p: sizes[p + 1] > mean) ELSE over END
+                AS over_now
+    FROM (
+      SELECT *, CAST(list_sum(sizes) AS DOUBLE) / {n} AS mean
+      FROM (
+        SELECT e.*, f.entries, f.under, f.over,
+               list_transform(range({n}), lambda p: coalesce(list_sum(list_transform(
+                 list_filter(f.entries, lambda x: x.part = p), lambda x: x.count)), 0)) AS sizes
+        FROM fold f JOIN evs e ON e.topic = f.topic AND e.i = f.i + 1
+      )
+    )
+  )
+),
+lgr AS (
+  SELECT topic, e.key AS key, e.count AS count, e.part AS partition, e.since AS valid_from,
+         closed_at AS valid_to, e.op AS opened_by
+  FROM (SELECT topic, closed_at, unnest(closed) AS e FROM fold)
+  UNION ALL
+  SELECT topic, e.key, e.count, e.part, e.since, NULL, e.op
+  FROM (SELECT topic, unnest(entries) AS e FROM fold f
+        WHERE i = (SELECT max(i) FROM fold g WHERE g.topic = f.topic))
+)"""
+    )
+
+
+EVERY_TURNOVERS = (
+    f"SELECT topic, b * {math.floor(1 / wl.EPSILON)} AS pos, 1 AS times FROM (SELECT topic,"
+    f" unnest(range({wl.REBALANCE_EVERY}, nb + 1, {wl.REBALANCE_EVERY})) AS b FROM fullb)"
+)
+
+EVERY_SECONDS = f"""
+SELECT * FROM (
+  SELECT topic, max(seq) AS pos, lead(tick) OVER (PARTITION BY topic ORDER BY tick) - tick AS times
+  FROM (SELECT topic, seq, ts_us // {wl.REBALANCE_SECONDS * 1000000} + 1 AS tick FROM ms)
+  GROUP BY topic, tick
+) WHERE times IS NOT NULL"""
+
+
 def target_match(refused: str) -> str:
     return f"""
 SELECT topic, key, count, src, dst FROM (
@@ -159,7 +264,7 @@ SELECT topic, key, count, src, dst FROM (
 ) WHERE rk = 1"""
 
 
-GIVEN_LOG = (
+GIVEN_INTERVALS = (
     SEQ
     + f""",
 iv AS (SELECT topic, greatest(count(*) // 3, 1) AS step FROM ms GROUP BY topic),
@@ -172,10 +277,18 @@ lg AS (
          CASE WHEN v < 2 THEN CAST((v + 1) * step + 1 AS BIGINT) END AS valid_to
   FROM (SELECT DISTINCT topic, key, num FROM ms WHERE num % 3 = 0) JOIN iv USING (topic),
        (SELECT unnest([0, 1, 2]) AS v)
-),
+)"""
+)
+
+
+def sent_by(ctes: str, log: str) -> str:
+    """What is routed, tagged, sent and delivered under the map's history ``log`` of ``ctes``."""
+    return (
+        ctes
+        + f""",
 routed AS (
   SELECT ms.*, coalesce(lg.partition, ms.p) AS route
-  FROM ms LEFT JOIN lg ON lg.topic = ms.topic AND lg.key = ms.key
+  FROM ms LEFT JOIN {log} lg ON lg.topic = ms.topic AND lg.key = ms.key
     AND ms.seq >= lg.valid_from AND (lg.valid_to IS NULL OR ms.seq < lg.valid_to)
 ),
 lagged AS (
@@ -202,7 +315,10 @@ delivered AS (
   SELECT *, row_number() OVER (PARTITION BY topic, sent_partition ORDER BY seq) - 1 AS "offset"
   FROM sent
 )"""
-)
+    )
+
+
+GIVEN_LOG = sent_by(GIVEN_INTERVALS, "lg")
 
 TRACES = (
     SEQ

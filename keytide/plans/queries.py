@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,18 @@ from keytide.session import materialize, scratch_path
 from keytide.sources import read_messages, read_traces, write_latency_csv, write_messages
 from keytide.streaming import (
     HotKeyConfig,
+    MapVersions,
+    current_sets,
     run_hot_key_stream,
+    stream_latest_sets,
+    stream_live_map,
     stream_partition_rate,
     stream_shift_events,
     stream_sketch,
+    stream_sticky_round_robin,
     stream_sync_events,
     stream_tags,
+    stream_tags_in_store,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +52,7 @@ def query(name: str, sql: str | None = None, ctes: str = o.MESSAGES, recursive:
     def register(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = o._with(recursive, ctes, sql)
+            ORACLES[name] = o._with(recursive, ctes, sql) if ctes else sql
         return fn
 
     return register
@@ -420,7 +427,7 @@ COOLDOWN = 400
                                   AS was FROM lg JOIN iv USING (topic)) l
           WHERE l.topic = cand.topic AND l.key = cand.key AND l.was <> l.partition
             AND l.valid_from <= l.now AND l.now - l.valid_from < {COOLDOWN})""",
-    o.GIVEN_MAP + "," + o.GIVEN_LOG[len(o.SEQ) + 1 :].split("routed AS")[0].rstrip().rstrip(","),
+    o.GIVEN_MAP + "," + o.GIVEN_INTERVALS[len(o.SEQ) + 1 :],
 )
 def cooldown_candidates(spark, sf):
     log = wl.hot_map_log_given(spark, sf)
@@ -474,21 +481,46 @@ def control_log(spark, sf, messages=None, **options):
         bucketed, wl.EPSILON, wl.SUPPORT, max_bucket=_max_bucket(spark, sf)
     )
     turns = sketch.turnovers(bucketed, wl.EPSILON)
-    every = options.pop("rebalance_every", wl.REBALANCE_EVERY)
-    events = control.control_events(lives, turns, wl.N_PARTITIONS, every)
+    seconds = options.pop("rebalance_seconds", None)
+    if seconds is None:
+        every = options.pop("rebalance_every", wl.REBALANCE_EVERY)
+        events = control.control_events(lives, turns, wl.N_PARTITIONS, every)
+    else:
+        ticks = load.clock_ticks(messages, seconds)
+        events = control.control_events(lives, turns, wl.N_PARTITIONS, ticks=ticks)
+    span = options.pop("span", None)
+    if span is not None:
+        return control.replay_in_ranges(
+            materialize(events, "control-events"), wl.N_PARTITIONS, span, **options
+        )
     return control.replay_control(events, wl.N_PARTITIONS, **options)
 
 
-@query("p2c_replay")
+MAP_LOG = "SELECT topic, key, count, partition, valid_from, valid_to, opened_by FROM lgr"
+
+
+@query("p2c_replay", MAP_LOG, o.replay(None), recursive=True)
 def p2c_replay(spark, sf):
     return control_log(spark, sf, rebalance_every=None).drop("moved_at")
 
 
-@query("control_replay")
+@query("control_replay", MAP_LOG, o.replay(o.EVERY_TURNOVERS), recursive=True)
 def control_replay(spark, sf):
     return control_log(spark, sf).drop("moved_at")
 
 
+@query("control_replay_ranges", MAP_LOG, o.replay(o.EVERY_TURNOVERS), recursive=True)
+def control_replay_ranges(spark, sf):
+    """The same, folded range by range; the number of ranges grows with the topics."""
+    return control_log(spark, sf, span=400).drop("moved_at")
+
+
+@query("control_replay_timed", MAP_LOG, o.replay(o.EVERY_SECONDS), recursive=True)
+def control_replay_timed(spark, sf):
+    """Rounds of rebalancing by the clock, idle ticks included."""
+    return control_log(spark, sf, rebalance_seconds=wl.REBALANCE_SECONDS).drop("moved_at")
+
+
 # --- routing ------------------------------------------------------------------
 
 
@@ -540,6 +572,29 @@ def sticky_rr(spark, sf):
     return endpoints.sticky_round_robin(messages, wl.endpoints(spark)).drop("ts")
 
 
+EPOCH_DAYS = 7
+
+
+@query(
+    "sticky_rr_epochs",
+    f"""SELECT km.msg_id, km.key, ts_us // {EPOCH_DAYS * 86_400_000_000} AS epoch,
+               '10.2.0.' || CAST((t.turn - 1) % 4 + 1 AS VARCHAR) AS endpoint
+       FROM km JOIN (
+         SELECT key, epoch, row_number() OVER (ORDER BY f.ts, f.msg_id) AS turn
+         FROM (SELECT key, ts_us // {EPOCH_DAYS * 86_400_000_000} AS epoch, min({{'ts': ts, 'msg_id': msg_id}}) AS f
+               FROM km GROUP BY ALL)) t
+       ON t.key = km.key AND t.epoch = ts_us // {EPOCH_DAYS * 86_400_000_000}""",
+)
+def sticky_rr_epochs(spark, sf):
+    """Endpoints change every week: all keys are assigned anew, the turn goes on."""
+    return endpoints.sticky_round_robin(_epochs(wl.keyed_messages(spark, sf)), wl.endpoints(spark), "epoch").drop("ts")
+
+
+def _epochs(messages):
+    epoch = F.floor(F.unix_micros("ts") / F.lit(EPOCH_DAYS * 86_400_000_000)).cast("long")
+    return messages.select("msg_id", "ts", "key", epoch.alias("epoch"))
+
+
 @query("endpoint_registry", "SELECT service, array_to_string(ips, ',') AS ips, version FROM reg", o.FEED)
 def endpoint_registry(spark, sf):
     registry = endpoints.fold_endpoints(wl.endpoint_feed(spark, sf))
@@ -610,6 +665,50 @@ def latest_msgset(spark, sf):
     return message_sets.latest_message_set(_tagged(spark, sf))
 
 
+# Every fifth key is deleted at two thirds of its topic; some send again after that.
+SETS_LEFT = o.GIVEN_LOG + """,
+left_over AS (
+  SELECT * FROM (
+    SELECT tagged.*, row_number() OVER (PARTITION BY topic, key ORDER BY seq DESC) AS rk FROM tagged
+  ) JOIN iv USING (topic) WHERE rk = 1 AND (num % 5 <> 0 OR seq > 2 * step)
+)"""
+
+
+def _deletes(spark, sf):
+    num = F.expr("CAST(substr(key, 10) AS BIGINT)")
+    keys = wl.keyed_messages(spark, sf).select("topic", "key").distinct().where(num % 5 == 0)
+    return keys.join(wl.given_intervals(spark, sf), "topic").select(
+        "topic", "key", (F.col("step") * 2).alias("seq")
+    )
+
+
+@query("latest_msgset_deleted", f"SELECT topic, key, {TAG} FROM left_over", SETS_LEFT)
+def latest_msgset_deleted(spark, sf):
+    return message_sets.latest_message_set(_tagged(spark, sf), _deletes(spark, sf))
+
+
+@query("msgset_length", "SELECT topic, count(*) AS keys FROM left_over GROUP BY topic", SETS_LEFT)
+def msgset_length(spark, sf):
+    return message_sets.set_count(latest_msgset_deleted(spark, sf))
+
+
+@query("stream_latest_msgset", f"SELECT topic, key, {TAG} FROM left_over", SETS_LEFT)
+def stream_latest_msgset(spark, sf):
+    """Tagged records and tombstones as a stream, in as many batches as there are thirds."""
+    path, out, offsets = (scratch_path(spark, n) for n in ("records", "latest", "offsets"))
+    tags = [F.col(c) for c in message_sets.TAG_COLUMNS]
+    sent = _tagged(spark, sf).select("topic", "key", "seq", F.lit(False).alias("is_delete"), *tags)
+    dead = _deletes(spark, sf).withColumn("is_delete", F.lit(True))
+    line = materialize(sent.unionByName(dead, allowMissingColumns=True), "records")
+    step = wl.given_intervals(spark, sf)
+    line = line.join(step, "topic").withColumn("third", F.least(F.expr("(seq - 1) div step"), F.lit(2)))
+    for third in range(3):
+        line.where(F.col("third") == third).drop("third", "step").write.mode("append").parquet(path)
+        records = spark.readStream.schema(line.drop("third", "step").schema).parquet(path)
+        stream_latest_sets(records, out, offsets).awaitTermination()
+    return current_sets(spark, out)
+
+
 @query(
     "msgset_codec",
     f"""SELECT topic, seq, key, {TAG},
@@ -774,19 +873,54 @@ def ingest_reject(spark, sf):
 # --- traces -------------------------------------------------------------------
 
 
-@query(
-    "trace_source",
-    """SELECT trace_id AS "traceID", CASE WHEN receive_us IS NULL THEN 2 ELSE 3 END AS n_spans,
-              produce_us AS first_us FROM tr""",
-    o.TRACES,
-)
+# Every seventh trace lacks the service that is asked for; half of the time is before ``since``.
+TRACE_FILTER = """
+    SELECT trace_id AS "traceID", CASE WHEN receive_us IS NULL THEN 2 ELSE 3 END AS n_spans,
+           produce_us AS first_us
+    FROM tr, (SELECT min(ts_us) + (max(ts_us) - min(ts_us)) // 2 AS since FROM ms)
+    WHERE msg_id % 7 <> 0 AND greatest(produce_us, coalesce(receive_us, 0), process_us) >= since"""
+
+
+def _traces_of_services(spark, sf):
+    """The traces, of which some lack the consumer, and the time to look at them from."""
+    audited = F.map_from_arrays(F.map_keys("processes"), F.expr(
+        "transform(map_values(processes), x -> named_struct('serviceName', 'audit'))"
+    ))
+    traces = wl.traces(spark, sf).withColumn(
+        "processes", F.when(F.col("traceID").cast("long") % 7 == 0, audited).otherwise(F.col("processes"))
+    )
+    us = F.unix_micros("ts")
+    low, high = wl.events(spark, sf).agg(F.min(us), F.max(us)).first()
+    return traces, low + (high - low) // 2
+
+
+def _seen(traces):
+    return traces.select(
+        "traceID", F.size("spans").alias("n_spans"), F.col("spans")[0]["startTime"].alias("first_us")
+    )
+
+
+@query("trace_source", TRACE_FILTER, o.TRACES)
 def trace_source(spark, sf):
     path = scratch_path(spark, "traces")
-    wl.traces(spark, sf).write.json(path)
-    read = read_traces(spark, path, service="consumer", since=0)
-    return read.select(
-        "traceID", F.size("spans").alias("n_spans"), F.col("spans")[0]["startTime"].alias("first_us")
+    traces, since = _traces_of_services(spark, sf)
+    traces.write.json(path)
+    return _seen(read_traces(spark, path, service="consumer", since=since))
+
+
+@query("trace_envelopes", TRACE_FILTER, o.TRACES)
+def trace_envelopes(spark, sf):
+    """The same from documents that hold many traces each."""
+    path = scratch_path(spark, "envelopes")
+    traces, since = _traces_of_services(spark, sf)
+    text = F.to_json(F.struct("traceID", "spans", "processes"))
+    documents = (
+        traces.groupBy(F.floor(F.col("traceID").cast("long") / 2_000).alias("document"))
+        .agg(F.collect_list(text).alias("traces"))
+        .select(F.concat(F.lit('{"total": 0, "data": ['), F.array_join("traces", ",\n"), F.lit("]}")))
     )
+    documents.write.text(path)
+    return _seen(read_traces(spark, path, service="consumer", since=since, envelope=True))
 
 
 @query(
@@ -874,7 +1008,18 @@ def trace_join(spark, sf):
 # --- flagship -----------------------------------------------------------------
 
 
-@query("load_comparison")
+@query(
+    "load_comparison",
+    f"""SELECT t.topic, p.partition, coalesce(h.hashed, 0) AS hashed, coalesce(s.placed, 0) AS placed
+        FROM (SELECT DISTINCT topic FROM ms) t,
+             (SELECT CAST(unnest(range({wl.N_PARTITIONS})) AS INTEGER) AS partition) p
+        LEFT JOIN (SELECT topic, p AS partition, count(*) AS hashed FROM ms GROUP BY ALL) h
+          ON h.topic = t.topic AND h.partition = p.partition
+        LEFT JOIN (SELECT topic, sent_partition AS partition, count(*) AS placed FROM sent GROUP BY ALL) s
+          ON s.topic = t.topic AND s.partition = p.partition""",
+    o.sent_by(o.replay(o.EVERY_TURNOVERS), "lgr"),
+    recursive=True,
+)
 def load_comparison(spark, sf):
     """Messages per partition when every key is hashed and when hot keys are placed.
 
@@ -909,23 +1054,32 @@ def load_comparison(spark, sf):
 STREAM_PARTS = 3
 
 
-def run_in_parts(spark, sf, start):
+def stream_cuts(messages):
+    """Instants that cut the time from the first to the last message into equal parts."""
+    us = F.unix_micros("ts")
+    low, high = messages.agg(F.min(us), F.max(us)).first()
+    return [low + (high - low) * i // STREAM_PARTS for i in range(1, STREAM_PARTS)]
+
+
+def run_in_parts(spark, sf, start, before=lambda part, log: None):
     """Append the log part by part and let the stream catch up with each.
 
     Every part is one micro-batch of however many files Spark writes for it; the
-    stream is started anew each time and resumes from its checkpoint.
+    stream is started anew each time and resumes from its checkpoint. ``before`` is called ahead
+    of each part with its number and what was appended so far.
     """
     path = scratch_path(spark, "log")
     messages = wl.keyed_messages(spark, sf)
-    shares = [i / STREAM_PARTS for i in range(1, STREAM_PARTS)]
     us = F.unix_micros("ts")
-    cuts = messages.agg(F.percentile_approx(us, shares).alias("cuts")).first()["cuts"]
-    edges = [None, *cuts, None]
-    for low, high in zip(edges, edges[1:]):
+    edges = [None, *stream_cuts(messages), None]
+    for number, (low, high) in enumerate(zip(edges, edges[1:])):
         part = messages if low is None else messages.where(us > low)
         part = part if high is None else part.where(us <= high)
+        before(number, messages.where("false") if low is None else messages.where(us <= low))
         part.write.mode("append").parquet(path)
-        start(read_messages(spark, path, streaming=True)).awaitTermination()
+        running = start(read_messages(spark, path, streaming=True))
+        if running is not None:
+            running.awaitTermination()
 
 
 def stream_config():
@@ -981,17 +1135,153 @@ def stream_tags_query(spark, sf):
     return spark.read.parquet(out).drop("batch", "msg_id", "ts", "body")
 
 
-@query("stream_hot_keys")
-def stream_hot_keys(spark, sf):
-    """The whole producer side as a stream; equals the batch twin (see the tests)."""
-    out, state = scratch_path(spark, "sent"), scratch_path(spark, "state")
+@query(
+    "stream_tags_in_store",
+    f"SELECT topic, seq, key, {TAG}, is_boundary, sent_partition FROM sent",
+    o.GIVEN_LOG,
+)
+def stream_tags_in_store_query(spark, sf):
+    """The same with the sets of keys in Spark's state store."""
+    out, state = scratch_path(spark, "tagged"), scratch_path(spark, "state")
+    offsets = scratch_path(spark, "offsets")
+
+    def given(session: SparkSession) -> DataFrame:
+        return wl.hot_map_log_given(session, sf)
+
+    run_in_parts(
+        spark, sf, lambda s: stream_tags_in_store(s, given, state, out, offsets, stream_config())
+    )
+    return spark.read.parquet(out).drop("batch", "msg_id", "ts", "body")
+
+
+LIVE_COUNT = 20
+LIVE_MAP = o.sent_by(
+    o.SEQ
+    + f""",
+cut AS (SELECT min(ts_us) AS a, max(ts_us) - min(ts_us) AS span FROM ms),
+parted AS (
+  SELECT ms.*, CASE {" ".join(f"WHEN ts_us <= a + span * {i} // {STREAM_PARTS} THEN {i - 1}" for i in range(1, STREAM_PARTS))}
+               ELSE {STREAM_PARTS - 1} END AS part FROM ms, cut
+),
+live AS (
+  SELECT v.b, topic, key, CAST((any_value(num) * 3 + v.b) % {wl.N_PARTITIONS} AS INTEGER) AS partition
+  FROM parted JOIN (SELECT unnest(range(1, {STREAM_PARTS})) AS b) v ON parted.part < v.b
+  GROUP BY v.b, topic, key HAVING count(*) > {LIVE_COUNT}
+),
+spans AS (SELECT topic, part, min(seq) AS valid_from, max(seq) + 1 AS valid_to FROM parted GROUP BY ALL),
+lgl AS (
+  SELECT live.topic, key, partition, valid_from, valid_to
+  FROM live JOIN spans ON spans.topic = live.topic AND spans.part = live.b
+)""",
+    "lgl",
+)
+
+
+@query(
+    "stream_live_map",
+    f"SELECT topic, seq, key, {TAG}, is_boundary, sent_partition FROM sent",
+    LIVE_MAP,
+)
+def stream_live_map_query(spark, sf):
+    """Another job maps, ahead of each part, the keys it has counted so far, elsewhere each time."""
+    out, state = scratch_path(spark, "tagged"), scratch_path(spark, "state")
     offsets = scratch_path(spark, "offsets")
+    versions = MapVersions(spark, scratch_path(spark, "maps"))
+
+    def publish(part: int, log: DataFrame) -> None:
+        num = F.expr("CAST(substr(key, 10) AS BIGINT)")
+        partition = ((num * 3 + part) % wl.N_PARTITIONS).cast("int")
+        counted = frequency.heavy_keys(frequency.key_counts(log), LIVE_COUNT)
+        versions.publish(counted.withColumn("partition", partition), part)
+
     run_in_parts(
-        spark, sf, lambda s: run_hot_key_stream(s, state, out, offsets, stream_config())
+        spark,
+        sf,
+        lambda s: stream_live_map(s, versions, state, out, offsets, stream_config()),
+        publish,
     )
     return spark.read.parquet(out).drop("batch", "msg_id", "ts", "body")
 
 
+def _run_hot_keys(spark, sf, config):
+    """Where the stream has written what it sent, and its state."""
+    out, state = scratch_path(spark, "sent"), scratch_path(spark, "state")
+    offsets = scratch_path(spark, "offsets")
+    run_in_parts(spark, sf, lambda s: run_hot_key_stream(s, state, out, offsets, config))
+    return out, state
+
+
+@query(
+    "stream_hot_keys",
+    f"SELECT topic, seq, key, {TAG}, is_boundary, sent_partition FROM sent",
+    o.sent_by(o.replay(o.EVERY_TURNOVERS), "lgr"),
+    recursive=True,
+)
+def stream_hot_keys(spark, sf):
+    """The whole producer side as a stream."""
+    out, _ = _run_hot_keys(spark, sf, stream_config())
+    return spark.read.parquet(out).drop("batch", "msg_id", "ts", "body")
+
+
+@query("stream_control_timed", MAP_LOG, o.replay(o.EVERY_SECONDS), recursive=True)
+def stream_control_timed(spark, sf):
+    """History of the map of a stream that rebalances by the clock: what ended and what stands."""
+    config = HotKeyConfig(
+        wl.N_PARTITIONS, wl.EPSILON, wl.SUPPORT, rebalance_seconds=wl.REBALANCE_SECONDS
+    )
+    _, state = _run_hot_keys(spark, sf, config)
+    maps = spark.read.parquet(f"{state}/map_log")
+    last = maps.agg(F.max("batch")).first()[0]
+    standing = maps.where(F.col("valid_to").isNull() & (F.col("batch") == last))
+    ended = spark.read.parquet(f"{state}/closed_intervals")
+    return standing.unionByName(ended).drop("batch", "moved_at")
+
+
+@query(
+    "stream_weights",
+    f"""SELECT t.topic, t.tick, p.partition,
+               CAST(coalesce((SELECT sum(count) FROM lgr
+                 WHERE lgr.topic = t.topic AND lgr.partition = p.partition
+                   AND lgr.valid_from <= t.at_seq + 1
+                   AND (lgr.valid_to IS NULL OR lgr.valid_to > t.at_seq + 1)), 0) AS BIGINT) AS size
+        FROM (SELECT topic, tick, max(busy) OVER (PARTITION BY topic ORDER BY tick) AS at_seq
+              FROM (SELECT topic, unnest(range(min(tick), max(tick))) AS tick FROM tk GROUP BY topic)
+              LEFT JOIN (SELECT topic, tick, max(seq) AS busy FROM tk GROUP BY ALL)
+                USING (topic, tick)) t,
+             (SELECT CAST(unnest(range({wl.N_PARTITIONS})) AS INTEGER) AS partition) p""",
+    o.replay(o.EVERY_TURNOVERS)
+    + f""",
+tk AS (SELECT topic, ts_us // {SNAPSHOT_SECONDS * 1000000} + 1 AS tick, seq FROM ms)""",
+    recursive=True,
+)
+def stream_weights(spark, sf):
+    """Sizes of all partitions at every tick that passed, idle ones too, from the live map."""
+    config = replace(stream_config(), weight_seconds=SNAPSHOT_SECONDS)
+    _, state = _run_hot_keys(spark, sf, config)
+    return spark.read.parquet(f"{state}/weights").drop("batch")
+
+
+def _sticky_stream(spark, sf, shape, epoch_col=None):
+    out, state = scratch_path(spark, "placed"), scratch_path(spark, "state")
+    offsets = scratch_path(spark, "offsets")
+    run_in_parts(
+        spark,
+        sf,
+        lambda s: stream_sticky_round_robin(shape(s), wl.endpoints(spark), state, out, offsets, epoch_col),
+    )
+    return spark.read.parquet(out).drop("batch", "ts")
+
+
+@query("stream_sticky_rr", ORACLES["sticky_rr"], "")
+def stream_sticky_rr(spark, sf):
+    return _sticky_stream(spark, sf, lambda s: s.select("msg_id", "ts", "key"))
+
+
+@query("stream_sticky_rr_epochs", ORACLES["sticky_rr_epochs"], "")
+def stream_sticky_rr_epochs(spark, sf):
+    return _sticky_stream(spark, sf, _epochs, "epoch")
+
+
 @query(
     "stream_partition_rate",
     """SELECT topic, p AS partition, ts_us // 60000000 * 60000000 AS window_us, count(*) AS messages

@@ -18,6 +18,7 @@ N_PARTITIONS = 10
 EPSILON = 0.01
 SUPPORT = 0.05
 REBALANCE_EVERY = 2
+REBALANCE_SECONDS = 6 * 3600
 SAMPLE_THRESHOLD = 0.5
 # The given log maps every third key, in as many intervals, each a third of its topic.
 GIVEN_INTERVALS = 3

@@ -6,7 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from keytide.sources.envelopes import NAME, register
 
 TRACE_SCHEMA = (
     "traceID string,"
@@ -26,17 +27,20 @@ def read_traces(
 ) -> DataFrame:
     """Exported traces, one JSON object per line.
 
-    ``envelope=True`` reads documents of the form ``{"data": [trace, ...]}``.
-    ``service`` keeps traces with a span of that service, ``since`` (a time or
+    ``envelope=True`` reads documents of the form ``{"data": [trace, ...]}``, each file trace by trace
+    (``sources.envelopes``). ``service`` keeps traces with a span of that service, ``since`` (a time or
     epoch microseconds) those with a span that started then or later.
     """
+    if since is not None and not isinstance(since, int):
+        since = int(since.timestamp() * 1_000_000)
     if envelope:
-        trace = T.StructType.fromDDL(TRACE_SCHEMA)
-        document = T.StructType([T.StructField("data", T.ArrayType(trace))])
-        documents = spark.read.schema(document).option("multiLine", True).json(path)
-        traces = documents.select(F.inline("data"))
-    else:
-        traces = spark.read.schema(TRACE_SCHEMA).json(path)
+        register(spark)
+        reader = spark.read.format(NAME)
+        for name, value in (("service", service), ("since", since)):
+            reader = reader if value is None else reader.option(name, str(value))
+        traces = reader.load(path)
+        return traces.limit(limit) if limit is not None else traces
+    traces = spark.read.schema(TRACE_SCHEMA).json(path)
     if service is not None:
         traces = traces.where(
             F.exists(
@@ -45,8 +49,7 @@ def read_traces(
             )
         )
     if since is not None:
-        micros = since if isinstance(since, int) else int(since.timestamp() * 1_000_000)
-        traces = traces.where(F.exists("spans", lambda s: s["startTime"] >= F.lit(micros)))
+        traces = traces.where(F.exists("spans", lambda s: s["startTime"] >= F.lit(since)))
     return traces.limit(limit) if limit is not None else traces
 
 

@@ -27,7 +27,13 @@ from keytide.functions.joins import (
     small_join,
 )
 from keytide.operators import control, sketch
-from keytide.operators.load import partition_sizes
+from keytide.operators.load import (
+    busy_ticks,
+    elapsed_ticks,
+    every_tick,
+    partition_sizes,
+    weight_snapshots,
+)
 from keytide.operators.message_sets import (
     apply_sets,
     first_in_interval,
@@ -43,15 +49,21 @@ LIVES = (
     "topic string, key string, start_bucket bigint, end_bucket bigint, seen bigint,"
     " insert_n bigint, count bigint, status string, hot_bucket bigint, hot_count bigint"
 )
+TICKS = "topic string, tick bigint, at_seq bigint"
 LAST_SETS = "topic string, key string, last_partition int, last_idx int, last_src int"
 
 
 @dataclass(frozen=True)
 class HotKeyConfig:
+    """``rebalance_every`` counts turnovers of the sketch, ``rebalance_seconds`` a clock's; with
+    ``weight_seconds`` the sizes of all partitions come out at every tick of that clock."""
+
     n_partitions: int
     epsilon: float
     support: float
     rebalance_every: int | None = None
+    rebalance_seconds: int | None = None
+    weight_seconds: int | None = None
     stop_rule: str = "improves"
     tolerance: float | None = None
     cooldown: int | None = None
@@ -124,19 +136,40 @@ def advance_sketch(
     return lives, sketch.turnovers(bucketed, config.epsilon)
 
 
+def advance_clock(
+    state: VersionedState, name: str, messages: DataFrame, batch_id: int, every_seconds: int
+) -> DataFrame:
+    """``load.elapsed_ticks`` of a clock that runs by the messages: what passed with this batch.
+
+    The tick after a topic's last message waits for a later message, so a stream passes the
+    same ticks as a batch job, idle ones too, wherever its micro-batches are cut.
+    """
+    busy = busy_ticks(messages, every_seconds).unionByName(state.before(name, batch_id, TICKS))
+    busy = busy.groupBy("topic", "tick").agg(F.max("at_seq").alias("at_seq"))
+    busy = state.scratch(f"{name}_busy", batch_id, busy)
+    last = busy.groupBy("topic").agg(
+        F.max("tick").alias("tick"), F.max_by("at_seq", "tick").alias("at_seq")
+    )
+    state.save(name, batch_id, last)
+    return elapsed_ticks(busy)
+
+
 def advance_map(
     state: VersionedState,
     lives: DataFrame,
     turns: DataFrame,
     batch_id: int,
     config: HotKeyConfig,
+    ticks: DataFrame | None = None,
 ) -> DataFrame:
     """Replay the batch's control events on the standing map; its part of the log."""
     standing = state.before("map_log", batch_id, control.LOG_SCHEMA).where(
         F.col("valid_to").isNull()
     )
     # Only turnovers of this batch are in ``turns``, so older events drop out.
-    events = control.control_events(lives, turns, config.n_partitions, config.rebalance_every)
+    events = control.control_events(
+        lives, turns, config.n_partitions, config.rebalance_every, ticks
+    )
     log = control.replay_control(
         control.load_events(standing).unionByName(events),
         config.n_partitions,
@@ -196,7 +229,7 @@ def tag_batch(
     return apply_sets(messages, sets, plan, config.n_partitions)
 
 
-def _start(
+def start_batches(
     stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict
 ) -> StreamingQuery:
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
@@ -226,7 +259,7 @@ def stream_sketch(
         advance_sketch(state, messages, totals, batch_id, config)
         state.finish(batch_id)
 
-    return _start(stream, step, checkpoint, trigger)
+    return start_batches(stream, step, checkpoint, trigger)
 
 
 def stream_tags(
@@ -250,7 +283,7 @@ def stream_tags(
         sent_partition(tagged).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         state.finish(batch_id)
 
-    return _start(stream, step, checkpoint, trigger)
+    return start_batches(stream, step, checkpoint, trigger)
 
 
 def run_hot_key_stream(
@@ -264,8 +297,9 @@ def run_hot_key_stream(
 ) -> StreamingQuery:
     """The whole producer side: sketch, placement, rebalancing, routing, tagging.
 
-    Sent messages are written below ``out_path``, the sizes of all partitions after
-    each batch below ``<state_dir>/weights``. For a timed run pass
+    Sent messages are written below ``out_path``, intervals of the map that ended below
+    ``<state_dir>/closed_intervals``, the sizes of all partitions below ``<state_dir>/weights``: at each tick
+    of ``weight_seconds``, or after each batch where that is not set. For a timed run pass
     ``{"processingTime": "10 seconds"}``.
     """
     state = VersionedState(stream.sparkSession, state_dir, keep)
@@ -273,13 +307,20 @@ def run_hot_key_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         messages, totals = sequence_batch(state, batch, batch_id, config.slice_rows)
         lives, turns = advance_sketch(state, messages, totals, batch_id, config)
-        log = advance_map(state, lives, turns, batch_id, config)
+        ticks = None
+        if config.rebalance_seconds is not None:
+            ticks = advance_clock(state, "rounds", messages, batch_id, config.rebalance_seconds)
+        log = advance_map(state, lives, turns, batch_id, config, ticks)
         tagged = tag_batch(state, messages, log, batch_id, config)
         sent_partition(tagged).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        weights = partition_sizes(
-            control.current_map(log), config.n_partitions, totals.select("topic")
-        )
+        if config.weight_seconds is None:
+            weights = partition_sizes(
+                control.current_map(log), config.n_partitions, totals.select("topic")
+            )
+        else:
+            passed = advance_clock(state, "seconds", messages, batch_id, config.weight_seconds)
+            weights = weight_snapshots(log, every_tick(passed), config.n_partitions)
         state.emit("weights", batch_id, weights)
         state.finish(batch_id)
 
-    return _start(stream, step, checkpoint, trigger)
+    return start_batches(stream, step, checkpoint, trigger)

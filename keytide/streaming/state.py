@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class VersionedState:
@@ -32,7 +33,34 @@ class VersionedState:
     def before(self, name: str, batch_id: int, schema: str) -> DataFrame:
         if batch_id == 0:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(name, batch_id - 1))
+        return self.read(name, batch_id - 1, schema)
+
+    def read(self, name: str, batch_id: int, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path(name, batch_id))
+
+    def up_to(self, name: str, batch_id: int, schema: str) -> DataFrame:
+        """What all batches before this one wrote, where each wrote what was new."""
+        if batch_id == 0:
+            return self.spark.createDataFrame([], schema)
+        earlier = self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.root}/{name}")
+        return earlier.where(F.col("batch") < batch_id).drop("batch")
+
+    def exists(self, name: str, batch_id: int) -> bool:
+        """Whether a version has been written to its end."""
+        return self.exists_path(f"{self.path(name, batch_id)}/_SUCCESS")
+
+    def versions(self, name: str) -> list[int]:
+        """Batches of which ``name`` has been written to its end."""
+        folder, fs = self._located(f"{self.root}/{name}")
+        if not fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        batches = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+        return sorted(b for b in batches if self.exists(name, b))
+
+    def exists_path(self, path: str) -> bool:
+        place, fs = self._located(path)
+        return fs.exists(place)
 
     def save(self, name: str, batch_id: int, df: DataFrame) -> DataFrame:
         self._saved.add(name)
@@ -63,7 +91,9 @@ class VersionedState:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        old = jvm.org.apache.hadoop.fs.Path(path)
-        fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        old, fs = self._located(path)
         fs.delete(old, True)
+
+    def _located(self, path: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())

@@ -118,6 +118,7 @@ def test_equal_sizes_belong_to_neither_set(spark):
         {"every": 2, "rule": "as_written"},
         {"every": 1, "tolerance": 0.8},
         {"every": 1, "cooldown": 60},
+        {"every": 1, "tolerance": 0.3, "cooldown": 60},
     ],
 )
 def test_replay_matches_the_model(spark, options):

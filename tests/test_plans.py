@@ -107,3 +107,17 @@ def test_no_join_gathers_a_topic(spark, sf):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_percentiles_read_the_traces_once(spark, sf):
+    df = q.QUERIES["latency_by_partition_key"](spark, sf)
+    df.collect()
+    text = plan(df)
+    text = text[: text.index("Initial Plan")] if "Initial Plan" in text else text
+    assert text.count("FileScan") == 1 and "ReusedExchange" in text
+
+
+def test_order_is_checked_without_sorting_a_key(spark, sf):
+    text = plan(q.QUERIES["order_violations"](spark, sf))
+    scans = [line for line in text.splitlines() if "lag(seq#" in line]
+    assert scans and all("_chunk" in line for line in scans)

@@ -5,7 +5,13 @@ from keytide.operators import message_sets
 from keytide.plans import queries as q
 from keytide.plans import workload as wl
 from keytide.session import scratch_path
-from keytide.streaming import HotKeyConfig, run_hot_key_stream
+from keytide.streaming import (
+    HotKeyConfig,
+    MapVersions,
+    run_hot_key_stream,
+    stream_tags_in_store,
+)
+from keytide.streaming.live_map import pinned_version
 from keytide.streaming.state import VersionedState
 
 CONFIG = HotKeyConfig(10, 0.02, 0.1, rebalance_every=1)
@@ -72,3 +78,48 @@ def test_a_repeated_batch_changes_nothing(spark):
     with pytest.raises(ValueError):
         VersionedState(spark, "unused", keep=1)
     assert {r.batch for r in state.history("n").select("batch").distinct().collect()} == {2, 3}
+
+
+def test_a_repeated_batch_keeps_its_map_version(spark):
+    state = VersionedState(spark, scratch_path(spark, "pins"))
+    versions = MapVersions(spark, scratch_path(spark, "maps"))
+    assert versions.newest() is None and versions.read(None).count() == 0
+    assert pinned_version(state, versions, 0) is None
+    entries = spark.createDataFrame([("t", "a", 1, 3)], "topic string, key string, count int, partition int")
+    versions.publish(entries, 4)
+    assert pinned_version(state, versions, 0) is None
+    assert pinned_version(state, versions, 1) == 4
+    versions.publish(entries.limit(0), 9)
+    assert pinned_version(state, versions, 1) == 4 and pinned_version(state, versions, 2) == 9
+    assert [r.partition for r in versions.read(4).collect()] == [3]
+    assert versions.read(9).count() == 0
+
+
+def test_tags_in_the_store_go_on_after_a_failure(spark, sf):
+    """A run that stops after numbering is taken up by the next; state holds ever mapped keys only."""
+    state, out, offsets = (scratch_path(spark, n) for n in ("state", "tagged", "offsets"))
+    log = wl.hot_map_log_given(spark, sf)
+    calls, streams = [], []
+
+    def given(session):
+        calls.append(1)
+        return log
+
+    def run(stream):
+        streams.append(stream)
+        stream_tags_in_store(stream, given, state, out, offsets, CONFIG)
+
+    q.run_in_parts(spark, sf, run)
+    assert len(calls) == 3
+    before = sorted(map(tuple, spark.read.parquet(out).select(*COLUMNS).collect()))
+    want = message_sets.sent_partition(
+        message_sets.tag_message_sets(wl.sequenced(spark, sf), 10, log)
+    )
+    assert before == sorted(map(tuple, want.select(*COLUMNS).collect()))
+    tagged = VersionedState(spark, out)
+    tagged._delete(f"{out}/batch=1")
+    run(streams[-1])
+    assert sorted(map(tuple, spark.read.parquet(out).select(*COLUMNS).collect())) == before
+    sets = spark.read.parquet(f"{state}/sets")
+    assert sets.select("topic", "key").distinct().count() == log.select("topic", "key").distinct().count()
+
