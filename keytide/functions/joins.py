@@ -1,6 +1,6 @@
 """Joins of the message stream with small and not so small tables.
 
-The stream side is the skewed one. A table is broadcast only after its rows have
+The stream side is the skewed one. A table is broadcast only after its rows and bytes have
 been counted; beyond the limit each join has a shuffled form in which no key
 forms one big group.
 """
@@ -10,19 +10,43 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keytide.functions.chunked import CHUNK, chunk_of
 
+# What may be broadcast: so many rows, and so many bytes of values.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 # Intervals of a key that a message may be held against one by one.
 PROBES = 16
 # A key with more than 1/HEAVY_SHARE of all rows is joined apart; so at most
 # HEAVY_SHARE keys can be heavy, whatever the data.
 HEAVY_SHARE = 10_000
 
+
+def value_bytes(df: DataFrame) -> Column:
+    """About how many bytes the values of a row take."""
+    sizes = []
+    for field in df.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(field.name), F.lit(0)))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0)))
+        else:
+            sizes.append(F.lit(8))
+    return sum(sizes[1:], sizes[0]).cast("long")
+
+
+def may_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Counts rows and the bytes of their values, of at most one row more than allowed."""
+    some = df.select(value_bytes(df).alias("b")).limit(rows + 1)
+    seen = some.agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return seen["n"] <= rows and (seen["b"] or 0) <= most
+
+
 @dataclass(frozen=True)
 class IntervalPlan:
     """How to join messages with validity intervals.
@@ -49,7 +73,10 @@ def plan_interval_join(
     Where some key has many intervals, they are cut into chunks small enough for a
     message to meet but a few of them, if the pieces still fit the limit.
     """
-    rows = intervals.count()
+    measured = intervals.agg(F.count(F.lit(1)).alias("n"), F.sum(value_bytes(intervals)).alias("b")).first()
+    rows = measured["n"]
+    if (measured["b"] or 0) > BROADCAST_BYTES:
+        return IntervalPlan(broadcast=False, chunk=chunk)
     if rows <= broadcast_rows and rows <= PROBES:
         return IntervalPlan(broadcast=True)
     per_key = intervals.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
@@ -58,7 +85,8 @@ def plan_interval_join(
         return IntervalPlan(broadcast=True)
     horizon = facts.agg(F.max(at)).first()[0] or 1
     pieces = -(-(seen["widest"] or 1) // PROBES)
-    if rows + seen["keys"] * pieces <= broadcast_rows:
+    cut_rows = rows + seen["keys"] * pieces
+    if cut_rows <= broadcast_rows and measured["b"] * cut_rows <= BROADCAST_BYTES * rows:
         return IntervalPlan(broadcast=True, chunk=-(-horizon // pieces), horizon=horizon)
     return IntervalPlan(broadcast=False, chunk=chunk)
 
@@ -196,7 +224,7 @@ def dimension_join(
     and all other keys by a shuffle.
     """
     on = list(on)
-    if dimension.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if may_broadcast(dimension, broadcast_rows):
         return facts.join(F.broadcast(dimension), on, "left")
     floor = facts.count() // HEAVY_SHARE + 1
     heavy = (

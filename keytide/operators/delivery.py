@@ -15,6 +15,7 @@ from keytide.functions.chunked import (
     plain_rank,
 )
 from keytide.functions.headers import TAG_HEADER, decode_tag, header
+from keytide.functions.joins import dimension_join
 
 
 def delivery_log(sent: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -60,19 +61,16 @@ def sync_events(delivered: DataFrame) -> DataFrame:
     """Records of any set but a key's first, with ``is_set_start``.
 
     As every record repeats its set's tag, the event fires on all of them;
-    ``is_set_start`` marks the first to arrive at the destination. That record is
-    found by aggregation and joined by its offset, which no two records share.
+    ``is_set_start`` marks the first to arrive at the destination. Its offset is found by
+    aggregation; there are few sets, so they are looked up without moving the records.
     """
+    on = ["topic", "key", "dest_idx"]
     synced = delivered.where(is_sync())
-    starts = (
-        synced.where(~is_shift())
-        .groupBy("topic", "key", "dest_idx")
-        .agg(F.min("offset").alias("offset"), F.first("sent_partition").alias("sent_partition"))
-        .select("topic", "sent_partition", "offset", F.lit(True).alias("is_set_start"))
-    )
-    return synced.join(starts, ["topic", "sent_partition", "offset"], "left").withColumn(
-        "is_set_start", F.coalesce("is_set_start", F.lit(False))
+    starts = synced.where(~is_shift()).groupBy(*on).agg(F.min("offset").alias("_start"))
+    marked = dimension_join(synced, starts, on).withColumn(
+        "is_set_start", F.coalesce((F.col("offset") == F.col("_start")) & ~is_shift(), F.lit(False))
     )
+    return marked.drop("_start")
 
 
 # Sets in turn; within one the boundary record, then the destination's records.

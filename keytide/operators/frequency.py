@@ -37,13 +37,17 @@ def heavy_keys(counts: DataFrame, min_count: int = 100) -> DataFrame:
     return counts.where(F.col("count") > min_count)
 
 
-def freq_report(counts: DataFrame, keyspace: int, min_count: int = 100) -> DataFrame:
-    """One row per topic: how much of the traffic the heavy keys carry."""
+def freq_report(counts: DataFrame, keyspace: int | None = None, min_count: int = 100) -> DataFrame:
+    """One row per topic: how much of the traffic the heavy keys carry.
+
+    ``keyspace`` is the number of keys there could be; by default all that occur in any topic.
+    """
     heavy = F.col("count") > min_count
+    keys = F.lit(keyspace) if keyspace is not None else counts.agg(F.count_distinct("key")).scalar()
     return counts.groupBy("topic").agg(
         F.count(F.lit(1)).alias("distinct_keys"),
         F.count_if(heavy).alias("heavy_keys"),
         F.coalesce(F.sum(F.when(heavy, F.col("count"))), F.lit(0)).alias("heavy_requests"),
         F.sum("count").alias("total_requests"),
-        F.lit(keyspace).cast("long").alias("keyspace"),
+        keys.cast("long").alias("keyspace"),
     )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Size limit in bytes and the two known fields.
 MAX_BYTES = 1_048_576
 FIELDS = ("key", "body")
+# Without it Spark calls a text with a repeated field no JSON.
+DUPLICATES = "spark.sql.variant.allowDuplicateKeys"
 # Variant types a text field may have; null leaves it empty.
 TEXT_TYPES = ("STRING", "VOID")
 
@@ -35,7 +37,8 @@ def judge_messages(raw: DataFrame, col: str = "raw", max_bytes: int = MAX_BYTES)
     second is the mark mean that the text was exactly one value. Only a text that
     fails this is parsed once more on its own.
     """
-    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    if raw.sparkSession.conf.get(DUPLICATES, "false") != "true":
+        raise RuntimeError(f"repeated fields need {DUPLICATES}=true (keytide.session.configure)")
     text = F.when(F.octet_length(col) <= max_bytes, F.col(col))
     mark = F.xxhash64(col)
     marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))

@@ -26,7 +26,7 @@ from keytide.operators import (
 )
 from keytide.plans import oracle as o
 from keytide.plans import workload as wl
-from keytide.session import materialize, scratch_path
+from keytide.session import configure, materialize, scratch_path
 from keytide.sources import read_messages, read_traces, write_latency_csv, write_messages
 from keytide.streaming import (
     HotKeyConfig,
@@ -50,7 +50,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None, ctes: str = o.MESSAGES, recursive: bool = False):
     def register(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf: fn(configure(spark), sf)
         if sql is not None:
             ORACLES[name] = o._with(recursive, ctes, sql) if ctes else sql
         return fn
@@ -136,11 +136,11 @@ def key_counts(spark, sf):
     "freq_report",
     """SELECT topic, count(*) AS distinct_keys, count(*) FILTER (c > 100) AS heavy_keys,
               CAST(coalesce(sum(c) FILTER (c > 100), 0) AS BIGINT) AS heavy_requests,
-              CAST(sum(c) AS BIGINT) AS total_requests, CAST(40 AS BIGINT) AS keyspace
+              CAST(sum(c) AS BIGINT) AS total_requests, (SELECT count(DISTINCT key) FROM km) AS keyspace
        FROM (SELECT topic, key, count(*) AS c FROM km GROUP BY ALL) GROUP BY topic""",
 )
 def freq_report(spark, sf):
-    return frequency.freq_report(key_counts(spark, sf), keyspace=40)
+    return frequency.freq_report(key_counts(spark, sf))
 
 
 @query(
@@ -162,7 +162,8 @@ def sequence(spark, sf):
 
 
 def _bucketed(spark, sf):
-    return sketch.assign_buckets(wl.sequenced(spark, sf), wl.EPSILON)
+    """From the stored log: what follows reads it more than once."""
+    return sketch.assign_buckets(wl.sequenced_log(spark, sf), wl.EPSILON)
 
 
 def _max_bucket(spark, sf):
@@ -260,7 +261,7 @@ def evictions(spark, sf):
     recursive=True,
 )
 def sketch_stats(spark, sf):
-    bucketed = sketch.assign_buckets(wl.sequenced_log(spark, sf), wl.EPSILON)
+    bucketed = _bucketed(spark, sf)
     lives = sketch.lossy_lifecycles(
         bucketed, wl.EPSILON, wl.SUPPORT, max_bucket=_max_bucket(spark, sf)
     )
@@ -735,6 +736,30 @@ def msgset_codec(spark, sf):
     return read.where(F.col("a") == F.col("b")).select("topic", "seq", "wire", "a.*")
 
 
+@query(
+    "tag_quarantine",
+    """SELECT topic, seq, key, seq % 9 = 0 AS undecodable, CASE WHEN seq % 9 <> 0 AND seq % 10 <> 1 THEN dest_idx END
+         AS dest_idx FROM tagged""",
+    o.GIVEN_LOG,
+)
+def tag_quarantine(spark, sf):
+    """Every ninth tag is cut off, some records have none: who can be read, and who goes to quarantine."""
+    tagged = _tagged(spark, sf)
+    whole = encode_tag(message_sets.tag_struct())
+    broken = F.when(F.col("seq") % 9 == 0, F.substring(whole, 1, 20)).otherwise(whole)
+    bare, full = producer_headers(F.lit("10.1.0.1")), producer_headers(F.lit("10.1.0.1"), broken)
+    records = tagged.select(
+        "topic",
+        "seq",
+        "key",
+        F.when((F.col("seq") % 9 != 0) & (F.col("seq") % 10 == 1), bare).otherwise(full).alias("headers"),
+    )
+    decoded, bad = delivery.decode_records(records)
+    columns = ["topic", "seq", "key"]
+    read = decoded.select(*columns, F.lit(False).alias("undecodable"), F.col("tag.dest_idx").alias("dest_idx"))
+    return read.unionByName(bad.select(*columns, F.lit(True).alias("undecodable")), allowMissingColumns=True)
+
+
 @query(
     "delivery_log",
     'SELECT topic, seq, key, sent_partition, "offset" FROM delivered',
@@ -870,6 +895,28 @@ def ingest_reject(spark, sf):
     return ingest.validate_messages(wl.raw_bodies(spark, sf))[1].drop("raw")
 
 
+SMALL_LIMIT = 24
+
+
+@query(
+    "ingest_size_limit",
+    f"""SELECT event_id,
+              CASE WHEN event_id % 7 = 6 THEN 'empty' WHEN strlen(raw) > {SMALL_LIMIT} THEN 'too_large'
+                WHEN event_id % 7 = 2 THEN 'wrong_type' WHEN event_id % 7 = 3 THEN 'unknown_key'
+                WHEN event_id % 7 = 4 THEN 'badly_formed' WHEN event_id % 7 = 5 THEN 'multiple_values' END AS reason
+       FROM (SELECT event_id, CASE event_id % 7
+               WHEN 0 THEN '{{"key":"location_' || event_id % 40 || '","body":"b' || event_id || '"}}'
+               WHEN 1 THEN '{{"KEY":"location_' || event_id % 40 || '"}}'
+               WHEN 2 THEN '{{"key":' || event_id || '}}' WHEN 3 THEN '{{"key":"k","extra":' || event_id || '}}'
+               WHEN 4 THEN '{{"key":"k' || event_id || '"' WHEN 5 THEN '{{"key":"k"}} {{"key":"' || event_id || '"}}'
+               ELSE '   ' END AS raw FROM events)""",
+)
+def ingest_size_limit(spark, sf):
+    """The verdict on every text when few bytes are allowed."""
+    judged = ingest.judge_messages(wl.raw_bodies(spark, sf), max_bytes=SMALL_LIMIT)
+    return judged.select("event_id", "reason")
+
+
 # --- traces -------------------------------------------------------------------
 
 

@@ -9,20 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
+#: Session settings that results depend on: time stamps are in UTC, and of a repeated JSON field
+#: the last one counts.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Give a session the settings this library needs; operators only check them."""
+    for name, value in SETTINGS.items():
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
+    return spark
+
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; on a cluster use the session you are given."""
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("keytide")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+    return configure(session)
 
 
 def scratch_root(spark: SparkSession) -> str:
