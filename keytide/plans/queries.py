@@ -27,7 +27,13 @@ from keytide.operators import (
 from keytide.plans import oracle as o
 from keytide.plans import workload as wl
 from keytide.session import configure, materialize, scratch_path
-from keytide.sources import read_messages, read_traces, write_latency_csv, write_messages
+from keytide.sources import (
+    kafka_columns,
+    read_messages,
+    read_traces,
+    write_latency_csv,
+    write_messages,
+)
 from keytide.streaming import (
     HotKeyConfig,
     MapVersions,
@@ -271,8 +277,14 @@ def sketch_stats(spark, sf):
 # --- load ---------------------------------------------------------------------
 
 
+def _given(spark, sf):
+    """A stored map, and the sizes of its partitions."""
+    given = wl.hot_map_given(spark, sf)
+    return given, load.partition_sizes(given, wl.N_PARTITIONS)
+
+
 def _given_sizes(spark, sf):
-    return load.partition_sizes(wl.hot_map_given(spark, sf), wl.N_PARTITIONS)
+    return _given(spark, sf)[1]
 
 
 @query("partition_sizes", "SELECT * FROM sz", o.GIVEN_MAP)
@@ -362,7 +374,7 @@ def partition_sets(spark, sf):
 
 
 def _candidates(spark, sf):
-    return placement.migration_candidates(wl.hot_map_given(spark, sf), _given_sizes(spark, sf))
+    return placement.migration_candidates(*_given(spark, sf))
 
 
 @query(
@@ -380,7 +392,8 @@ def migration_candidates(spark, sf):
     o.GIVEN_MAP,
 )
 def target_match(spark, sf):
-    return placement.target_match(_candidates(spark, sf), _given_sizes(spark, sf))
+    given, sizes = _given(spark, sf)
+    return placement.target_match(placement.migration_candidates(given, sizes), sizes)
 
 
 @query(
@@ -389,7 +402,8 @@ def target_match(spark, sf):
     o.GIVEN_MAP,
 )
 def target_match_as_written(spark, sf):
-    return placement.target_match(_candidates(spark, sf), _given_sizes(spark, sf), "as_written")
+    given, sizes = _given(spark, sf)
+    return placement.target_match(placement.migration_candidates(given, sizes), sizes, "as_written")
 
 
 @query(
@@ -473,6 +487,18 @@ def hot_map_current(spark, sf):
     return control.current_map(hot_map_log(spark, sf))
 
 
+@query(
+    "hot_map_as_of",
+    """SELECT lg.topic, key, count, partition FROM lg JOIN iv ON iv.topic = lg.topic
+       WHERE valid_from <= step + step // 2 + 1 AND (valid_to IS NULL OR valid_to > step + step // 2 + 1)""",
+    o.GIVEN_LOG,
+)
+def hot_map_as_of(spark, sf):
+    """The map in the middle of each topic's second interval."""
+    now = wl.given_intervals(spark, sf).select("topic", F.expr("step + step div 2").alias("at_seq"))
+    return control.map_at(wl.hot_map_log_given(spark, sf), now)
+
+
 def control_log(spark, sf, messages=None, **options):
     """The whole control plane: sketch, placement and rebalancing."""
     if messages is None:
@@ -835,18 +861,12 @@ def order_violations_reversed(spark, sf):
     return delivery.order_violations(wrong).select("topic", "key", "seq", "prev_seq")
 
 
-@query(
-    "msg_sink",
-    f"""SELECT topic, sent_partition AS partition, key, body, msg_id, seq, {TAG},
-               '10.1.0.' || CAST(msg_id % 3 AS VARCHAR) AS producer FROM sent""",
-    o.GIVEN_LOG,
-)
-def msg_sink(spark, sf):
-    """Written with headers under topic and partition, then read and decoded."""
+def _records(spark, sf):
+    """What is sent, with headers and explicit partition."""
     full = materialize(with_sequence(wl.keyed_messages(spark, sf)), "sequenced")
     tagged = message_sets.tag_message_sets(full, wl.N_PARTITIONS, wl.hot_map_log_given(spark, sf))
     who = F.concat(F.lit("10.1.0."), (F.col("msg_id") % 3).cast("string"))
-    records = message_sets.sent_partition(tagged).select(
+    return message_sets.sent_partition(tagged).select(
         "topic",
         "sent_partition",
         "key",
@@ -855,6 +875,37 @@ def msg_sink(spark, sf):
         "seq",
         producer_headers(who, encode_tag(message_sets.tag_struct())).alias("headers"),
     )
+
+
+@query(
+    "kafka_records",
+    f"""SELECT topic, key, body AS value, sent_partition AS partition, {TAG},
+               '10.1.0.' || CAST(msg_id % 3 AS VARCHAR) AS producer FROM sent""",
+    o.GIVEN_LOG,
+)
+def kafka_records(spark, sf):
+    """The columns of the Kafka sink, bytes read back as text and headers decoded."""
+    wired = kafka_columns(_records(spark, sf))
+    decoded, _ = delivery.decode_records(wired)
+    return decoded.select(
+        "topic",
+        F.col("key").cast("string").alias("key"),
+        F.col("value").cast("string").alias("value"),
+        "partition",
+        *[F.col(f"tag.{c}").alias(c) for c in message_sets.TAG_COLUMNS],
+        header(F.col("headers"), "Producer").cast("string").alias("producer"),
+    )
+
+
+@query(
+    "msg_sink",
+    f"""SELECT topic, sent_partition AS partition, key, body, msg_id, seq, {TAG},
+               '10.1.0.' || CAST(msg_id % 3 AS VARCHAR) AS producer FROM sent""",
+    o.GIVEN_LOG,
+)
+def msg_sink(spark, sf):
+    """Written with headers under topic and partition, then read and decoded."""
+    records = _records(spark, sf)
     path = scratch_path(spark, "sink")
     write_messages(records, path)
     decoded, _ = delivery.decode_records(spark.read.parquet(path))

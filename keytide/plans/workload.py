@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from keytide.functions.chunked import with_sequence
 from keytide.functions.hashing import fnv_partition
 from keytide.operators.frequency import key_counts
+from keytide.operators.latency import KEY_TAG, PARTITION_TAG, PROCESS, PRODUCE, RECEIVE
 from keytide.session import materialize
 
 # Parameters of the registered queries.
@@ -176,9 +177,9 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace of three spans per event; every 11th lacks a span, every 13th a tag."""
     messages = keyed_messages(spark, sf_dir).select("msg_id", "key", F.unix_micros("ts").alias("us"))
     messages = spread(messages)
-    key_tag = F.struct(F.lit("consumer.key").alias("key"), F.col("key").alias("value"))
+    key_tag = F.struct(F.lit(KEY_TAG).alias("key"), F.col("key").alias("value"))
     partition_tag = F.struct(
-        F.lit("message_bus.destination").alias("key"),
+        F.lit(PARTITION_TAG).alias("key"),
         fnv_partition(F.col("key"), N_PARTITIONS).cast("string").alias("value"),
     )
     other = F.struct(F.lit("sending-gateway").alias("key"), F.lit("10.1.0.1").alias("value"))
@@ -198,9 +199,9 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     zero = F.lit(0).cast("long")
-    produced = span("produce message", zero, 1, "p1", none)
-    received = span("OrderGo receive", F.col("msg_id") % 500, 2, "p2", none)
-    processed = span("print message", F.col("msg_id") % 900, 3, "p2", tags)
+    produced = span(PRODUCE, zero, 1, "p1", none)
+    received = span(RECEIVE, F.col("msg_id") % 500, 2, "p2", none)
+    processed = span(PROCESS, F.col("msg_id") % 900, 3, "p2", tags)
     spans = F.when(F.col("msg_id") % 11 == 0, F.array(produced, processed)).otherwise(
         F.array(produced, received, processed)
     )
