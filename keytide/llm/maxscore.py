@@ -12,25 +12,32 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm import vectors as V
 from keytide.session import materialize
 
 SCALE = 1024
-#: Components beyond are taken as this, so that sums stay within 64 bits.
+#: Quantized components are smaller than this, so that sums stay within 64 bits.
 LARGEST = 1 << 28
+TOO_LARGE = "a component times 1024 is beyond 2^28: exact scores may not fit 64 bits"
 QUERY_EVERY, K = 100, 10
 #: Vectors looked at between two updates of the k-th score.
 STEP = 1_024
 
 
 def quantized(embeddings: DataFrame) -> DataFrame:
-    """``(vec_id, x array<bigint>)``: floor(1024 x) of each component, in double precision."""
-    floor = lambda v: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(v * SCALE)))
-    bounded = lambda v: F.when(v >= LARGEST / SCALE, F.lit(LARGEST)).when(v <= -LARGEST / SCALE, F.lit(-LARGEST)).otherwise(floor(v))
-    return V.usable(embeddings).select("vec_id", F.transform("x", lambda v: bounded(v).cast("long")).alias("x"))
+    """``(vec_id, x array<bigint>)``: floor(1024 x) of each component, in double precision.
+
+    A component beyond LARGEST is an error: a score with it might not fit 64 bits.
+    """
+
+    def checked(v: Column) -> Column:
+        fits = F.abs(v) < LARGEST / SCALE
+        return F.when(fits, F.floor(v * SCALE)).otherwise(F.raise_error(TOO_LARGE).cast("long"))
+
+    return V.usable(embeddings).select("vec_id", F.transform("x", checked).alias("x"))
 
 
 class Postings:
