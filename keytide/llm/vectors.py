@@ -58,13 +58,13 @@ def search_blocks(
     """``search`` of every block of queries in every shard: ``(query_id, vec_id, score)``.
 
     ``index`` has a ``shard``. Both sides are keyed by shard and block of queries, so a task
-    holds one shard and one block, however many queries there are.
+    holds one shard and one block at a time, however many queries there are.
     """
     n_blocks = shards(n_queries, block)
     blocked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n_blocks)).cast("int"))
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = blocked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    tasks = 4 * n_shards * n_blocks
+    tasks = 4 * n_shards  # in proportion to the index; blocks of queries follow each other
     keys = ("shard", "block")
     return (
         left.repartition(tasks, *keys).groupBy(*keys)
