@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytide.functions.hashing import p2c_draws
+from keytide.functions.joins import dimension_join
 from keytide.operators import sketch
 from keytide.operators.placement import STOP_RULES
 from keytide.session import materialize
@@ -197,6 +198,32 @@ class TopicMap:
         return moves
 
 
+    def round_by_counts(
+        self, by_source: list[dict[int, int]], rule: str, tolerance: float | None
+    ) -> list[tuple[int, int, int]]:
+        """Moves of one round as (source, count of the keys, target), ``by_source`` telling how
+        many keys of each count a partition has; only ``sizes`` are used and changed."""
+        mean = sum(self.sizes) / len(self.sizes)
+        if tolerance is not None and max(self.sizes) <= mean * (1.0 + tolerance):
+            return []
+        under = [p for p, size in enumerate(self.sizes) if size < mean]
+        over = [p for p, size in enumerate(self.sizes) if size > mean]
+        moves = []
+        for src in over:
+            excess = self.sizes[src] - mean
+            targets = {
+                count: self.target(count, src, under, mean, rule)
+                for count in by_source[src]
+                if count <= excess
+            }
+            for count, dst in targets.items():
+                if dst is not None:
+                    self.sizes[src] -= count * by_source[src][count]
+                    self.sizes[dst] += count * by_source[src][count]
+                    moves.append((src, count, dst))
+        return moves
+
+
 def replay_control(
     events: DataFrame,
     n_partitions: int,
@@ -327,30 +354,38 @@ def rebalance_round(
 ) -> DataFrame:
     """One round on a given map: topic, key, count, src, partition.
 
-    Sources go in ascending order and each sees the sizes the ones before left.
-    The group is a topic's current map, whose size the sketch bounds.
+    Sources go in ascending order and each sees the sizes the ones before left. Keys of one source
+    with equal counts share their target, and a partition that only receives is no source; so
+    the round is decided on how many keys each partition has of each count, and keys look up
+    what became of theirs. A topic's different counts are what one task holds, not its keys.
     """
-    loads = load_events(
-        hot_map.withColumns(
-            {
-                "valid_from": F.lit(1).cast("long"),
-                "opened_by": F.lit("promote"),
-                "moved_at": F.lit(None).cast("long"),
-            }
-        )
+    if stop_rule not in STOP_RULES:
+        raise ValueError(f"stop_rule is one of {STOP_RULES}")
+
+    def decide(key: tuple, tally: pd.DataFrame) -> pd.DataFrame:
+        state = TopicMap(n_partitions)
+        by_source: list[dict[int, int]] = [{} for _ in range(n_partitions)]
+        for partition, count, keys in zip(tally["partition"], tally["count"], tally["keys"]):
+            by_source[partition][int(count)] = int(keys)
+            state.sizes[partition] += int(count) * int(keys)
+        moves = [
+            (key[0], src, count, dst)
+            for src, count, dst in state.round_by_counts(by_source, stop_rule, tolerance)
+        ]
+        return pd.DataFrame(moves, columns=["topic", "partition", "count", "_to"])
+
+    tally = hot_map.groupBy("topic", "partition", "count").agg(F.count(F.lit(1)).alias("keys"))
+    moves = tally.groupBy("topic").applyInPandas(
+        decide, "topic string, partition int, count bigint, _to int"
     )
-    ticks = hot_map.select("topic").distinct().select(
+    moves = materialize(moves, "moves")
+    after = dimension_join(hot_map, moves, ["topic", "partition", "count"])
+    return after.select(
         "topic",
-        F.lit(1).cast("long").alias("at_seq"),
-        F.lit(1).alias("times"),
-    )
-    log = replay_control(loads.unionByName(tick_events(ticks)), n_partitions, stop_rule, tolerance)
-    # A moved key has a closed and a standing interval; a partition that only
-    # received keys cannot be a source, so no key moves twice.
-    return log.groupBy("topic", "key").agg(
-        F.first("count").alias("count"),
-        F.max(F.when(F.col("valid_to").isNotNull(), F.col("partition"))).alias("src"),
-        F.max(F.when(F.col("valid_to").isNull(), F.col("partition"))).alias("partition"),
+        "key",
+        "count",
+        F.when(F.col("_to").isNotNull(), F.col("partition")).alias("src"),
+        F.coalesce("_to", "partition").alias("partition"),
     )
 
 
