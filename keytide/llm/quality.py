@@ -9,17 +9,17 @@ trained; it scores every document.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
-from functools import lru_cache
 from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.textio import filter_texts, id_text, map_batches
+from keytide.llm.textio import Memory, filter_texts, id_text, map_batches
 from keytide.session import materialize
 
 #: The scorer is trained on at most so many documents, those with the smallest hashed ids.
@@ -41,6 +41,9 @@ _DIGITS = bytes(range(48, 58))
 _SPACE = b"\t\n\x0b\x0c\r "
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
+#: Letters of scripts written without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+
 #: (name, low, high): a vote against where the first holds, a vote for where the second does.
 #: Most can only tell what is bad: the absence of a fault says little.
 LABELLERS = (
@@ -77,7 +80,7 @@ def signals(text: str) -> list[float] | None:
         _count(raw, _MARKS) / chars,
         capitals / max(1, letters),
         _count(raw, _DIGITS) / chars,
-        chars / len(words),
+        word_length(text, raw, len(words)),
         lone / len(words),
         marked / len(words),
         stops / len(words),
@@ -86,6 +89,17 @@ def signals(text: str) -> list[float] | None:
     ]
 
 
+def word_length(text: str, raw: bytes, n_words: int) -> float:
+    """Characters of a word; NaN, so that no vote comes of it, where the script has no spaces.
+
+    Only a text of many bytes a character can be in such a script.
+    """
+    chars = len(text) - _count(raw, _SPACE)
+    if len(raw) > 1.5 * len(text) and len(_UNSPACED.findall(text)) > 0.3 * chars:
+        return math.nan
+    return chars / n_words
+
+
 def votes(values: list[float] | None) -> int:
     """All votes as one number in base 3: 0 low, 1 none, 2 high. No words, no vote but low ones."""
     pattern = 0
@@ -143,7 +157,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> np.n
 _RUN = re.compile(r"(.)\1+")
 
 
-@lru_cache(maxsize=300_000)
+_SHAPES = Memory()
+
+
 def shape_bucket(word: str) -> int:
     """Bucket of a word's shape: letters to A or a, digits to 0, marks as they are, runs as one."""
     if len(word) > 64:
@@ -161,7 +177,8 @@ def _bucket(feature: str) -> int:
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values: shares of word shapes, how often words and lines repeat the one before, a constant."""
     words = text.split()
-    counts = Counter(map(shape_bucket, words))
+    _SHAPES.fill(set(words), lambda new: map(shape_bucket, new))
+    counts = Counter(map(_SHAPES.__getitem__, words))
     idx, val = list(counts), [n / len(words) for n in counts.values()]
     lines = [x for x in text.split("\n") if x.strip()]
     for name, parts in (("words", words), ("lines", lines)):

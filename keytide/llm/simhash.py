@@ -36,6 +36,8 @@ SLABS = ((12, 1), (12, 1), (8, 0))
 NEAR_WORDS, NEAR = 5, 0.8
 #: Candidates share all minima of one band: 99.9 % of the pairs at NEAR, by 1 - (1 - NEAR^5)^20.
 BANDS, BAND_ROWS = 20, 5
+#: Bits of a slot in the table of wanted documents: 4 MB.
+SLOT_BITS = 25
 #: Up to so many sets of a band key are compared with each other.
 BUCKET = 32
 
@@ -191,14 +193,39 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shingle_sets(docs: DataFrame, whole: bool) -> DataFrame:
+def _slot() -> Column:
+    return F.xxhash64("doc_id").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+
+
+def marked_slots(ids: DataFrame) -> np.ndarray:
+    """A bit for each slot that the hash of some ``doc_id`` falls in: a table of fixed size,
+    whatever the number of ids, so that it can be sent to every task."""
+    words = ids.select(_slot().alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
+    )
+    table = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+    got = words.toArrow()
+    table[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return table
+
+
+def shingle_sets(docs: DataFrame, whole: bool, wanted: DataFrame | None = None) -> DataFrame:
     """``(doc_id, node, size)`` and the band keys, or the ``whole`` set: ``node`` stands for the
-    set of a document's five-word shingles."""
+    set of a document's five-word shingles.
+
+    Of ``wanted``, a table of ids, all documents are made, and of others but a few.
+    """
+    rows = id_text(docs).withColumn("slot", _slot())
+    slots = None if wanted is None else docs.sparkSession.sparkContext.broadcast(marked_slots(wanted))
 
     def make():
         from xxhash import xxh64_intdigest
 
         def apply(batch):
+            if slots is not None:
+                at = batch.column("slot").to_numpy()
+                bits = slots.value[at >> 6] >> (at & 63)
+                batch = batch.filter(pa.array((bits & 1).astype(bool)))
             texts = batch.column("text").cast(pa.binary())
             sets = [np.unique(shingle_hashes(t.as_py(), NEAR_WORDS)) for t in texts]
             out = {
@@ -213,7 +240,7 @@ def shingle_sets(docs: DataFrame, whole: bool) -> DataFrame:
         return apply
 
     last = "shingles" if whole else "bands"
-    return map_batches(id_text(docs), f"doc_id long, node long, size long, {last} array<long>", make)
+    return map_batches(rows, f"doc_id long, node long, size long, {last} array<long>", make)
 
 
 def similar_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -237,9 +264,10 @@ def similar_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = materialize(found, "near-candidates")
     wanted = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    ids = nodes.join(wanted, "node").select(F.col("least").alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), True).dropDuplicates(["node"])
-    sets = materialize(sets.join(wanted, "node", "left_semi").select("node", "shingles"), "near-sets")
+    ids = nodes.join(wanted, "node").select(F.col("least").alias("doc_id"))
+    # texts stay where they are read: the ids go to them, and only sets of shingles are shuffled
+    sets = shingle_sets(docs, True, ids).join(wanted, "node", "left_semi")
+    sets = materialize(sets.dropDuplicates(["node"]).select("node", "shingles"), "near-sets")
     pairs = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     both = F.size(F.array_intersect("x", "y"))
     return pairs.where(both >= NEAR * (F.size("x") + F.size("y") - both)).select("a", "b")

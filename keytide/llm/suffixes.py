@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.textio import map_batches
+from keytide.llm.textio import Memory, map_batches
 from keytide.session import materialize
 
 MIN_WORDS = 50
@@ -49,14 +49,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 class Words:
     """Hashes of the words of a text, and of any stretch of them."""
 
-    def __init__(self, text: str, known: dict[str, int]) -> None:
+    def __init__(self, text: str, known: Memory) -> None:
         from xxhash import xxh64_intdigest
 
         words = text.split()
-        if len(known) > 400_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        known.fill(set(words), lambda new: [xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new])
         self.n = len(words)
         self.h = np.fromiter(map(known.__getitem__, words), np.uint64, self.n)
         with np.errstate(over="ignore"):
@@ -103,7 +100,7 @@ def retained(docs: DataFrame) -> DataFrame:
     """``(anchor, run, doc_id, row, lo, hi)``, a row for each retained suffix."""
 
     def make():
-        known: dict[str, int] = {}
+        known = Memory()
 
         def apply(batch):
             got = [anchored_runs(Words(t.as_py(), known)) for t in batch.column("text")]
@@ -131,7 +128,7 @@ def extended(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     same = texts["doc_id"].eqNullSafe(runs["of_id"]) & (texts["row"] == runs["of_row"])
 
     def make():
-        known: dict[str, int] = {}
+        known = Memory()
 
         def apply(batch):
             content, of, pos = [], [], []

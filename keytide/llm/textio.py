@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,6 +21,52 @@ def id_text(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Bytes of text that a function of one batch gets at once, and characters that a memory of words holds.
+SLICE_BYTES, REMEMBERED_CHARS, ENTRY = 2 << 20, 4 << 20, 32
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_BYTES of ``text``, or one row; without that column as it is."""
+    if "text" not in batch.schema.names or batch.num_rows < 2:
+        yield batch
+        return
+    sizes = pc.binary_length(batch.column("text").cast(pa.binary())).fill_null(0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    at = done = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        yield batch.slice(at, to - at)
+        at, done = to, int(ends[to - 1])
+
+
+def give_back() -> None:
+    """Workers live on from stage to stage: what Arrow freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
+class Memory(dict):
+    """What is known of words. It is emptied when it holds too many characters, so its size is
+    bounded in bytes, and what a worker keeps from task to task stays small."""
+
+    def __init__(self, most: int = REMEMBERED_CHARS) -> None:
+        super().__init__()
+        self.most, self.chars = most, 0
+
+    def fill(self, words: Collection[str], make: Callable[[list[str]], Iterable]) -> None:
+        """See that all ``words`` are known; ``make`` gives the values of new ones, in their order.
+
+        An entry counts as its characters and a fixed part.
+        """
+        new = [w for w in words if w not in self]
+        if not new:
+            return
+        if self.chars + sum(map(len, new)) + ENTRY * len(new) > self.most and self:
+            self.clear()
+            self.chars, new = 0, list(words)
+        self.update(zip(new, make(new)))
+        self.chars += sum(map(len, new)) + ENTRY * len(new)
+
+
 def map_batches(
     df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]
 ) -> DataFrame:
@@ -32,11 +80,12 @@ def map_batches(
         arrow = to_arrow_schema(struct)
         apply = make()
         for batch in batches:
-            if batch.num_rows:
-                out = apply(batch)
+            for some in slices(batch) if batch.num_rows else ():
+                out = apply(some)
                 yield pa.RecordBatch.from_arrays(
                     [as_array(out[f.name], f.type) for f in arrow], schema=arrow
                 )
+            give_back()
 
     return df.mapInArrow(run, struct)
 
@@ -49,9 +98,10 @@ def filter_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
         for batch in batches:
-            if batch.num_rows:
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                yield batch.filter(pa.array(keep(texts), pa.bool_()))
+            for some in slices(batch) if batch.num_rows else ():
+                texts = [t or "" for t in some.column("text").to_pylist()]
+                yield some.filter(pa.array(keep(texts), pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.llm.textio import filter_texts, id_text, map_batches
+from keytide.llm.textio import Memory, filter_texts, id_text, map_batches
 from keytide.session import materialize
 
 ORDER = 6
@@ -37,8 +37,8 @@ CLASS_DISCOUNT = 4.0
 #: Ratios of a word that are nearer to 0 than this count as 0.
 EVIDENCE = 5.0
 START, END = "\x02", "\x03"
-#: Different words a worker remembers before it starts anew, and documents scored at once.
-REMEMBERED, AT_ONCE = 400_000, 256
+#: Documents scored at once.
+AT_ONCE = 64
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,17 +98,13 @@ def words_of(text: str) -> list[str]:
 
 def text_llrs(model: ToxicityModel):
     """A function from texts to their mean ratios, that remembers words."""
-    known: dict[str, float] = {}
+    known = Memory()
 
     def apply(texts: list[str]) -> list[float]:
         out = []
         for at in range(0, len(texts), AT_ONCE):
             split = [words_of(t) for t in texts[at : at + AT_ONCE]]
-            new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(w for words in split for w in words))
-            known.update(zip(new, model.word_llrs(new).tolist()))
+            known.fill({w for words in split for w in words}, lambda new: model.word_llrs(new).tolist())
             out += [sum(map(known.__getitem__, w)) / len(w) if w else 0.0 for w in split]
         return out
 
