@@ -17,6 +17,8 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,14 @@ from pyspark.sql import DataFrame
 
 from keytide.llm.textio import id_text, map_batches
 
-#: What parts a text before merges, of the pre-tokenizer of byte-level vocabularies.
+#: Fixed value: what parts a text before merges, of the pre-tokenizer of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters fed at once, chunks a worker remembers, and the longest that are.
-BLOCK, REMEMBERED, LONGEST = 1 << 16, 400_000, 64
+BLOCK, REMEMBERED, LONGEST = 1 << 16, 300_000, 64
+#: Below this character every Unicode version agrees on what a letter is; marks that follow words.
+PLAIN, MARKS = "\u0250", tuple(".,;:!?")
+#: Bits of an id in the number of a pair.
+ID_BITS = 24
 
 
 def byte_characters() -> dict[str, int]:
@@ -64,6 +70,10 @@ class Vocabulary:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = [(raw(a), raw(b)) for a, b in pairs]
         self.rank = {m: i for i, m in enumerate(self.merges)}
+        #: the same by ids: of a pair its rank, of a rank the id that the pair becomes
+        self.rank_of = {self.ids[a] << ID_BITS | self.ids[b]: i for i, (a, b) in enumerate(self.merges)}
+        self.made = [self.ids[a + b] for a, b in self.merges]
+        self.byte_ids = [self.ids.get(bytes([b])) for b in range(256)]
         self.lookahead = sufficient_lookahead(self.merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*self.ids.values(), *self.special.values()], default=-1) + 1
@@ -110,6 +120,25 @@ class Vocabulary:
         return [p for p in parts if p is not None]
 
 
+    def merge_ids(self, piece: bytes) -> list[int]:
+        """Ids of a short piece's tokens, by ``merge``'s rule; looks for the lowest rank anew each time."""
+        parts = list(map(self.byte_ids.__getitem__, piece))
+        rank_of, made, none = self.rank_of.get, self.made, len(self.made)
+        ranks = [rank_of(a << ID_BITS | b, none) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            lowest = min(ranks)
+            if lowest == none:
+                break
+            i = ranks.index(lowest)
+            parts[i : i + 2] = (made[lowest],)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of(parts[i] << ID_BITS | parts[i + 1], none)
+            if i:
+                ranks[i - 1] = rank_of(parts[i - 1] << ID_BITS | parts[i], none)
+        return parts
+
+
 class PieceTransducer:
     """Tokens of one piece that comes in parts, in memory that the piece's length doesn't change."""
 
@@ -142,6 +171,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         import regex
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are taken as little-endian 32-bit numbers")
         self.vocabulary = vocabulary
         self.pieces = regex.compile(PATTERN)
         #: a space between two white-space characters may belong to either side's piece
@@ -185,28 +216,39 @@ class Encoder:
     def _spaced(self, word: str) -> bytes:
         ids = self.known.get(word)
         if ids is None:
-            ids = b"".join(self._pieces(" " + word))
+            ids = self._new(word)
             if len(word) <= LONGEST:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[word] = ids
         return ids
 
+    def _new(self, word: str) -> bytes:
+        """Letters alone are one piece, and so is a mark after them; what else there is, the pattern tells."""
+        if len(word) < LONGEST and max(word, default=" ") < PLAIN:
+            vocabulary = self.vocabulary
+            if word.isalpha():
+                return array("I", vocabulary.merge_ids(b" " + word.encode("utf-8"))).tobytes()
+            if word[-1:] in MARKS and word[:-1].isalpha():
+                ids = vocabulary.merge_ids(b" " + word[:-1].encode("utf-8"))
+                ids.append(vocabulary.byte_ids[ord(word[-1])])
+                return array("I", ids).tobytes()
+        return b"".join(self._pieces(" " + word))
+
     def _pieces(self, text: str) -> Iterator[bytes]:
-        ids = self.vocabulary.ids
+        merge_ids, ids = self.vocabulary.merge_ids, self.vocabulary.ids
         for m in self.pieces.finditer(text):
             start, end = m.span()
-            if end - start <= BLOCK:
-                tokens = self.vocabulary.merge(m[0].encode("utf-8")) if end - start <= LONGEST else self._stream(text, start, end)
-                yield np.array([ids[t] for t in tokens], "<u4").tobytes()
-            else:
-                part: list[bytes] = []
-                for token in self._stream(text, start, end):
-                    part.append(token)
-                    if len(part) >= BLOCK:
-                        yield np.array([ids[t] for t in part], "<u4").tobytes()
-                        part = []
-                yield np.array([ids[t] for t in part], "<u4").tobytes()
+            if end - start <= LONGEST:
+                yield array("I", merge_ids(m[0].encode("utf-8"))).tobytes()
+                continue
+            part: list[int] = []
+            for token in self._stream(text, start, end):
+                part.append(ids[token])
+                if len(part) >= BLOCK:
+                    yield array("I", part).tobytes()
+                    part = []
+            yield array("I", part).tobytes()
 
     def _stream(self, text: str, start: int, end: int) -> Iterator[bytes]:
         transducer = PieceTransducer(self.vocabulary)
