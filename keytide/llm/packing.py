@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections.abc import Collection
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.llm.textio import id_text, map_batches
+from keytide.llm.textio import Memory, id_text, map_batches
 from keytide.session import materialize
 
 CAPACITY = 4096
@@ -32,8 +33,8 @@ ROUNDS, RATE = 16, 0.5
 #: one. Lengths that lose less than TIE of it fill up alike; a configuration that lost more than
 #: SLACK because lengths were used up is priced again.
 GOOD, TIE, SLACK = 0.98, 1e-4, 2e-3
-#: Chunks of text a worker remembers; longer ones than LONGEST are encoded each time.
-REMEMBERED, LONGEST = 1_000_000, 64
+#: Characters of chunks that a worker remembers; those longer than LONGEST are encoded each time.
+REMEMBERED_CHARS, LONGEST = 6 << 20, 64
 
 #: Python's str.split also parts words at these, the tokenizer does not.
 _SEPARATORS = re.compile("[\\x1c-\\x1f]")
@@ -57,7 +58,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(REMEMBERED_CHARS)
 
     @classmethod
     def of(cls, path: str) -> ChunkEncoder:
@@ -69,16 +70,21 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         chunks = [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else plain(text).split()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        ids = list(map(self.known.get, chunks))
-        if None in ids:
-            new = list({c for c, i in zip(chunks, ids) if i is None})
-            made = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            fresh = {c: array("I", e.ids).tobytes() for c, e in zip(new, made)}
-            self.known.update((c, i) for c, i in fresh.items() if len(c) <= LONGEST)
-            ids = [fresh[c] if i is None else i for c, i in zip(chunks, ids)]
-        return b"".join(ids)
+        distinct = set(chunks)
+        long = [c for c in distinct if len(c) > LONGEST]
+        once = dict(zip(long, self._make(long))) if long else {}
+        known = self._known(distinct.difference(once) if long else distinct)
+        if long:
+            return b"".join(once[c] if c in once else known[c] for c in chunks)
+        return b"".join(map(known.__getitem__, chunks))
+
+    def _known(self, chunks: Collection[str]) -> Memory:
+        self.known.fill(chunks, self._make)
+        return self.known
+
+    def _make(self, chunks: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in made]
 
 
 def plain(text: str) -> str:
