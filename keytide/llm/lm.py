@@ -93,6 +93,8 @@ def score_block(docs: pa.Table, shared: pa.Table, all_tokens: int, backoff: floa
     n_docs = docs.num_rows
     lengths = np.bincount(of, minlength=n_docs)
     pairs, pair_of = _pairs(tok, of)
+    if n_docs >= 1 << (63 - 2 * _BITS):
+        raise ValueError("too many documents in a block")
     words_total, pairs_total = BlockCounts(tok, shared), BlockCounts(pairs, shared)
     # different words of each document, their counts in it and in the others
     mine, word_n = _runs(np.sort((of << _BITS) | tok))
@@ -101,13 +103,11 @@ def score_block(docs: pa.Table, shared: pa.Table, all_tokens: int, backoff: floa
     unigram = np.log(np.maximum(word_rest, 1)) - np.log(np.maximum(all_tokens - lengths[word_of], 1))
     # all tokens by their unigram score; pairs then change what they know better or back off from
     total = np.bincount(word_of, weights=word_n * unigram, minlength=n_docs).astype(np.float64)
-    order = np.lexsort((pairs, pair_of))
-    pairs, pair_of = pairs[order], pair_of[order]
-    start = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]) | (pair_of[1:] != pair_of[:-1])]) if len(pairs) else np.empty(0, np.int64)
-    pair_n = np.diff(np.r_[start, len(pairs)])
-    pair, pair_of = pairs[start], pair_of[start]
+    # a pair's number and its document's in one
+    both, pair_n = _runs(np.sort((pair_of << 2 * _BITS) | pairs))
+    pair, pair_of = both & ((1 << 2 * _BITS) - 1), both >> 2 * _BITS
     at = np.searchsorted(mine, (pair_of << _BITS) | (pair & ((1 << _BITS) - 1)))
-    context = np.searchsorted(mine, (pair_of << _BITS) | (pair >> _BITS))
+    context = np.searchsorted(mine, both >> _BITS)
     rest = pairs_total(pair) - pair_n
     known = np.log(np.maximum(rest, 1)) - np.log(np.maximum(word_rest[context], 1)) - unigram[at]
     total += np.bincount(pair_of, weights=pair_n * np.where(rest > 0, known, math.log(backoff)), minlength=n_docs)
