@@ -45,12 +45,14 @@ def give_back() -> None:
 
 
 class Memory(dict):
-    """What is known of words. It is emptied when it holds too many characters, so its size is
-    bounded in bytes, and what a worker keeps from task to task stays small."""
+    """What is known of words, bounded in bytes, so that what a worker keeps from task to task stays
+    small. When half of the bound is full it starts anew, and takes over from what was known
+    before the words that come again: frequent ones are never lost to a flood of rare ones."""
 
     def __init__(self, most: int = REMEMBERED_CHARS) -> None:
         super().__init__()
         self.most, self.chars = most, 0
+        self.before: dict = {}
 
     def fill(self, words: Collection[str], make: Callable[[list[str]], Iterable]) -> None:
         """See that all ``words`` are known; ``make`` gives the values of new ones, in their order.
@@ -60,10 +62,14 @@ class Memory(dict):
         new = [w for w in words if w not in self]
         if not new:
             return
-        if self.chars + sum(map(len, new)) + ENTRY * len(new) > self.most and self:
+        if 2 * (self.chars + sum(map(len, new)) + ENTRY * len(new)) > self.most and self:
+            self.before = dict(self)
             self.clear()
             self.chars, new = 0, list(words)
-        self.update(zip(new, make(new)))
+        before = self.before
+        self.update((w, before[w]) for w in new if w in before)
+        unseen = [w for w in new if w not in before]
+        self.update(zip(unseen, make(unseen)) if unseen else ())
         self.chars += sum(map(len, new)) + ENTRY * len(new)
 
 

@@ -45,6 +45,16 @@ def test_a_memory_forgets_but_knows_what_it_is_asked():
     assert len(made) == before
 
 
+def test_a_memory_keeps_frequent_words_through_a_flood():
+    made = []
+    memory = textio.Memory(most=400)
+    for i in range(200):
+        memory.fill({"the", f"rare{i}"}, lambda new: (made.extend(new), [len(w) for w in new])[1])
+        assert memory["the"] == 3 and memory[f"rare{i}"] == len(f"rare{i}")
+        assert memory.chars <= 200
+    assert made.count("the") == 1 and len(made) == 201
+
+
 def test_ids_of_short_pieces_are_those_of_the_merge():
     vocabulary = bpe.Vocabulary.of(BYTE_BPE)
     rnd = np.random.default_rng(0)
