@@ -40,6 +40,7 @@ def tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
             ids = [np.frombuffer(encoder.encode(t.as_py()), "<u4").astype("<u2").tobytes() for t in batch.column("text")]
             return {"doc_id": batch.column("doc_id"), "ids": ids}
 
+        apply.finish = encoder.forget
         return apply
 
     return map_batches(id_text(docs), "doc_id long, ids binary", make)

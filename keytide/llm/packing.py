@@ -33,8 +33,8 @@ ROUNDS, RATE = 16, 0.5
 #: one. Lengths that lose less than TIE of it fill up alike; a configuration that lost more than
 #: SLACK because lengths were used up is priced again.
 GOOD, TIE, SLACK = 0.98, 1e-4, 2e-3
-#: Characters of chunks that a worker remembers; those longer than LONGEST are encoded each time.
-REMEMBERED_CHARS, LONGEST = 6 << 20, 64
+#: Characters of chunks that a task remembers; those longer than LONGEST are encoded each time.
+REMEMBERED_CHARS, LONGEST = 24 << 20, 64
 
 #: Python's str.split also parts words at these, the tokenizer does not.
 _SEPARATORS = re.compile("[\\x1c-\\x1f]")
@@ -62,11 +62,15 @@ class ChunkEncoder:
 
     @classmethod
     def of(cls, path: str) -> ChunkEncoder:
-        """One for each worker process; tasks that follow find its chunks."""
+        """One for each worker process."""
         if path not in cls._of_path:
             cls._of_path[path] = cls(path)
         return cls._of_path[path]
 
+    def forget(self) -> None:
+        """For the end of a task: the worker goes on to other stages."""
+        self.known = Memory(REMEMBERED_CHARS)
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         chunks = [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else plain(text).split()
@@ -128,6 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 "length": length, "ids_crc32": crc, "part": parts, "rank": rank,
             }
 
+        apply.finish = encoder.forget
         return apply
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"

@@ -78,7 +78,8 @@ def map_batches(
 ) -> DataFrame:
     """``mapInArrow`` for functions of one batch; ``make`` builds the task's function once.
 
-    A function returns a dict of columns (lists, numpy or Arrow arrays).
+    A function returns a dict of columns (lists, numpy or Arrow arrays). If it has a ``finish``, that
+    is called at the end of the task.
     """
     struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
@@ -92,6 +93,8 @@ def map_batches(
                     [as_array(out[f.name], f.type) for f in arrow], schema=arrow
                 )
             give_back()
+        if finish := getattr(apply, "finish", None):
+            finish()
 
     return df.mapInArrow(run, struct)
 
