@@ -23,7 +23,7 @@ from keytide.functions.hashing import p2c_draws
 from keytide.functions.joins import dimension_join
 from keytide.operators import sketch
 from keytide.operators.placement import STOP_RULES
-from keytide.session import materialize
+from keytide.session import materialize, scratch_path
 
 LOG_SCHEMA = (
     "topic string, key string, count bigint, partition int,"
@@ -33,6 +33,9 @@ LOG_SCHEMA = (
 LOAD = "load:"
 # Closed intervals held before they are sent on.
 FLUSH_ROWS = 10_000
+# Stored ranges of a replay: not more than RANGES, unless they would have more than RANGE_EVENTS events.
+RANGES = 16
+RANGE_EVENTS = 200_000
 EVENT_COLUMNS = ("topic", "at", "phase", "insert_n", "op", "key", "count", "p1", "p2")
 
 
@@ -307,29 +310,45 @@ def replay_in_ranges(
     """``replay_control``, ``span`` messages of every topic at a time: the same log.
 
     The map as it stands after a range is stored and put back at the start of the next, so a
-    task folds a topic's events of one range only, and what is lost with an executor is one range. Reads
-    ``events`` once for each range that has any: pass them stored.
+    task folds a topic's events of one range only, and what is lost with an executor is one range.
+    Many ranges with few events each are folded with their neighbours, so that the number of
+    jobs follows the events (see RANGES), not the messages. Reads ``events`` three times: pass them stored.
     """
     which = F.floor((F.col("at") - 1) / F.lit(span)).cast("long")
-    # a list of numbers of ranges, no events
-    ranges = sorted(r[0] for r in events.select(which.alias("r")).distinct().collect())
+    bounds = _range_bounds(events.select(which.alias("r")))
+    if not bounds:
+        return replay_control(events, n_partitions, stop_rule, tolerance, cooldown)
+    earlier = F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < which)
+    dealt = events.select(*EVENT_COLUMNS, F.size(earlier).alias("_range")).repartition("_range", "topic")
+    path = scratch_path(events.sparkSession, "range-events")
+    dealt.write.partitionBy("_range").parquet(path)
+    schema = events.select(*EVENT_COLUMNS).schema
     parts: list[DataFrame] = []
     standing = None
-    for r in ranges:
-        own = events.where((F.col("at") > r * span) & (F.col("at") <= (r + 1) * span))
+    for r in range(len(bounds)):
+        own = events.sparkSession.read.schema(schema).parquet(f"{path}/_range={r}")
         if standing is not None:
-            own = load_events(standing).unionByName(own.select(*EVENT_COLUMNS))
+            own = load_events(standing).unionByName(own)
         log = replay_control(own, n_partitions, stop_rule, tolerance, cooldown)
         log = materialize(log, f"map-log-{r}")
         standing = log.where(F.col("valid_to").isNull())
         parts.append(log.where(F.col("valid_to").isNotNull()))
-    if standing is None:
-        return replay_control(events, n_partitions, stop_rule, tolerance, cooldown)
     for part in parts:
         standing = standing.unionByName(part)
     return standing
 
 
+def _range_bounds(ranges: DataFrame) -> list[int]:
+    """The last range of each group to fold, given ``r`` of every event; every group has events."""
+    most = max(RANGES, -(-ranges.count() // RANGE_EVENTS))
+    some = sorted(row["r"] for row in ranges.distinct().limit(most + 1).collect())
+    if len(some) <= most:
+        return some
+    shares = [i / most for i in range(1, most + 1)]
+    cuts = ranges.agg(F.percentile_approx("r", shares).alias("cuts"), F.max("r").alias("last")).first()
+    return sorted({*cuts["cuts"], cuts["last"]})
+
+
 def _iterating(fold):
     """Give the fold the annotations by which Spark selects the batch-wise form."""
 

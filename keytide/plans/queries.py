@@ -538,7 +538,7 @@ def control_replay(spark, sf):
 
 @query("control_replay_ranges", MAP_LOG, o.replay(o.EVERY_TURNOVERS), recursive=True)
 def control_replay_ranges(spark, sf):
-    """The same, folded range by range; the number of ranges grows with the topics."""
+    """The same, folded range by range; the number of stored ranges grows with the events."""
     return control_log(spark, sf, span=400).drop("moved_at")
 
 

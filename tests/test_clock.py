@@ -121,6 +121,26 @@ def test_the_log_does_not_depend_on_ranges(spark, clock, cooldown):
     events.unpersist()
 
 
+def test_stored_ranges_follow_the_events(spark, monkeypatch):
+    """Many ranges of few messages are folded together: no job for each of them."""
+    rows = [
+        ("t", 40 * i + 1, 0, i, op, f"k{i // 2 if op == 'promote' else i // 2 - 3}", 5, i % 3, (i + 1) % 3)
+        for i in range(300) for op in [("promote", "evict")[i % 2]]
+    ]
+    events = spark.createDataFrame(
+        rows, "topic string, at long, phase int, insert_n long, op string, key string, count long, p1 int, p2 int"
+    )
+    whole = sorted(map(str, control.replay_control(events, 3).collect()))
+    stored, kept = [], control.materialize
+    monkeypatch.setattr(control, "materialize", lambda df, name: stored.append(name) or kept(df, name))
+    assert sorted(map(str, control.replay_in_ranges(events, 3, 40).collect())) == whole
+    assert 1 < len(stored) <= control.RANGES
+    stored.clear()
+    monkeypatch.setattr(control, "RANGE_EVENTS", 10)
+    assert sorted(map(str, control.replay_in_ranges(events, 3, 40).collect())) == whole
+    assert control.RANGES < len(stored) <= 30
+
+
 def test_large_output_is_sent_in_parts(spark):
     """More closed intervals in one Arrow batch than are held."""
     rows = [("t", i, 0, i, op, f"k{i // 2}", 5, i % 3, (i + 1) % 3) for i in range(30_000) for op in [("promote", "evict")[i % 2]]]
