@@ -998,17 +998,22 @@ def _seen(traces):
     )
 
 
-@query("trace_source", TRACE_FILTER, o.TRACES)
+@query(
+    "trace_source",
+    """SELECT trace_id AS "traceID", CASE WHEN receive_us IS NULL THEN 2 ELSE 3 END AS n_spans,
+              produce_us AS first_us FROM tr""",
+    o.TRACES,
+)
 def trace_source(spark, sf):
+    """All traces; filters that leave some out are checked in ``trace_envelopes``."""
     path = scratch_path(spark, "traces")
-    traces, since = _traces_of_services(spark, sf)
-    traces.write.json(path)
-    return _seen(read_traces(spark, path, service="consumer", since=since))
+    wl.traces(spark, sf).write.json(path)
+    return _seen(read_traces(spark, path, service="consumer", since=0))
 
 
 @query("trace_envelopes", TRACE_FILTER, o.TRACES)
 def trace_envelopes(spark, sf):
-    """The same from documents that hold many traces each."""
+    """Traces of a service since some time, from documents that hold many traces each."""
     path = scratch_path(spark, "envelopes")
     traces, since = _traces_of_services(spark, sf)
     text = F.to_json(F.struct("traceID", "spans", "processes"))

@@ -4,6 +4,9 @@ import json
 import pytest
 
 from keytide.operators import endpoints, frequency, latency
+from keytide.plans import queries as q
+from keytide.plans import workload as wl
+from keytide.session import scratch_path
 from keytide.sources import TRACE_SCHEMA, read_messages, read_traces, write_latency_csv
 
 T0 = dt.datetime(2024, 1, 1)
@@ -111,6 +114,18 @@ def test_hand_made_dump(spark, tmp_path, envelope):
     assert {tuple(r) for r in back.collect()} == LATENCY
 
 
+def test_the_source_gives_every_trace(spark, sf):
+    seen = q.trace_source(spark, sf)
+    assert seen.count() == wl.keyed_messages(spark, sf).count()
+    # the filters on lines find what they find in documents
+    traces, since = q._traces_of_services(spark, sf)
+    path = scratch_path(spark, "lines")
+    traces.write.json(path)
+    lines = q._seen(read_traces(spark, path, service="consumer", since=since))
+    found = sorted(map(tuple, lines.collect()))
+    assert found == sorted(map(tuple, q.trace_envelopes(spark, sf).collect())) and 0 < len(found) < seen.count()
+
+
 def test_trace_filters(spark, tmp_path):
     path = tmp_path / "dump.json"
     path.write_text("\n".join(json.dumps(t) for t in DUMP))
