@@ -38,8 +38,10 @@ NEAR_WORDS, NEAR = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
 #: Bits of a slot in the table of wanted documents: 4 MB.
 SLOT_BITS = 25
-#: Up to so many sets of a band key are compared with each other.
+#: Up to so many sets of a band key become pairs with each other; more are compared in blocks of about
+#: so many sets and shingles.
 BUCKET = 32
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -244,33 +246,104 @@ def shingle_sets(docs: DataFrame, whole: bool, wanted: DataFrame | None = None)
 
 
 def similar_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(a, b)`` of different shingle sets with a Jaccard similarity of at least ``NEAR``.
+    """``(a, b)`` of different shingle sets with a Jaccard similarity of at least ``NEAR``: so many
+    that all sets so similar which share a band of minima are linked, directly or by steps.
 
-    Candidates share a band of minima; each is checked on the whole sets. A band key that more
-    than ``BUCKET`` sets have pairs all of them with one of them, another one in each band.
+    Each candidate is checked on the whole sets. A band key that more than ``BUCKET`` sets have
+    pairs all of them with one of them, another one in each band; what that leaves unlinked
+    is compared by ``rest_of_buckets``.
     """
     filed = nodes.select("node", "size", F.explode("bands").alias("key"))
     filed = materialize(filed, "near-bands")
     by_hash = F.struct(F.xxhash64("node", "key").alias("h"), F.col("node"), F.col("size"))
-    buckets = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(by_hash).alias("first"))
+    buckets = filed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("held"), F.min(by_hash).alias("first")
+    )
     shared = filed.join(buckets.where("n > 1"), "key")
     few = shared.where(F.col("n") <= BUCKET).select("key", "node", "size")
     other = few.select("key", F.col("node").alias("b"), F.col("size").alias("b_size"))
     found = few.join(other, "key").select(F.col("node").alias("a"), "size", "b", "b_size")
-    many = shared.where(F.col("n") > BUCKET)
+    many = materialize(shared.where(F.col("n") > BUCKET), "near-many")
     found = found.union(many.select("node", "size", "first.node", "first.size"))
     # the smaller set must be as large as the larger one's share
     found = found.where("a <> b").where(F.least("size", "b_size") >= NEAR * F.greatest("size", "b_size"))
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = materialize(found, "near-candidates")
-    wanted = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    sets = _whole_sets(docs, nodes, found.select(F.col("a").alias("node")).union(found.select("b")))
+    pairs = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    linked = pairs.where(both >= NEAR * (F.size("x") + F.size("y") - both)).select("a", "b")
+    if not many.take(1):
+        return linked
+    linked = materialize(linked, "near-linked")
+    return linked.union(rest_of_buckets(docs, nodes, many, linked))
+
+
+def _whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(node, shingles)`` of all ``wanted`` nodes, stored."""
+    wanted = wanted.distinct()
     ids = nodes.join(wanted, "node").select(F.col("least").alias("doc_id"))
     # texts stay where they are read: the ids go to them, and only sets of shingles are shuffled
     sets = shingle_sets(docs, True, ids).join(wanted, "node", "left_semi")
-    sets = materialize(sets.dropDuplicates(["node"]).select("node", "shingles"), "near-sets")
-    pairs = found.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.where(both >= NEAR * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return materialize(sets.dropDuplicates(["node"]).select("node", "shingles"), "near-sets")
+
+
+def rest_of_buckets(docs: DataFrame, nodes: DataFrame, many: DataFrame, linked: DataFrame) -> DataFrame:
+    """Links between sets of one band key that ``linked`` does not join, directly or by steps.
+
+    Only sets of different components are compared, so dense groups, which are joined already, cost
+    nothing. A key's sets are dealt to blocks, and any two blocks that hold more than one
+    component meet in a task, which gives a link for each two components it joins: never
+    more rows than sets, whatever the number of pairs.
+    """
+    joined = connected_components(linked, "near-some").withColumnRenamed("root", "of")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES))
+    members = many.join(joined, "node", "left").select(
+        "key", "node", F.coalesce("of", "node").alias("of"), F.pmod(F.xxhash64("key", "node"), blocks).alias("block")
+    )
+    members = materialize(members, "near-members")
+    seen = members.groupBy("key", "block").agg(F.min("of").alias("low"), F.max("of").alias("high"))
+    seen = materialize(seen, "near-blocks")
+    mixed = seen.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    seen = seen.join(mixed.select("key"), "key")
+    left, right = seen.toDF("key", "i", "low", "high"), seen.toDF("key", "j", "low_j", "high_j")
+    cells = left.join(right, "key").where("i <= j and least(low, low_j) <> greatest(high, high_j)").select("key", "i", "j")
+    dealt = cells.withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))).join(members, ["key", "block"])
+    dealt = materialize(dealt, "near-cells")
+    sets = _whole_sets(docs, nodes, dealt.select("node"))
+    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(cell_links, "a long, b long")
+
+
+def cell_links(cell: pa.Table) -> pa.Table:
+    """``(a, b)`` that join the components ``of`` of one or two blocks, as far as sets are similar.
+
+    Of two sets of different components one is not of the most frequent: only those are looked up.
+    """
+    node, block = cell.column("node").to_numpy(), cell.column("block").to_numpy()
+    across = block.min() < block.max()
+    _, of, frequent = np.unique(cell.column("of").to_numpy(), return_inverse=True, return_counts=True)
+    shingles = cell.column("shingles").combine_chunks()
+    size = shingles.value_lengths().to_numpy().astype(np.int64)
+    ends = np.cumsum(size)
+    different, ids = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+    mark = np.zeros(len(different), np.int64)
+    a, b = [], []
+    for k in np.flatnonzero(of != frequent.argmax()):
+        may = of != of[k]
+        if across:
+            may &= block != block[k]
+        if not may.any():
+            continue
+        own = ids[ends[k] - size[k] : ends[k]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[ids], ends - size)
+        mark[own] = 0
+        hits = np.flatnonzero(may & (both >= NEAR * (size + size[k] - both)))
+        joins, first = np.unique(of[hits], return_index=True)
+        a += [node[k]] * len(first)
+        b += node[hits[first]].tolist()
+        of[np.isin(of, joins)] = of[k]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

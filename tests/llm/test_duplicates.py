@@ -177,3 +177,35 @@ def test_near_copies_of_the_pipeline(spark):
     assert min(close) < 0.8 < 0.85 < max(close)
     rows = pipeline.drop_near_duplicates(spark, documents(spark, texts), "").collect()
     assert {r.doc_id for r in rows} == kept and len(rows) == len(kept)
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """More sets with one band key than are paired: pairs and chains away from the key's first set."""
+    rnd = random.Random(9)
+    texts = []
+    for base in range(30):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+        for step in range(1 + base % 4):
+            texts.append(" ".join(words))
+            words = words[3 + base % 9 :] + [f"w{rnd.randrange(10**6)}" for _ in range(3 + base % 9)]
+    docs = documents(spark, list(enumerate(texts)))
+    sets = [set(simhash.shingle_hashes(t.encode(), simhash.NEAR_WORDS).tolist()) for t in texts]
+    near = lambda x, y: len(x & y) >= simhash.NEAR * len(x | y)
+    pairs = {(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])}
+    of = list(range(len(sets)))
+    for i, j in pairs:
+        of = [min(of[i], of[j]) if x in (of[i], of[j]) else x for x in of]
+    nodes = simhash.shingle_sets(docs, False).select(
+        "node", F.col("doc_id").alias("least"), "size", F.array(F.lit(7).cast("long")).alias("bands")
+    )
+    nodes = nodes.localCheckpoint()
+    ids = {r.node: r.least for r in nodes.collect()}
+    assert len(ids) == len(texts) > 2 * simhash.BUCKET and len(set(of)) < len(of)
+    for block in (512, 16):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        links = [(ids[r.a], ids[r.b]) for r in simhash.similar_sets(docs, nodes).collect()]
+        assert {(max(x), min(x)) for x in links} <= pairs
+        got = list(range(len(sets)))
+        for i, j in links:
+            got = [min(got[i], got[j]) if x in (got[i], got[j]) else x for x in got]
+        assert got == of
