@@ -7,7 +7,7 @@ aggregation, one row per key and interval), and only those rows go through the s
 writes what changed: a key whose set is the same as before costs a lookup.
 
 Three steps follow each other: messages are numbered and reduced, in ``foreachBatch``; the reduced
-rows pass ``transformWithStateInPandas``; every message takes its tag from the numbered sets.
+rows pass ``transformWithState``; every message takes its tag from the numbered sets.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,6 +35,7 @@ SETS = (
     "topic string, key string, valid_from bigint, valid_to bigint, src_partition int, src_idx int,"
     " dest_partition int, dest_idx int, set_seq bigint, at_batch bigint"
 )
+SET = Row(*(column.split()[0] for column in SETS.split(", ")))
 
 
 class SetNumbers(StatefulProcessor):
@@ -44,26 +44,22 @@ class SetNumbers(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "partition int, idx int, src int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        visits = pd.concat(list(rows)).sort_values(["at_batch", "valid_from"])
-        known = tuple(self.last.get()) if self.last.exists() else None
-        now, out, opened, batch = known, [], None, None
-        for v in visits.itertuples(index=False):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # most keys have a row or two: plain rows and few calls of the store are what counts
+        visits = sorted(rows, key=lambda v: (v.at_batch, v.valid_from))
+        known = self.last.get()
+        now, opened, batch = known and tuple(known), None, None
+        for v in visits:
             if v.at_batch != batch:
                 batch, opened = v.at_batch, None
             if now is None:
-                now = (int(v.partition), 0, -1)
+                now = (v.partition, 0, -1)
             elif now[0] != v.partition:
-                now, opened = (int(v.partition), now[1] + 1, now[0]), v.first_seq
+                now, opened = (v.partition, now[1] + 1, now[0]), v.first_seq
             src_idx = now[1] - 1 if now[1] else -1
-            out.append((*key, v.valid_from, v.valid_to, now[2], src_idx, now[0], now[1], opened, batch))
-        if now != known:
+            yield SET(*key, v.valid_from, v.valid_to, now[2], src_idx, now[0], now[1], opened, batch)
+        if known is None or now != tuple(known):
             self.last.update(now)
-        names = [column.split()[0] for column in SETS.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        for nullable in ("valid_to", "set_seq"):
-            frame[nullable] = frame[nullable].astype("Int64")
-        yield frame
 
     def close(self) -> None:
         pass
@@ -82,7 +78,7 @@ def rocksdb(spark: SparkSession):
 
 def number_sets_stream(visited: DataFrame) -> DataFrame:
     """Sets of a stream of visited intervals, a row for each key and interval of a batch."""
-    return visited.groupBy(*ON).transformWithStateInPandas(
+    return visited.groupBy(*ON).transformWithState(
         statefulProcessor=SetNumbers(), outputStructType=SETS, outputMode="Append", timeMode="None"
     )
 

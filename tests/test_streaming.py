@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from keytide.operators import message_sets
@@ -9,6 +10,7 @@ from keytide.streaming import (
     HotKeyConfig,
     MapVersions,
     run_hot_key_stream,
+    set_state,
     stream_tags_in_store,
 )
 from keytide.streaming.live_map import pinned_version
@@ -123,3 +125,34 @@ def test_tags_in_the_store_go_on_after_a_failure(spark, sf):
     sets = spark.read.parquet(f"{state}/sets")
     assert sets.select("topic", "key").distinct().count() == log.select("topic", "key").distinct().count()
 
+
+def test_the_store_is_asked_once_for_a_key():
+    """Most keys of a batch have one row, so calls of the store and tables for each key are the cost."""
+    calls = []
+
+    class Store:
+        value = None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    numbers = set_state.SetNumbers()
+    numbers.init(Store())
+    visit = Row("topic", "key", "valid_from", "valid_to", "partition", "first_seq", "at_batch")
+    went = [visit("t", "k", 5, 9, 4, 6, 0), visit("t", "k", 1, 5, 3, 2, 0)]
+    found = list(numbers.handleInputRows(("t", "k"), iter(went), None))
+    assert list(map(tuple, found)) == [
+        ("t", "k", 1, 5, -1, -1, 3, 0, None, 0), ("t", "k", 5, 9, 3, 0, 4, 1, 6, 0)
+    ]
+    assert calls == ["get", "update"]
+    found = list(numbers.handleInputRows(("t", "k"), iter([visit("t", "k", 9, None, 4, 9, 1)]), None))
+    assert list(map(tuple, found)) == [("t", "k", 9, None, 3, 0, 4, 1, None, 1)]
+    assert calls == ["get", "update", "get"]
