@@ -28,8 +28,8 @@ from keytide.llm.textio import id_text, map_batches
 
 #: Fixed value: what parts a text before merges, of the pre-tokenizer of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters fed at once, chunks a worker remembers, and the longest that are.
-BLOCK, REMEMBERED, LONGEST = 1 << 16, 300_000, 64
+#: Characters fed at once, chunks a worker remembers (half of them from before), and the longest that are.
+BLOCK, REMEMBERED, LONGEST = 1 << 16, 600_000, 64
 #: Below this character every Unicode version agrees on what a letter is; marks that follow words.
 PLAIN, MARKS = "\u0250", tuple(".,;:!?")
 #: Bits of an id in the number of a pair.
@@ -178,7 +178,10 @@ class Encoder:
         #: a space between two white-space characters may belong to either side's piece
         self.inner_space = regex.compile(r"[\s\x1c-\x1f] [\s\x1c-\x1f]|[\s\x1c-\x1f] $")
         self.specials = regex.compile("|".join(map(regex.escape, vocabulary.special))) if vocabulary.special else None
+        marks = {m: vocabulary.byte_ids[ord(m)] for m in MARKS}
+        self.marks = {m: array("I", [i]).tobytes() for m, i in marks.items() if i is not None}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids, a part for each block of the text."""
@@ -207,7 +210,10 @@ class Encoder:
             chunks = text[at:end].split(" ")
             # every chunk but the first, and the first but at the start, has its space in front
             first = self._chunk(chunks[0]) if chunks[0] else b""
-            yield first + b"".join(map(self._spaced, chunks[1:]))
+            found = list(map(self.known.get, chunks[1:]))
+            if None in found:
+                found = [self._spaced(w) if ids is None else ids for w, ids in zip(chunks[1:], found)]
+            yield first + b"".join(found)
             at = end
 
     def _chunk(self, chunk: str) -> bytes:
@@ -216,23 +222,24 @@ class Encoder:
     def _spaced(self, word: str) -> bytes:
         ids = self.known.get(word)
         if ids is None:
-            ids = self._new(word)
+            ids = self.before.get(word)
+            if ids is None:
+                ids = self._new(word)
             if len(word) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
+                # chunks that come again are taken over, so rare ones never push out frequent ones
+                if 2 * len(self.known) >= REMEMBERED:
+                    self.known, self.before = {}, self.known
                 self.known[word] = ids
         return ids
 
     def _new(self, word: str) -> bytes:
         """Letters alone are one piece, and so is a mark after them; what else there is, the pattern tells."""
-        if len(word) < LONGEST and max(word, default=" ") < PLAIN:
-            vocabulary = self.vocabulary
+        if len(word) < LONGEST and (word.isascii() or max(word) < PLAIN):
             if word.isalpha():
-                return array("I", vocabulary.merge_ids(b" " + word.encode("utf-8"))).tobytes()
-            if word[-1:] in MARKS and word[:-1].isalpha():
-                ids = vocabulary.merge_ids(b" " + word[:-1].encode("utf-8"))
-                ids.append(vocabulary.byte_ids[ord(word[-1])])
-                return array("I", ids).tobytes()
+                return array("I", self.vocabulary.merge_ids(b" " + word.encode("utf-8"))).tobytes()
+            if word[-1:] in self.marks and word[:-1].isalpha():
+                # the letters are mostly known without the mark
+                return self._spaced(word[:-1]) + self.marks[word[-1]]
         return b"".join(self._pieces(" " + word))
 
     def _pieces(self, text: str) -> Iterator[bytes]:
@@ -240,7 +247,11 @@ class Encoder:
         for m in self.pieces.finditer(text):
             start, end = m.span()
             if end - start <= LONGEST:
-                yield array("I", merge_ids(m[0].encode("utf-8"))).tobytes()
+                piece = m[0]
+                if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+                    yield self._spaced(piece[1:])
+                else:
+                    yield array("I", merge_ids(piece.encode("utf-8"))).tobytes()
                 continue
             part: list[int] = []
             for token in self._stream(text, start, end):

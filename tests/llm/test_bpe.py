@@ -89,3 +89,17 @@ def test_digests_of_awkward_rows(spark):
     assert bpe.digests(documents(spark, []), BYTE_BPE).count() == 0
     back = bpe.decode(bpe.encode(documents(spark), BYTE_BPE), BYTE_BPE)
     assert {r.text for r in back.collect()} == {t or "" for _, t in TEXTS}
+
+
+def test_frequent_chunks_outlive_a_flood_of_rare_ones(monkeypatch):
+    """A chunk that comes again and again is merged once, with a mark after it or without."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    encoder = bpe.Encoder(bpe.Vocabulary.of(BYTE_BPE))
+    merged, merge_ids = [], encoder.vocabulary.merge_ids
+    monkeypatch.setattr(encoder.vocabulary, "merge_ids", lambda piece: merged.append(piece) or merge_ids(piece))
+    rare = lambda k: "x" + "".join(chr(97 + int(d)) for d in str(k))
+    text = " ".join(f"word {rare(k)} word, word.\nAnd" for k in range(200))
+    got = np.frombuffer(b"".join(b"".join(encoder.encode(t)) for t in ["a " + text] * 2), "<u4").tolist()
+    assert merged.count(b" word") == 1 and len(encoder.known) + len(encoder.before) <= 40
+    want = Tokenizer.from_file(BYTE_BPE).encode("a " + text, add_special_tokens=False)
+    assert got == 2 * want.ids
