@@ -48,10 +48,14 @@ class ChunkEncoder:
     _of_path: dict[str, ChunkEncoder] = {}
 
     def __init__(self, path: str) -> None:
+        import os
         import sys
 
         from tokenizers import Tokenizer
 
+        # a task has one core: threads of the tokenizer would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are taken as little-endian 32-bit numbers")
 
@@ -111,9 +115,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = ChunkEncoder.of(tokenizer)
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
 

@@ -136,3 +136,20 @@ def test_backoff_scores_against_brute_force(spark, block_tokens):
         assert a[:2] == b[:2]
         assert (a[2] is None) == (b[2] is None) and (a[2] is None or a[2] == pytest.approx(b[2]))
     assert lm.scores(documents(spark, []), WORD_BPE).count() == 0
+
+
+def test_tokens_are_made_by_one_thread(spark):
+    """In the workers of op7 as in those of op4."""
+
+    def setting(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            packing.ChunkEncoder(WORD_BPE)
+            found = os.environ.get("TOKENIZERS_PARALLELISM")
+            yield pa.RecordBatch.from_pydict({"found": [found] * batch.num_rows})
+
+    coded = lm.tokens(documents(spark, TEXTS), WORD_BPE)
+    assert {r.found for r in coded.mapInArrow(setting, "found string").collect()} == {"false"}
