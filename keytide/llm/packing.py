@@ -12,9 +12,9 @@ the capacity alone, and every document finds its place from its rank among its l
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
-from collections.abc import Collection
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,13 +37,19 @@ GOOD, TIE, SLACK = 0.98, 1e-4, 2e-3
 REMEMBERED_CHARS, LONGEST = 24 << 20, 64
 
 #: Python's str.split also parts words at these, the tokenizer does not.
-_SEPARATORS = re.compile("[\\x1c-\\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
 class ChunkEncoder:
     """Ids of whole texts by a tokenizer that drops white space, so that chunks between white
-    space can be encoded once and remembered."""
+    space can be encoded once and remembered.
+
+    The tokenizer takes letters as one word and the marks after them as another. Chunks of that
+    form, Latin-1 letters alone or before ASCII marks, are put together from words that its model
+    merges once; its normalizer and patterns would take most of the time. Others take the whole
+    way through it.
+    """
 
     _of_path: dict[str, ChunkEncoder] = {}
 
@@ -62,6 +68,10 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        #: What the model gets for the letters beyond ASCII.
+        shown = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {c: shown(chr(c))[0][0] for c in range(128, 256) if chr(c).isalpha()}
         self.known = Memory(REMEMBERED_CHARS)
 
     @classmethod
@@ -77,22 +87,47 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        chunks = [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else plain(text).split()
-        distinct = set(chunks)
-        long = [c for c in distinct if len(c) > LONGEST]
-        once = dict(zip(long, self._make(long))) if long else {}
-        known = self._known(distinct.difference(once) if long else distinct)
-        if long:
-            return b"".join(once[c] if c in once else known[c] for c in chunks)
-        return b"".join(map(known.__getitem__, chunks))
-
-    def _known(self, chunks: Collection[str]) -> Memory:
+        odd = any(c in text for c in _SEPARATORS)
+        chunks = [c for c in _SPACE.split(text) if c] if odd else plain(text).split()
+        ids = list(map(self.known.get, chunks))
+        if new := [k for k, known in enumerate(ids) if known is None]:
+            made = self._new({chunks[k] for k in new})
+            for k in new:
+                ids[k] = made[chunks[k]]
+        return b"".join(ids)
+
+    def _new(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not known; from now on they are, but for the long ones."""
+        long = [c for c in chunks if len(c) > LONGEST]
+        chunks = chunks.difference(long)
         self.known.fill(chunks, self._make)
-        return self.known
+        return {c: self.known[c] for c in chunks} | dict(zip(long, self._make(long)))
 
     def _make(self, chunks: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in made]
+        made: list[bytes] = []
+        merged: dict[str, bytes] = {}
+        whole = []
+        for k, chunk in enumerate(chunks):
+            word = chunk.rstrip(string.punctuation)
+            marks = chunk[len(word) :]
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff") and "<|" not in marks:
+                ids = self._word(word.lower(), merged)
+                made.append(ids + self._word(marks, merged) if marks else ids)
+            else:
+                whole.append(k)
+                made.append(b"")
+        encoded = self.tokenizer.encode_batch_fast([chunks[k] for k in whole], add_special_tokens=False)
+        for k, e in zip(whole, encoded):
+            made[k] = array("I", e.ids).tobytes()
+        return made
+
+    def _word(self, word: str, merged: dict[str, bytes]) -> bytes:
+        """Ids of lower-case letters or of marks, which may be known as a chunk."""
+        ids = self.known.get(word) or self.known.before.get(word) or merged.get(word)
+        if ids is None:
+            shown = word if word.isascii() else word.translate(self.letters)
+            ids = merged[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
 
 
 def plain(text: str) -> str:

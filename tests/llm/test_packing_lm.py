@@ -23,6 +23,48 @@ def test_chunks_equal_whole_texts():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want.ids
 
 
+def test_words_are_merged_once_and_equal_whole_texts():
+    rnd = random.Random(2)
+    latin = [chr(c) for c in range(256)]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    letters = [c for c in latin if c.isalpha()]
+    texts = [a + b + c for a in letters for b in "aÀ" for c in ("", ",", "'s", "'", "_", "²", "5.")]
+    texts += [m + n for m in marks for n in ["", "s", "'t", *marks]]
+    for _ in range(3000):
+        word = "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 90)))
+        texts.append(word + "".join(rnd.choice(marks) for _ in range(rnd.randrange(4))))
+        texts.append(" ".join("".join(rnd.choice(latin) for _ in range(rnd.randrange(9))) for _ in range(5)))
+    texts += ["abc<|endoftext|>", "abc<|", "ABC,’ σας Σ, İa. ﬁt’s", "été, e\u0301te\u0301, ÉTÉ."]
+    encoder = packing.ChunkEncoder(WORD_BPE)
+    for text, want in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want.ids
+
+    encoder, whole = packing.ChunkEncoder(WORD_BPE), []
+
+    class Whole:
+        def encode_batch_fast(self, chunks, tokenizer=encoder.tokenizer, **kind):
+            whole.extend(chunks)
+            return tokenizer.encode_batch_fast(chunks, **kind)
+
+        encode_batch = encode_batch_fast
+
+    encoder.tokenizer = Whole()
+    texts = ["Thorn thorn, THORN. été", "thorn!! thorn Été; don't", "thorn, 12"]
+    got = [encoder.encode(text) for text in texts]
+    assert sorted(whole) == ["12", "don't"]
+
+    encoder, merged = packing.ChunkEncoder(WORD_BPE), []
+
+    class Model:
+        def tokenize(self, word, model=encoder.model):
+            merged.append(word)
+            return model.tokenize(word)
+
+    encoder.model = Model()
+    assert [encoder.encode(text) for text in texts] == got
+    assert sorted(merged) == sorted(["thorn", "Ã©tÃ©", ",", ".", "!!", ";"])
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_place_everything_once(seed):
     rnd = np.random.default_rng(seed)
